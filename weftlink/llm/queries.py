@@ -32,8 +32,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = fit(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import link_components
+
+    return link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing}
+    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op8_minhash": op8_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
