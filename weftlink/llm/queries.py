@@ -46,9 +46,42 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items with at least 75 percent of the item's 5-word shingles in the document."""
+    from .decontaminate import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op8_minhash": op8_minhash}
+    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash}
+
+
+# Words of a text, A-Z lower-cased, and the distinct 5-word shingles.
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+
+_OP7 = f"""
+with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+ds as (select distinct doc_id, unnest({_SHINGLES}) as s from d),
+bs as (select distinct item_id, unnest({_SHINGLES}) as s from b),
+n as (select item_id, count(*) as n_item from bs group by item_id)
+select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item
+from ds join bs using (s) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 75 * any_value(n_item)
+"""
+
+_OP8 = f"""
+with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then {_SHINGLES} when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 75 * (na.n + nb.n - shared)),
+reach(a, b) as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+c as (select a, least(a, min(b)) as c from reach group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.c, d.doc_id) as component_id, d.doc_id = coalesce(c.c, d.doc_id) as kept
+from d left join n using (doc_id) left join c on c.a = d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": _OP7, "op8_minhash": _OP8}
