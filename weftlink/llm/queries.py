@@ -53,8 +53,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash}
+    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
 
 
 # Words of a text, A-Z lower-cased, and the distinct 5-word shingles.
