@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -53,65 +54,76 @@ _BLANKS = re.compile(r"\s \s")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-class PieceEncoder:
+# The pre-tokenizer patterns of the two public vocabularies.
+PATTERNS = {
+    "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "word": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write bytes that don't print as the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b if b in plain else 256 + rest.index(b) for b in range(256)}
+
+
+class PieceEncoder(dict):
     """A tokenizers vocabulary behind a cache of pieces that white space separates.
 
-    Both vocabularies split at white space before they merge, so the ids of a text are those of its pieces. The
-    cache maps a piece to its ids as little-endian 32-bit bytes and is emptied at ``limit`` entries.
+    Both vocabularies split at white space before they merge, so the ids of a text are those of its pieces. The mapping
+    gives a piece's ids as little-endian 32-bit bytes. It has two generations of ``limit`` entries: pieces that are met
+    again move to the new one, the rest go with the old one. Pieces of Latin letters go straight to the library's merge
+    model; others pass its whole pipeline.
     kind "byte": byte-level, a blank belongs to the word after it. kind "word": white space is dropped.
     Texts whose white space runs would be grouped across a cut are encoded whole.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, limit: int = 600_000, longest: int = 64):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.limit, self.longest, self.cache = kind, limit, longest, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kind, self.limit, self.longest = kind, limit, longest
+        self.old: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.cut, self.latin = regex.compile(PATTERNS[kind]).findall, re.compile("[\n -~\xa1-\u024f]+").fullmatch
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            plain = piece.lower() if self.kind == "word" else piece
+            if len(piece) > self.longest or not self.latin(plain):
+                ids = self.whole(piece)
+            elif len(words := self.cut(plain)) == 1:
+                ids = array("I", [t.id for t in self.model.tokenize(words[0].encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, words))
+        if len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
 
     def pieces(self, text: str) -> list[str] | None:
         if self.kind == "word":
             return None if _SEPARATORS.search(text) else text.split()
-        if not _RUN.search(text):
-            out = []
-            for n, line in enumerate(text.split("\n")):
-                if n:
-                    out.append("\n")
-                first, *rest = line.split(" ")
-                out.append(first)
-                out += [" " + x for x in rest]
-            return out
-        if _BLANKS.search(text):
+        if "\0" in text:
             return None
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        if not _RUN.search(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return None if _BLANKS.search(text) else text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        missing = set()
-        for p in cut:
-            if p is not None:
-                missing.update(p)
-        missing.difference_update(cache)
-        long: dict[str, bytes] = {}
-        if missing:
-            new = list(missing)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for piece, ids in zip(part, self.whole(part), strict=True):
-                    (cache if len(piece) <= self.longest else long)[piece] = ids
-        if long:
-            look = lambda x: cache[x] if x in cache else long[x]
-        else:
-            look = cache.__getitem__
-        return [self.whole([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, cut, strict=True)]
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        cut = map(self.pieces, texts)
+        return [self.whole(t) if p is None else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str, kind: str) -> PieceEncoder:
