@@ -26,6 +26,18 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_versions
+
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -66,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op4_packing": op4_packing, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
+    return {"op1_token_ids": op1_token_ids, "op2_warc": op2_warc, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
 
 
 # Words of a text, A-Z lower-cased, and the distinct 5-word shingles.
@@ -95,5 +107,15 @@ from d left join n using (doc_id) left join c on c.a = d.doc_id
 """
 
 
+_OP2 = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+g as (select payload_digest, max(page_id) as first, count(*) as n from d where payload_bytes >= 1000 group by 1 having count(*) > 1)
+select page_id, payload_bytes, payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d left join g using (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _OP7, "op8_minhash": _OP8}
+    return {"op2_warc": _OP2, "op7_decontamination": _OP7, "op8_minhash": _OP8}

@@ -94,7 +94,7 @@ class ShardWriter:
 
     def __init__(self, uri: str, id_bytes: int):
         fs, path = common.filesystem(uri)
-        self.uri, self.id_bytes, self.out = uri, id_bytes, fs.open_output_stream(path)
+        self.uri, self.id_bytes, self.out = uri, id_bytes, fs.open_output_stream(path, compression=None)
         self.ids, self.ends, self.docs = 0, [], []
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
