@@ -38,6 +38,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.KINDS), 256).alias("base_sha256"), pii.joined([*pii.KINDS, pii.ADDED]).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -78,7 +86,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op2_warc": op2_warc, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
+    return {"op1_token_ids": op1_token_ids, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
 
 
 # Words of a text, A-Z lower-cased, and the distinct 5-word shingles.
