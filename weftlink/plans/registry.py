@@ -1,6 +1,480 @@
-def queries():
-    return {}
+"""The registered queries on the entity view and the star-schema tables. Their SQL is in oracle.py."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.similarity import jaro_winkler
+from ..operators import block, evaluate, features, model, profile, sample
+from ..sources import io
+from . import oracle
+from .fixtures import er_view
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+NAMES = ["business_name", "business_address"]
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ascii_only(c: str):
+    return F.col(c).rlike(r"^[\x00-\x7f]*$")
+
+
+# ------------------------------------------------------------------ cleanup
+
+
+@query
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize("text").cast("binary")).alias("text_md5"), text.normalize_country("lang").alias("country"))
+
+
+@query
+def canonical_tokens(spark, sf_dir):
+    """Names with a suffix or street word put in the place of their second token."""
+    words = F.array(*map(F.lit, ["private", "limited", "road", "company", "boulevard", "limitedness"]))
+    name = F.concat_ws(" ", F.col("business_name"), F.element_at(words, (F.substring("entity_id", 4, 9).cast("int") % 6 + 1)))
+    return er_view(spark, sf_dir).pool.select("entity_id", text.canonical_tokens(name).alias("name"))
+
+
+@query
+def country_filter(spark, sf_dir):
+    return er_view(spark, sf_dir).pool.where(text.known_country("country") & (F.upper("country") == "DE")).select("entity_id", "country")
+
+
+@query
+def null_filter(spark, sf_dir):
+    return er_view(spark, sf_dir).pool.withColumn("address", F.nullif("business_address", F.lit(""))).where(F.col("address").isNotNull()).select("entity_id", "address")
+
+
+@query
+def pool_union_all(spark, sf_dir):
+    return er_view(spark, sf_dir).pool
+
+
+@query
+def country_except(spark, sf_dir):
+    """Countries of the left records that have less than 12 percent of the pool."""
+    view = er_view(spark, sf_dir)
+    counts = profile.value_counts(view.pool, "country")
+    return view.s1.select("country").distinct().subtract(counts.where("percent >= 12").select("country"))
+
+
+@query
+def distinct_countries(spark, sf_dir):
+    return er_view(spark, sf_dir).pool.select("country").distinct()
+
+
+@query
+def equality_flags(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    pairs = features.attributes(features.positives(view.truth, view.s1, view.pool), view.s1, view.pool)
+    return pairs.select("s1_id", "pool_id", text.same_text("business_name_1", "business_name_2").alias("same_name"), text.same_text("business_address_1", "business_address_2").alias("same_address"), text.same_text("country_1", "country_2").alias("same_country"))
+
+
+# ----------------------------------------------------------------- blocking
+
+
+@query
+def block_exact_name(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.exact_name(view.s1, view.pool)
+
+
+@query
+def block_tfidf_cosine(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.tfidf_cosine(view.s1, view.pool).select("s1_id", "pool_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def block_ngram_jaccard(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.ngram_jaccard(view.s1, view.pool).select("s1_id", "pool_id", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query
+def candidate_pairs_distinct(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.candidates(view.s1, view.pool)
+
+
+@query
+def candidate_lists(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.id_lists(block.exact_name(view.s1, view.pool), view.s1)
+
+
+@query
+def tfidf_vocab_df(spark, sf_dir):
+    return block.vocabulary(er_view(spark, sf_dir).pool).select("country", "gram", "df")
+
+
+@query
+def tfidf_idf(spark, sf_dir):
+    return block.vocabulary(er_view(spark, sf_dir).pool, max_df=0.3, max_features=500).select("country", "gram", F.round("idf", 9).alias("idf"))
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    pool = er_view(spark, sf_dir).pool
+    counts = block.gram_counts(pool)
+    return block.weights(counts, block.vocabulary(pool, counts)).select("country", "entity_id", "gram", F.round("w", 9).alias("w"))
+
+
+# ----------------------------------------------------------------- features
+
+
+def _pairs(spark, sf_dir):
+    """Pairs of the exact-name block, with attributes."""
+    view = er_view(spark, sf_dir)
+    return features.attributes(block.exact_name(view.s1, view.pool).unionByName(features.positives(view.truth, view.s1, view.pool)).distinct(), view.s1, view.pool)
+
+
+@query
+def pair_attributes(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@query
+def feat_country(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("s1_id", "pool_id", text.same_country("country_1", "country_2").alias("exact_country_match"))
+
+
+@query
+def feat_name_3gram(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("s1_id", "pool_id", F.round(text.gram_jaccard("business_name_1", "business_name_2"), 9).alias("name_3gram_jaccard"))
+
+
+@query
+def feat_addr_token(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("s1_id", "pool_id", F.round(text.token_jaccard("business_address_1", "business_address_2"), 9).alias("address_token_jaccard"))
+
+
+@query
+def feat_jaro_winkler_ascii(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).where(ascii_only("business_name_1") & ascii_only("business_name_2"))
+    return rows.select("s1_id", "pool_id", F.round(jaro_winkler("business_name_1", "business_name_2"), 9).alias("name_jaro_winkler_score"))
+
+
+@query
+def feat_levenshtein_ascii(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).where(ascii_only("business_name_1") & ascii_only("business_name_2"))
+    return rows.select("s1_id", "pool_id", F.levenshtein("business_name_1", "business_name_2").cast("long").alias("name_levenshtein"))
+
+
+@query
+def label_pairs(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return features.labelled(block.exact_name(view.s1, view.pool), view.truth)
+
+
+# ------------------------------------------------------------- joins by ids
+
+
+@query
+def ids_semi(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return sample.keep_ids(view.pool, features.exploded(view.truth, "matched_entity_ids").select(F.col("pool_id").alias("entity_id")), "entity_id").select("entity_id", "country")
+
+
+@query
+def ids_anti(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return sample.drop_ids(view.pool, features.exploded(view.truth, "matched_entity_ids").select(F.col("pool_id").alias("entity_id")), "entity_id").select("entity_id", "country")
+
+
+@query
+def gt_explode(spark, sf_dir):
+    return features.exploded(er_view(spark, sf_dir).truth, "matched_entity_ids").withColumn("source", F.substring("pool_id", 1, 2))
+
+
+@query
+def gt_positive_pairs(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return features.positives(view.truth, view.s1, view.pool)
+
+
+@query
+def negative_pairs(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return features.negatives(view.s1, view.pool, view.truth)
+
+
+# ------------------------------------------------------ samples and splits
+
+
+@query
+def sample_fraction(spark, sf_dir):
+    return sample.sample_fraction(er_view(spark, sf_dir).pool, "entity_id", 0.2).select("entity_id")
+
+
+@query
+def sample_fixed(spark, sf_dir):
+    return sample.first_by_hash(er_view(spark, sf_dir).pool, "entity_id", 100).select("entity_id")
+
+
+@query
+def sample_preserving_gt(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    s1, (s2, s3), truth = sample.sample_preserving_truth(view.s1, [view.s2, view.s3], view.truth)
+    parts = [("s1", s1.select("entity_id")), ("s2", s2.select("entity_id")), ("s3", s3.select("entity_id")), ("truth", truth.select(F.col("source1_entity_id").alias("entity_id")))]
+    out = None
+    for name, df in parts:
+        df = df.withColumn("role", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _labelled_parts(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        df = df.select("entity_id", F.lit(name).alias("part"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query
+def split_a(spark, sf_dir):
+    return _labelled_parts(sample.three_way(er_view(spark, sf_dir).s1, "entity_id"))
+
+
+@query
+def split_b(spark, sf_dir):
+    return _labelled_parts(sample.holdout(er_view(spark, sf_dir).s1, "entity_id", "EN", "DE"))
+
+
+@query
+def split_sizes(spark, sf_dir):
+    return split_a(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- profiling
+
+
+@query
+def value_counts_country(spark, sf_dir):
+    return profile.value_counts(er_view(spark, sf_dir).pool, "country")
+
+
+@query
+def value_counts_by_source(spark, sf_dir):
+    return profile.value_counts(er_view(spark, sf_dir).pool.withColumn("source", F.substring("entity_id", 1, 2)), "country", ["source"])
+
+
+@query
+def value_counts_segment(spark, sf_dir):
+    return profile.value_counts(table(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query
+def match_count_hist(spark, sf_dir):
+    counts = profile.value_counts(profile.match_counts(er_view(spark, sf_dir).truth).select(F.col("n").cast("string").alias("matches")), "matches")
+    return counts.withColumn("matches", F.col("matches").cast("long")).orderBy("matches").limit(10)
+
+
+@query
+def match_conditional_counts(spark, sf_dir):
+    m = profile.match_counts(er_view(spark, sf_dir).truth)
+    return m.agg(F.count_if(F.expr("n = 0")).alias("singletons"), F.count_if(F.expr("n = 1")).alias("exactly_one"), F.count_if(F.expr("n > 1")).alias("several"), F.count_if(F.expr("n2 > 0 and n3 > 0")).alias("both_sources"))
+
+
+@query
+def link_totals_by_source(spark, sf_dir):
+    return profile.match_counts(er_view(spark, sf_dir).truth).agg(F.sum("n").alias("links"), F.sum("n2").alias("links_s2"), F.sum("n3").alias("links_s3"))
+
+
+@query
+def null_profile(spark, sf_dir):
+    return profile.missing(er_view(spark, sf_dir).pool, [*NAMES, "country"])
+
+
+@query
+def length_hist(spark, sf_dir):
+    return profile.histogram(er_view(spark, sf_dir).pool, F.length("business_name").cast("long"), "name_length")
+
+
+@query
+def token_hist(spark, sf_dir):
+    return profile.histogram(er_view(spark, sf_dir).pool, F.size(text.tokens("business_address")).cast("long"), "address_tokens")
+
+
+@query
+def length_percentiles(spark, sf_dir):
+    return profile.percentiles(er_view(spark, sf_dir).pool, F.length("business_address")).drop("mean")
+
+
+@query
+def length_mean(spark, sf_dir):
+    return profile.percentiles(er_view(spark, sf_dir).pool, F.length("business_name")).select(F.round("mean", 9).alias("mean"))
+
+
+@query
+def char_composition(spark, sf_dir):
+    return profile.composition(table(spark, sf_dir, "documents"), "text")
+
+
+@query
+def unique_ratio(spark, sf_dir):
+    return profile.uniqueness(er_view(spark, sf_dir).pool, NAMES)
+
+
+@query
+def topk_names(spark, sf_dir):
+    return profile.top_values(table(spark, sf_dir, "part"), "p_name")
+
+
+def _judged(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    yes = features.positives(view.truth, view.s1, view.pool).withColumn("is_match", F.lit(1))
+    no = features.negatives(view.s1, view.pool, view.truth).withColumn("is_match", F.lit(0))
+    pairs = yes.unionByName(no)
+    both = features.attributes(pairs.select("s1_id", "pool_id"), view.s1, view.pool).join(pairs, ["s1_id", "pool_id"])
+    return both.select(
+        "s1_id", "pool_id", "is_match", "business_name_1", "business_name_2",
+        text.same_country("country_1", "country_2").alias("country_match"),
+        text.token_jaccard("business_name_1", "business_name_2").alias("name_token_jaccard"),
+        text.token_jaccard("business_address_1", "business_address_2").alias("address_token_jaccard"),
+        text.profile_jaccard("business_name_1", "business_name_2").alias("name_3gram_jaccard"),
+        text.profile_jaccard("business_address_1", "business_address_2").alias("address_3gram_jaccard"),
+    )
+
+
+@query
+def feature_separability(spark, sf_dir):
+    out = profile.separability(_judged(spark, sf_dir), ["country_match", "name_token_jaccard", "address_token_jaccard", "name_3gram_jaccard", "address_3gram_jaccard"])
+    return out.select("is_match", "measure", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+@query
+def blocking_recall(spark, sf_dir):
+    share = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
+    yes = _judged(spark, sf_dir).where("is_match = 1")
+    return yes.agg(share(text.same_text("business_name_1", "business_name_2")).alias("exact"), share(text.first_token_equal("business_name_1", "business_name_2")).alias("first_token"), share((F.col("name_3gram_jaccard") > 0.3).cast("int")).alias("grams"))
+
+
+@query
+def first_token_recall(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    pairs = features.attributes(features.positives(view.truth, view.s1, view.pool), view.s1, view.pool)
+    return pairs.select("s1_id", "pool_id", text.first_token_equal("business_name_1", "business_name_2").alias("hit"))
+
+
+@query
+def hard_positive(spark, sf_dir):
+    return _judged(spark, sf_dir).where("is_match = 1 and name_token_jaccard < 0.9").orderBy("s1_id", "pool_id").limit(1).select("s1_id", "pool_id", F.round("name_token_jaccard", 9).alias("name_token_jaccard"))
+
+
+@query
+def hard_negative(spark, sf_dir):
+    return _judged(spark, sf_dir).where("is_match = 0 and name_3gram_jaccard > 0.05").orderBy("s1_id", "pool_id").limit(1).select("s1_id", "pool_id", F.round("name_3gram_jaccard", 9).alias("name_3gram_jaccard"))
+
+
+# ------------------------------------------------------- scores and results
+
+
+def _scores(spark, sf_dir):
+    """Linear scores of the exact-name block's pairs with ASCII names."""
+    rows = _pairs(spark, sf_dir).where(ascii_only("business_name_1") & ascii_only("business_name_2"))
+    return evaluate.linear_score(features.features(rows))
+
+
+@query
+def linear_scores(spark, sf_dir):
+    return evaluate.decide(_scores(spark, sf_dir), 0.8).select("source1_entity_id", "candidate_entity_id", F.round("match_probability", 6).alias("match_probability"), "is_predicted_match")
+
+
+@query
+def linear_score_thresholds(spark, sf_dir):
+    lists = evaluate.sweep(_scores(spark, sf_dir), er_view(spark, sf_dir).s1)
+    return lists.groupBy("threshold").agg(F.count_if(F.col("matched_entity_ids") != "").alias("matched"), F.count(F.lit(1)).alias("records"))
+
+
+@query
+def matching_results(spark, sf_dir):
+    return evaluate.sweep(_scores(spark, sf_dir), er_view(spark, sf_dir).s1, [0.8]).select("source1_entity_id", "matched_entity_ids")
+
+
+@query
+def singleton_share(spark, sf_dir):
+    return evaluate.singletons(matching_results(spark, sf_dir)).withColumn("singleton_share", F.round("singleton_share", 6))
+
+
+@query
+def f05_per_entity(spark, sf_dir):
+    return evaluate.per_entity(er_view(spark, sf_dir).truth, matching_results(spark, sf_dir)).withColumn("f05", F.round("f05", 9))
+
+
+@query
+def f05_macro(spark, sf_dir):
+    return evaluate.macro(f05_per_entity(spark, sf_dir)).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query
+def f05_macro_by_threshold(spark, sf_dir):
+    lists = evaluate.sweep(_scores(spark, sf_dir), er_view(spark, sf_dir).s1)
+    return evaluate.macro(evaluate.per_entity(er_view(spark, sf_dir).truth, lists, ["threshold"]), ["threshold"]).withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+# -------------------------------------------------- model, files: rows only
+
+
+def _training(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    pairs = features.labelled(features.positives(view.truth, view.s1, view.pool).unionByName(features.negatives(view.s1, view.pool, view.truth)), view.truth)
+    rows = features.features(features.attributes(pairs.select("s1_id", "pool_id"), view.s1, view.pool))
+    return rows.join(pairs.select(F.col("s1_id").alias("source1_entity_id"), F.col("pool_id").alias("candidate_entity_id"), "is_match"), ["source1_entity_id", "candidate_entity_id"]).cache()
+
+
+ITERATIONS = 10  # the operator's default is 100; these queries show the plan
+
+
+@query
+def gbt_scores(spark, sf_dir):
+    rows = _training(spark, sf_dir)
+    return evaluate.decide(model.score(model.fit(rows, ITERATIONS), rows), 0.5).select("source1_entity_id", "candidate_entity_id", "is_match", "match_probability", "is_predicted_match")
+
+
+@query
+def gbt_logs(spark, sf_dir):
+    train, val = sample.split(_training(spark, sf_dir).withColumn("pair", F.concat_ws("/", "source1_entity_id", "candidate_entity_id")), "pair", 0.2)
+    return model.logs(spark, model.fit(train, ITERATIONS), train, val)
+
+
+@query
+def gbt_importances(spark, sf_dir):
+    return model.importances(spark, model.fit(_training(spark, sf_dir), ITERATIONS))
+
+
+@query
+def schema_report(spark, sf_dir):
+    return io.schema_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def file_inventory(spark, sf_dir):
+    return io.inventory(spark, sf_dir, "*.parquet", exclude="ground_truth").groupBy("file").agg(F.count(F.lit(1)).alias("files"), F.sum("size_mb").alias("size_mb"))
+
+
+@query
+def record_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("records"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.SQL
