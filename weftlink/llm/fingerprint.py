@@ -18,13 +18,20 @@ HASHES = 3
 _CELL = np.dtype([("count", "<i4"), ("check", "<u4"), ("key", "<u8")])
 
 
-def units(text: str, longest: int = 256) -> list[str]:
-    """Paragraphs, cut after sentence marks and into pieces of at most ``longest`` characters, without outer blanks."""
-    out = []
-    for u in re.split(r"\n+|(?<=[.!?])\s+", text):
-        u = u.strip()
-        out += [u[i : i + longest] for i in range(0, len(u), longest)] if len(u) > longest else [u] if u else []
-    return out
+def units(text: str, words: int = 8, longest: int = 256) -> list[str]:
+    """Paragraphs, cut after sentence marks, then into runs of ``words`` words and pieces of ``longest`` characters.
+
+    A text of fewer than 4 * ``words`` words has its words as units, else a short text would be one unit or two.
+    """
+    parts = re.split(r"\n+|(?<=[.!?])\s+", text)
+    if len(text) < 4096 and len(own := text.split()) < 4 * words:
+        out = own
+    else:
+        out = []
+        for u in parts:
+            w = u.split()
+            out += [" ".join(w)] if 0 < len(w) <= words else [" ".join(w[i : i + words]) for i in range(0, len(w), words)]
+    return [p for u in out for p in ([u] if len(u) <= longest else [u[i : i + longest] for i in range(0, len(u), longest)])]
 
 
 def digests(text: str | None) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -129,6 +130,53 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
+    """nodes (node, ...) with size and set: the distinct 64-bit shingle hashes of each node's text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for lo, hi in common.slices(batch.column("text"), 1_500_000):
+                part = batch.slice(lo, hi - lo)
+                hashes, first, _ = common.shingle_hashes(pc.cast(part.column("text"), pa.binary()).to_pylist(), width)
+                sets = [np.unique(hashes[i:j]).view(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    found = texts.join(nodes.select("node"), "node").mapInArrow(run, "node long, size long, set array<long>")
+    return nodes.join(found, "node")
+
+
+def prefix_links(sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between nodes with different labels, from sets (node, label, size, set); exact.
+
+    Prefix filtering: with each set's shingles in ascending order of how many sets hold them, two sets over the
+    threshold share one among the first size - ceil(threshold * size) + 1 of each, at places that leave room for the
+    overlap they need. What the copies of one original have in common is frequent, so what is joined is mostly what few
+    share. In the postings of a shingle only nodes off its most frequent label look for partners.
+    """
+    shingles = sets.select("node", "label", "size", F.xxhash64("set").alias("own"), F.explode("set").alias("shingle"))
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"))
+    ranked = shingles.join(held, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node", "own").orderBy("held", "shingle")))
+    need = lambda n: F.ceil(F.lit(percent) * n / 100)
+    prefix = ranked.where((F.col("place") <= F.col("size") - need(F.col("size")) + 1) & (F.col("x") != F.col("y"))).select("shingle", "node", "label", "size", "place")
+    prefix = common.settle(prefix, "prefixes")
+    main = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main"))
+    one = prefix.join(main, "shingle").where("label != main").select("shingle", F.col("node").alias("node_a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    two = prefix.select("shingle", F.col("node").alias("node_b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    overlap = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / (100 + percent))
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    sizes = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    pairs = one.join(two, "shingle").where(F.col("label_a") != F.col("label_b")).where(sizes).where(room >= overlap)
+    pairs = common.settle(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "prefix-pairs")
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
+
+
 def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, width: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and set_key.
 
@@ -137,9 +185,9 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     linked with nothing. A null doc_id has a null component_id and is kept. Rows with the same doc_id are one node.
 
     Equal sets form a class, named by its smallest doc_id, before anything is compared. The classes of a band bucket are
-    compared with the bucket's smallest first; those links join most groups of copies into one component. Then only
-    classes of one bucket that are still in different components are compared. Sketches that differ in more than
-    ``most_bits`` of 256 bits (5 standard deviations at 75 percent) are not read; the rest are confirmed on whole sets.
+    compared with the bucket's smallest first, unless their sketches differ in more than ``most_bits`` of 256 bits (5
+    standard deviations at 75 percent); those links join most groups of copies into one component. Classes that share a
+    bucket with another component are then compared across components by prefix filtering, which misses no link.
     """
     rows = common.settle(signatures(docs, width), "signatures")
     some = rows.where("n_shingles > 0 and doc_id is not null")
@@ -147,10 +195,9 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     entries = classes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
     members = common.settle(entries.join(buckets.select("key", "pivot"), "key"), "members")
-    bits = classes.select("node", "b0", "b1", "b2", "b3")
 
     def named(side: str) -> DataFrame:
-        return bits.select(F.col("node").alias(side), *(F.col(f"b{k}").alias(f"{side}{k}") for k in range(4)))
+        return classes.select(F.col("node").alias(side), *(F.col(f"b{k}").alias(f"{side}{k}") for k in range(4)))
 
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     tried = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -159,13 +206,10 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     labels = components(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    open_ = common.settle(placed.join(mixed, "key").join(bits, "node"), "open")
-    one, two = (open_.select("key", F.col("label").alias(f"label_{s}"), F.col("node").alias(s), *(F.col(f"b{k}").alias(f"{s}{k}") for k in range(4))) for s in "ab")
-    more = one.join(two, "key").where(F.col("a") < F.col("b")).where("label_a != label_b").where(apart <= most_bits).select("a", "b").distinct()
-    more = common.settle(more.join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.union(common.settle(verified(more, docs, percent, width), "more-links"))
-        labels = components(links)
+    open_ = common.settle(placed.join(mixed, "key").select("node", "label").distinct(), "open")
+    if not open_.isEmpty():
+        more = common.settle(prefix_links(common.settle(shingle_sets(docs, open_, width), "open-sets"), percent), "more-links")
+        labels = components(links.union(more))
     named_classes = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
     linked = some.select("doc_id", "n_shingles", "set_key").join(named_classes, "set_key")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id"))
