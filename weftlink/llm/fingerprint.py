@@ -47,84 +47,123 @@ def digests(text: str | None) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _places(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    """A cell in each third of the table for each key."""
-    third, h = cells // HASHES, common.mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F))
-    return [((h >> np.uint64(20 * k) & np.uint64(0xFFFFF)) % np.uint64(third)).astype(np.int64) + k * third for k in range(HASHES)]
-
-
-def _check(keys: np.ndarray) -> np.ndarray:
-    return (common.mix(keys + np.uint64(0x165667B19E3779F9)) >> np.uint64(32)).astype(np.uint32)
-
-
-def sketch(keys: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    """The sketch of a set of digests: per cell a count, and the XOR of the keys and of their checks."""
-    out = np.zeros(cells, _CELL)
-    if len(keys):
-        check = _check(keys)
-        for at in _places(keys, cells):
-            np.add.at(out["count"], at, 1)
-            np.bitwise_xor.at(out["key"], at, keys)
-            np.bitwise_xor.at(out["check"], at, check)
-    return out
-
-
-def subtract(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = a.copy()
-    out["count"] -= b["count"]
-    out["key"] ^= b["key"]
-    out["check"] ^= b["check"]
-    return out
+class Sketches:
+    """The sketches of many sets side by side; set i has 3 * thirds[i] cells, and each key one cell in each third.
 
+    A cell holds a count, and the XOR of its keys and of their checks. Sketches are linear: with ``signs`` of 1 and -1
+    a sketch is the difference of those of two sets.
+    """
 
-def peel(diff: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """Digests only in the first and only in the second set, or None if the sketch is too small for them."""
-    cells = len(diff)
-    count, key, check = diff["count"].tolist(), diff["key"].tolist(), diff["check"].tolist()
-    only: tuple[list[int], list[int]] = ([], [])
-    queue = [i for i in range(cells) if count[i] in (1, -1)]
-    while queue:
-        i = queue.pop()
-        if count[i] not in (1, -1):
-            continue
-        k, sign = key[i], count[i]
-        own = np.array([k], np.uint64)
-        c = int(_check(own)[0])
-        if c != check[i] or i not in (places := [int(p[0]) for p in _places(own, cells)]):
-            continue
-        only[0 if sign == 1 else 1].append(k)
-        if len(only[0]) + len(only[1]) > 4 * cells:
-            return None
-        for j in places:
-            count[j] -= sign
-            key[j] ^= k
-            check[j] ^= c
-            if count[j] in (1, -1):
-                queue.append(j)
-    return None if any(count) or any(key) or any(check) else only
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """Digests only in a and only in b, by sketches of ``cells`` cells, and of twice as many after each failure."""
-    while True:
-        found = peel(subtract(sketch(a, cells), sketch(b, cells)))
-        if found is not None:
-            return found
-        cells *= 2
-
-
-def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> float:
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, thirds: np.ndarray, signs: np.ndarray | None = None):
+        self.thirds = np.asarray(thirds, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(HASHES * self.thirds)])
+        self.count = np.zeros(self.first[-1], np.int64)
+        self.key, self.check = np.zeros(self.first[-1], np.uint64), np.zeros(self.first[-1], np.uint64)
+        self.toggle(keys, owner, np.ones(len(keys), np.int64) if signs is None else signs)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return common.mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def _checks(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return h * np.uint64(0x165667B19E3779F9) >> np.uint64(32)
+
+    def _place(self, h: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+        third = self.thirds[owner]
+        return self.first[owner] + k * third + (h >> np.uint64(20 * k) & np.uint64(0xFFFFF)).astype(np.int64) % third
+
+    def toggle(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> None:
+        h = self._hash(keys)
+        own = self._checks(h)
+        for k in range(HASHES):
+            at = self._place(h, owner, k)
+            np.add.at(self.count, at, signs)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, own)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, key, sign) of all keys that can be recovered, and which sets were recovered whole.
+
+        Third by third, the keys of all cells that hold just one are taken out of their other cells as well; a set has
+        each key in one cell of a third, so none is taken twice.
+        """
+        n = len(self.thirds)
+        cell_owner = np.repeat(np.arange(n), HASHES * self.thirds)
+        inside = np.arange(self.first[-1]) - self.first[cell_owner]
+        cells = [np.flatnonzero(inside // np.maximum(self.thirds[cell_owner], 1) == k) for k in range(HASHES)]
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
+        idle = turn = 0
+        budget = 4 * len(self.count) + 1
+        while idle < HASHES and budget > 0:
+            k, turn = turn % HASHES, turn + 1
+            pure = cells[k][np.abs(self.count[cells[k]]) == 1]
+            keys, owner = self.key[pure], cell_owner[pure]
+            h = self._hash(keys)
+            true = (self._checks(h) == self.check[pure]) & (self._place(h, owner, k) == pure)
+            if not true.any():
+                idle += 1
+                continue
+            idle = 0
+            keys, owner, signs = keys[true], owner[true], self.count[pure[true]]
+            budget -= len(keys)
+            self.toggle(keys, owner, -signs)
+            out.append((owner, keys, signs))
+        left = np.bincount(cell_owner, (self.count != 0) | (self.key != 0) | (self.check != 0), n)
+        owner, keys, signs = (np.concatenate(x) for x in zip(*out, strict=True))
+        return owner, keys, signs, left == 0
+
+    def texts(self) -> list[str]:
+        table = np.zeros(len(self.count), _CELL)
+        table["count"], table["key"], table["check"] = self.count, self.key, self.check
+        return [base64.b85encode(table[i:j].tobytes()).decode() for i, j in zip(self.first[:-1], self.first[1:], strict=True)]
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of digest sets, the digests only in the first and only in the second.
+
+    The sketches of a pair are subtracted and peeled. Where that fails they are made again, larger: the squares of a
+    difference's counts add up to about three per digest, which tells how much.
+    """
+    done: list = [None] * len(pairs)
+    open_ = np.arange(len(pairs))
+    thirds = np.full(len(pairs), max(1, cells // HASHES))
+    while len(open_):
+        own = [pairs[i] for i in open_.tolist()]
+        sizes = np.array([[len(a), len(b)] for a, b in own])
+        keys = np.concatenate([x for ab in own for x in ab])
+        owner = np.repeat(np.arange(len(own)), sizes.sum(1))
+        signs = np.repeat(np.tile([1, -1], len(own)), sizes.ravel())
+        table = Sketches(keys, owner, thirds, signs)
+        squares = np.add.reduceat(table.count**2, table.first[:-1])
+        drift = (np.add.reduceat(table.count, table.first[:-1]) ** 2) // (HASHES * thirds)
+        guess = np.maximum(squares - drift, 0) // HASHES + np.abs(sizes[:, 0] - sizes[:, 1])
+        who, k, sign, whole = table.peel()
+        order = np.argsort(who, kind="stable")
+        who, k, sign = who[order], k[order], sign[order]
+        bounds = np.searchsorted(who, np.arange(len(own) + 1))
+        for i in np.flatnonzero(whole).tolist():
+            x, s = k[bounds[i] : bounds[i + 1]], sign[bounds[i] : bounds[i + 1]]
+            done[open_[i]] = x[s > 0], x[s < 0]
+        open_, thirds = open_[~whole], np.maximum(2 * thirds, 2 * guess // HASHES)[~whole]
+    return done
+
+
+def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[float]:
     """Characters of units in both, as a share of the mean of both totals; 1 for equal sets, also for two empty ones."""
-    size = lambda x: int((np.asarray(x, np.uint64) & np.uint64(0xFFFF)).sum())
-    total = size(a) + size(b)
-    if not total:
-        return 1.0
-    only = difference(a, b, cells)
-    return 1.0 - (size(only[0]) + size(only[1])) / total
+    size = lambda x: int((x & np.uint64(0xFFFF)).sum())
+    out = []
+    for (a, b), (x, y) in zip(pairs, differences(pairs, cells), strict=True):
+        total = size(a) + size(b)
+        out.append(1.0 - (size(x) + size(y)) / total if total else 1.0)
+    return out
 
 
-def text_of(table: np.ndarray) -> str:
-    return base64.b85encode(table.tobytes()).decode()
+def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
+    """The sketch of each set in ``cells`` cells as text."""
+    if not sets:
+        return []
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    return Sketches(np.concatenate(sets), owner, np.full(len(sets), cells // HASHES)).texts()
 
 
 def edited(text: str, following: str) -> str:
@@ -186,21 +225,22 @@ def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
         import pyarrow as pa
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        last, rows = None, []
+        last = None
         for b in batches:
             for lo, hi in common.slices(b.column("text"), 2_000_000):
-                part = b.slice(lo, hi - lo)
+                part, rows, near = b.slice(lo, hi - lo), [], []
                 for place, sentinel, doc, text in zip(*(part.column(c).to_pylist() for c in ("range", "sentinel", "doc_id", "text")), strict=True):
                     keys = digests(text)
                     if last is not None and last[0] == place:
                         _, was, old, own = last
                         new = edited(old, text)
-                        changed = digests(new)
-                        rows.append((was, len(old), hashlib.sha256(new.encode()).hexdigest(), text_of(sketch(own, cells)), text_of(sketch(changed, cells)), likeness(own, changed, cells), likeness(own, keys, cells)))
+                        near += [(own, digests(new)), (own, keys)]
+                        rows.append((was, len(old), hashlib.sha256(new.encode()).hexdigest()))
                     last = None if sentinel else (place, doc, text, keys)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows = []
+                    like = likenesses(near, cells)
+                    columns = [*zip(*rows, strict=True), fingerprints([a for a, _ in near[::2]], cells), fingerprints([x for _, x in near[::2]], cells), like[::2], like[1::2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return following_pairs(docs).select("range", "sentinel", "doc_id", "text").mapInArrow(run, schema)
