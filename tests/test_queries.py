@@ -1,0 +1,40 @@
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from weftlink.plans import registry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def db(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+def plain(v):
+    return round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_against_duckdb(spark, db, sf, name):
+    df = registry.queries()[name](spark, sf)
+    cur = db.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    want = sorted(str(tuple(map(plain, r))) for r in cur.fetchall())
+    assert sorted(str(tuple(plain(r[c]) for c in names)) for r in df.collect()) == want
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_files(spark, sf):
+    assert registry.queries()["file_inventory"](spark, sf).count() == len(TABLES)
