@@ -8,8 +8,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -172,42 +174,47 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def buckets(docs: DataFrame, parts: int) -> tuple[list, DataFrame]:
-    """Splitters of doc_id into about ``parts`` ranges, and the first document of each range that has any.
-
-    The splitters come from one approximate-quantile pass over doc_id; both are as many as there are ranges.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first().c or []
-    return sorted(set(cuts)), ids
+def splitters(docs: DataFrame, parts: int) -> np.ndarray:
+    """Ascending doc_ids that cut the table into about ``parts`` ranges, from one approximate-quantile pass over doc_id."""
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first().c
+    return np.unique(np.array(cuts or [], np.int64))
 
 
 def following_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows dealt and sorted so that within a task each document is followed by the next one in doc_id order.
+    """Rows dealt and sorted so that within a range each document is followed by the next one in doc_id order.
 
-    Columns: range, doc_id, tie (of rows with one doc_id), text, sentinel. A range ends in a copy of the first document
+    Columns: range, sentinel, doc_id, tie (of rows with one doc_id), text. A range ends in a copy of the first document
     of the next range that has one (of the first of all, at the end), marked as sentinel, so no task needs another.
-    Null doc_ids come first.
+    Null doc_ids come first. The driver holds a splitter and a first document's id for each range, four ranges for each
+    shuffle partition.
     """
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts, _ = buckets(docs, parts)
-    doc_id = F.col("doc_id").cast("long")
-    # A range is the number of splitters at or below the id; nulls are in range 0.
-    place = F.coalesce(F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>"), F.lit(0), lambda n, c: n + (doc_id >= c).cast("int")), F.lit(0))
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("range", place)
-    first = rows.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect()  # a row per range
+    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = splitters(docs, parts)
+
+    @F.pandas_udf(T.IntegerType())
+    def place(known: pd.Series, doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.where(known, np.searchsorted(cuts, doc_id.to_numpy(np.int64), "right"), 0).astype(np.int32))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, number = F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("range", place(known, number))
+    first = rows.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect()  # a row for each range
     order = sorted(r.range for r in first)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    heads = F.create_map(*[F.lit(x) for r in first for x in (r.range, before[r.range])]) if first else F.create_map().cast("map<int,int>")
-    head_of = {r.range: r.first for r in first}
-    is_head = F.lit(False)
-    if first:
-        ids = F.create_map(*[F.lit(x) for r, h in head_of.items() for x in (r, F.struct(F.lit(h.doc_id).cast("long"), F.lit(h.tie).cast("long")))])
-        is_head = F.struct(F.col("doc_id").alias("col1"), F.col("tie").alias("col2")).eqNullSafe(ids[F.col("range")])
-    copies = F.when(is_head, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("sentinel")), F.struct(heads[F.col("range")].alias("range"), F.lit(True).alias("sentinel")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("sentinel"))))
-    dealt = rows.select("doc_id", "tie", "text", F.explode(copies).alias("c")).select(F.col("c.range").alias("range"), F.col("c.sentinel").alias("sentinel"), "doc_id", "tie", "text")
+    before, null, head, tie = (np.zeros(len(cuts) + 2, t) for t in (np.int32, bool, np.int64, np.int64))
+    for r in first:
+        null[r.range], head[r.range], tie[r.range] = r.first.doc_id is None, r.first.doc_id or 0, r.first.tie
+    for i, r in enumerate(order):
+        before[r] = order[i - 1]
+
+    @F.pandas_udf(T.IntegerType())
+    def copied_to(at: pd.Series, known: pd.Series, doc_id: pd.Series, own: pd.Series) -> pd.Series:
+        is_first = (null[at] != known) & (head[at] == doc_id) & (tie[at] == own)
+        return pd.Series(np.where(is_first, before[at], -1).astype(np.int32))
+
+    rows = rows.withColumn("copy", copied_to("range", known, number, "tie"))
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("sentinel"))
+    copies = F.when(F.col("copy") >= 0, F.array(own, F.struct(F.col("copy").alias("range"), F.lit(True).alias("sentinel")))).otherwise(F.array(own))
+    dealt = rows.select("doc_id", "tie", "text", F.explode(copies).alias("c")).select("c.range", "c.sentinel", "doc_id", "tie", "text")
     return dealt.repartition("range").sortWithinPartitions("range", "sentinel", "doc_id", "tie")
 
 

@@ -89,7 +89,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, bad_words: list[str
     ``strength`` labels of ``prior``, is at least ``reject``. A URL is labelled bad (1) or good (0) by ``labels``; by
     default by its rule, or as bad by a word of ``bad_words`` between the marks of its host. A template without labels
     has the prior and is allowed. Null URLs and URLs without :// have an empty host and path. Repeated rows stay; other
-    columns are ignored. Only rows with a rejected template are joined by host, so allowed hot hosts cost nothing.
+    columns are ignored. Verdicts are joined back by host and shape, a table with a row per shape; AQE splits a hot one.
     """
     rules = RULES if rules is None else rules
     words = BAD_WORDS if bad_words is None else bad_words
