@@ -25,11 +25,12 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 42, rest: bool =
     counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     cut = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where((F.col("__before") < n) & (F.col("__before") + F.col("__n") >= n)).select(F.col("__p").alias("__cut"), "__before")
-    one = cut.agg(F.max("__cut").alias("__cut"), F.max("__before").alias("__before"))  # a single row, of nulls if n covers nothing or all
-    rows = rows.join(F.broadcast(one))
+    found = cut.first()  # a single row, or none if n covers nothing or all
+    if found is None:
+        return df if (n > 0) != rest else df.limit(0)
     inside = Window.partitionBy("__p").orderBy("__h", key)
-    edge = rows.where(F.col("__p") == F.col("__cut")).withColumn("__r", F.row_number().over(inside) + F.col("__before")).withColumn("__in", F.col("__r") <= n).drop("__r")
-    clear = rows.where(F.col("__p") != F.coalesce("__cut", F.lit(""))).withColumn("__in", F.when(F.col("__cut").isNull(), F.lit(n > 0)).otherwise(F.col("__p") < F.col("__cut")))
+    edge = rows.where(F.col("__p") == found["__cut"]).withColumn("__in", F.row_number().over(inside) + found["__before"] <= n)
+    clear = rows.where(F.col("__p") != found["__cut"]).withColumn("__in", F.col("__p") < found["__cut"])
     return clear.unionByName(edge).where(~F.col("__in") if rest else F.col("__in")).select(df.columns)
 
 
