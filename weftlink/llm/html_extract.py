@@ -16,7 +16,8 @@ CONTAINERS = frozenset("article blockquote body div main section td".split())
 DROPPED = frozenset("aside button datalist dialog footer form head menu nav noscript option search select title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "body": set()}
-NOISE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+NOISE = frozenset("ad adbox ads adsense adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
+HEADERS = frozenset("header page-header site-header top-header".split())
 RAW = frozenset("iframe math noembed object script style svg template textarea xmp".split())
 
 _TOKEN = re.compile(
@@ -36,7 +37,7 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
     for m in _NAMED.finditer(rest):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
         words = _WORD.findall(value)
-        noise = noise or name == "hidden" or not NOISE.isdisjoint(words)
+        noise = noise or name == "hidden" or not NOISE.isdisjoint(words) or value in HEADERS
         if name == "class":
             step = f"{tag}." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
     return step, noise and tag not in ("html", "body", "article", "main")

@@ -125,5 +125,37 @@ from d left join g using (payload_digest)
 """
 
 
+def _op10() -> str:
+    """The template tree level by level, as the operator builds it with its defaults."""
+    from .url_filter import BAD_WORDS, RULES
+
+    ordered = sorted(RULES, key=lambda r: (len(r.text), r.text), reverse=True)
+    fits = [f"(host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}')" for r in ordered]
+    rule = "case " + " ".join(f"when {f} then '{r.text}'" for f, r in zip(fits, ordered, strict=True)) + " end"
+    ruled = "case " + " ".join(f"when {f} then '{r.verdict}'" for f, r in zip(fits, ordered, strict=True)) + " end"
+    words = ", ".join(f"'{w}'" for w in BAD_WORDS)
+    levels = []
+    for n in range(1, 5):
+        was = f"t{n - 1}"
+        levels.append(f"w{n} as (select host, template[1:{n - 1}] as parent from {was} where len(template) >= {n} group by all having count(distinct template[{n}]) > 64)")
+        levels.append(f"t{n} as (select {was}.host, shape, case when w{n}.parent is not null then template[1:{n - 1}] || ['*'] || template[{n + 1}:] else template end as template, bad, labelled from {was} left join w{n} on w{n}.host = {was}.host and len(template) >= {n} and template[1:{n - 1}] = w{n}.parent)")
+    share = "(sum(bad) + 0.4::double) / (sum(labelled) + 2.0::double)"
+    return f"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r as (select *, {rule} as rule, {ruled} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as s from h),
+p as (select page_id, host, path, rule, ruled, list_transform(s[1:4], lambda x: case when regexp_full_match(x, '[0-9]+') then '{{n}}' when regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') and regexp_matches(x, '[0-9]') then '{{id}}'
+  when length(x) > 40 then '{{long}}' else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) || (case when len(s) > 4 then ['**'] else [] end) as shape,
+  case when list_has_any(regexp_split_to_array(host, '[^a-z]+'), [{words}]) or ruled = 'block' then 1 when ruled = 'allow' then 0 end as bad from r),
+t0 as (select host, shape, shape as template, coalesce(sum(bad), 0) as bad, count(bad) as labelled from p group by host, shape),
+{", ".join(levels)},
+n as (select host, template, sum(bad) as bad, sum(labelled) as labelled, floor({share} / 0.25::double) as band from t4 group by host, template),
+m as (select host, len(template) as length, template[2:] as rest, band, {share} as purity from n group by all),
+j as (select n.host, n.template, m.purity from n join m on m.host = n.host and m.length = len(n.template) and m.rest = n.template[2:] and m.band = n.band)
+select page_id, p.host, path, rule, coalesce(ruled, case when purity >= 0.5 then 'block' else 'allow' end) as verdict, '/' || array_to_string(t4.template, '/') as template, purity
+from p join t4 on t4.host = p.host and t4.shape = p.shape join j on j.host = p.host and j.template = t4.template
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op7_decontamination": _OP7, "op8_minhash": _OP8}
+    return {"op2_warc": _OP2, "op7_decontamination": _OP7, "op8_minhash": _OP8, "op10_url_filter": _op10()}
