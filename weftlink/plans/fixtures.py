@@ -31,8 +31,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(name.alias("entity_id"), cut(1, 4).alias("business_name"), cut(5, 8).alias("business_address"), F.upper("lang").alias("country"), cut(13, 8).alias("link"))
 
 
+_ENTITIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def er_view(spark: SparkSession, sf_dir: str) -> View:
-    rows = entities(spark, sf_dir)
+    """The sources and truth of a data directory. The entities, which stand for input tables, are derived from the texts once and kept on memory and disk."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _ENTITIES:
+        _ENTITIES[at] = entities(spark, sf_dir)
+    rows = _ENTITIES[at].persist()  # again after a clearCache
     s1, s2, s3 = (rows.where(F.col("entity_id").startswith(f"S{k}-")) for k in (1, 2, 3))
     left = s1.select("entity_id", "link")
     right = s2.unionByName(s3).where(F.col("link") != "").select("link", F.col("entity_id").alias("pool_id"))
