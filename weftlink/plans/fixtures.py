@@ -39,7 +39,9 @@ def er_view(spark: SparkSession, sf_dir: str) -> View:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _ENTITIES:
         _ENTITIES[at] = entities(spark, sf_dir)
-    rows = _ENTITIES[at].persist()  # again after a clearCache
+    rows = _ENTITIES[at]
+    if not rows.storageLevel.useDisk:  # new, or after a clearCache
+        rows.persist()
     s1, s2, s3 = (rows.where(F.col("entity_id").startswith(f"S{k}-")) for k in (1, 2, 3))
     left = s1.select("entity_id", "link")
     right = s2.unionByName(s3).where(F.col("link") != "").select("link", F.col("entity_id").alias("pool_id"))
