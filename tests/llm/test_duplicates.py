@@ -91,6 +91,8 @@ def test_repeats_nulls_and_empty(spark):
     rows = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.link_components(df).collect())
     assert rows == [("2", "2", True), ("4", "2", False), ("4", "2", False), ("7", "7", True), ("None", "None", True)]
     assert sorted(str(r.doc_id) for r in minhash.deduplicate(df).collect()) == ["2", "7", "None"]
+    odd = minhash.deduplicate(df.withColumn("a.b", F.lit(1)))
+    assert odd.columns == ["doc_id", "text", "n_chars", "a.b"] and odd.count() == 3
     assert minhash.link_components(df.where("false")).count() == 0 and minhash.deduplicate(df.where("false")).count() == 0
 
 

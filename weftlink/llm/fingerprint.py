@@ -8,10 +8,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -180,6 +178,20 @@ def splitters(docs: DataFrame, parts: int) -> np.ndarray:
     return np.unique(np.array(cuts or [], np.int64))
 
 
+def constants(values: np.ndarray) -> Column:
+    """An array of longs that the optimizer folds into one literal."""
+    text = ",".join(map(str, values.tolist()))
+    return F.split(F.lit(text), ",").cast("array<bigint>") if text else F.array().cast("array<bigint>")
+
+
+def place(doc_id: Column, cuts: np.ndarray) -> Column:
+    """How many cuts are at or below doc_id, in about twice the root of their number of comparisons; 0 for null."""
+    step = max(1, int(len(cuts) ** 0.5))
+    block = F.size(F.filter(constants(cuts[::step]), lambda c: c <= doc_id))
+    inside = F.slice(constants(cuts), (block - 1) * step + 1, F.lit(step))
+    return F.when(doc_id.isNull() | (block == 0), 0).otherwise((block - 1) * step + F.size(F.filter(inside, lambda c: c <= doc_id)))
+
+
 def following_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows dealt and sorted so that within a range each document is followed by the next one in doc_id order.
 
@@ -190,32 +202,22 @@ def following_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = splitters(docs, parts)
-
-    @F.pandas_udf(T.IntegerType())
-    def place(known: pd.Series, doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.where(known, np.searchsorted(cuts, doc_id.to_numpy(np.int64), "right"), 0).astype(np.int32))
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known, number = F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("range", place(known, number))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("range", place(F.col("doc_id"), cuts))
     first = rows.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect()  # a row for each range
     order = sorted(r.range for r in first)
-    before, null, head, tie = (np.zeros(len(cuts) + 2, t) for t in (np.int32, bool, np.int64, np.int64))
+    before, null, head, tie = (np.zeros(len(cuts) + 1, np.int64) for _ in range(4))
     for r in first:
         null[r.range], head[r.range], tie[r.range] = r.first.doc_id is None, r.first.doc_id or 0, r.first.tie
     for i, r in enumerate(order):
         before[r] = order[i - 1]
-
-    @F.pandas_udf(T.IntegerType())
-    def copied_to(at: pd.Series, known: pd.Series, doc_id: pd.Series, own: pd.Series) -> pd.Series:
-        is_first = (null[at] != known) & (head[at] == doc_id) & (tie[at] == own)
-        return pd.Series(np.where(is_first, before[at], -1).astype(np.int32))
-
-    rows = rows.withColumn("copy", copied_to("range", known, number, "tie"))
+    of = lambda values: F.get(constants(values), F.col("range"))
+    known = F.coalesce("doc_id", F.lit(0).cast("long"))
+    is_first = (of(null) == F.col("doc_id").isNull().cast("long")) & (of(head) == known) & (of(tie) == F.col("tie"))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("sentinel"))
-    copies = F.when(F.col("copy") >= 0, F.array(own, F.struct(F.col("copy").alias("range"), F.lit(True).alias("sentinel")))).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "tie", "text", F.explode(copies).alias("c")).select("c.range", "c.sentinel", "doc_id", "tie", "text")
-    return dealt.repartition("range").sortWithinPartitions("range", "sentinel", "doc_id", "tie")
+    copy = F.struct(of(before).cast("int").alias("range"), F.lit(True).alias("sentinel"))
+    dealt = rows.select("doc_id", "tie", "text", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("c"))
+    return dealt.select("c.range", "c.sentinel", "doc_id", "tie", "text").repartition("range").sortWithinPartitions("range", "sentinel", "doc_id", "tie")
 
 
 def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -234,7 +236,7 @@ def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         last = None
         for b in batches:
-            for lo, hi in common.slices(b.column("text"), 2_000_000):
+            for lo, hi in common.slices(b.column("text")):
                 part, rows, near = b.slice(lo, hi - lo), [], []
                 for place, sentinel, doc, text in zip(*(part.column(c).to_pylist() for c in ("range", "sentinel", "doc_id", "text")), strict=True):
                     keys = digests(text)
