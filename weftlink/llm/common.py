@@ -10,7 +10,8 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -39,6 +40,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, also those whose names hold dots or backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; works on executors for local, HDFS and object stores alike."""
     from pyarrow import fs
@@ -79,7 +85,7 @@ class PieceEncoder(dict):
     Texts whose white space runs would be grouped across a cut are encoded whole.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, limit: int = 400_000, longest: int = 64):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -133,7 +139,7 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     return _ENCODERS[path, kind]
 
 
-def slices(column, budget: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def slices(column, budget: int = 1_000_000) -> Iterable[tuple[int, int]]:
     """(from, to) over an Arrow string column, so that each slice holds about ``budget`` characters or one long text."""
     import pyarrow.compute as pc
 

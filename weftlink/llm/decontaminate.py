@@ -164,4 +164,4 @@ def find(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5, b
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the documents that hold an item; rows without a doc_id stay."""
     found = common.settle(find(docs, items, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(common.columns(docs))

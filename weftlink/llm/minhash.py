@@ -58,7 +58,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
         names = ["doc_id", "n_shingles", "set_key", "bands", "b0", "b1", "b2", "b3"]
         for b in batches:
-            for lo, hi in common.slices(b.column("text"), 1_500_000):
+            for lo, hi in common.slices(b.column("text"), 500_000):
                 part = b.slice(lo, hi - lo)
                 hashes, first, _ = common.shingle_hashes(pc.cast(part.column("text"), pa.binary()).to_pylist(), width)
                 n = len(part)
@@ -88,7 +88,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) ->
         import pyarrow.compute as pc
 
         for batch in batches:
-            for lo, hi in common.slices(batch.column("text_a"), 1_500_000):
+            for lo, hi in common.slices(batch.column("text_a"), 500_000):
                 part = batch.slice(lo, hi - lo)
                 n, keep = len(part), []
                 left, right = (pc.cast(part.column(c), pa.binary()).to_pylist() for c in ("text_a", "text_b"))
@@ -138,7 +138,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame
         import pyarrow.compute as pc
 
         for batch in batches:
-            for lo, hi in common.slices(batch.column("text"), 1_500_000):
+            for lo, hi in common.slices(batch.column("text"), 500_000):
                 part = batch.slice(lo, hi - lo)
                 hashes, first, _ = common.shingle_hashes(pc.cast(part.column("text"), pa.binary()).to_pylist(), width)
                 sets = [np.unique(hashes[i:j]).view(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
@@ -219,5 +219,5 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the rows of documents that are not kept; of rows that repeat a doc_id one stays. Rows without a doc_id stay."""
     gone = link_components(docs, percent).where("not kept").select(F.col("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(common.columns(docs))
     return named.unionByName(docs.where("doc_id is null"))

@@ -173,4 +173,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = rows.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    return out.select(common.columns(docs))
