@@ -36,6 +36,14 @@ def test_versions(spark):
     assert got[2].near_next < 0.1
 
 
+def test_repeated_short_units_have_digests_of_their_own():
+    """Occurrence numbers of short words once collided, and a sketch with a key twice never peels."""
+    words = [w for w in "abcdefghijklmnopqrstuvwxyz" for _ in range(300)] + ["|"] * 700 + ["."] * 500
+    a, b = fingerprint.digests("\n".join(words)), fingerprint.digests("\n".join(words[:-40]))
+    assert len(a) == len(words) == len(np.unique(a))
+    assert len(fingerprint.differences([(a, b)])[0][0]) == 40
+
+
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([Row(1, "a b c"), Row(1, "a b c"), Row(1, "d e f"), Row(None, "g"), Row(None, None)], "doc_id long, text string")
     assert fingerprint.fingerprint_versions(docs).count() == 5

@@ -42,9 +42,9 @@ def digests(text: str | None) -> np.ndarray:
     out = []
     for u in units(text or ""):
         n = seen[u] = seen.get(u, -1) + 1
-        h = xxhash.xxh3_64_intdigest(u.encode(), n)
+        h = xxhash.xxh3_64_intdigest(f"{u}\n{n}".encode() if n else u.encode())
         out.append(h >> 16 << 16 | min(len(u), 65535))
-    return np.array(out, np.uint64)
+    return np.unique(np.array(out, np.uint64))  # a key twice in a sketch would cancel itself and never peel
 
 
 class Sketches:
