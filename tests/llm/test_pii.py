@@ -69,6 +69,17 @@ def test_contexts_find_unseen_identifiers(corpus):
     assert sorted(got, key=str) == sorted([(500, [(21, 31)]), (501, []), (502, [(12, 22)]), (502, [(12, 22)]), (None, [(27, 37)]), (503, [])], key=str)
 
 
+def test_every_kind_of_base_span_seeds(spark):
+    """Identifiers after contexts of emails, IPs and grouped cards, of which none holds an identifier-like token."""
+    cards = [f"4111 1111 1111 1{n:03d}" for n in range(400) if luhn(f"4111111111111{n:03d}")]
+    made = [f"you can reach office {w}@mail.org during work" for w in ("ann", "bob", "cy", "dee", "eve", "flo", "gus", "hal")]
+    made += [f"log shows source 10.0.0.{n} was blocked" for n in range(40)] + [f"the payment card {c} was used" for c in cards]
+    docs = dict(enumerate(made, 1000)) | {1: "you can reach office QX8122077 during work", 2: "log shows source HX-1200-77 was blocked", 3: "the payment card DE89 3704 0044 0532 was used", 4: "the part number 1234 5678 9012 is unrelated", 5: "log shows source 10.0.0.300 was blocked"}
+    got = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.id] for r in pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert {i: got.pop(i) for i in (1, 2, 3, 4, 5)} == {1: ["QX8122077"], 2: ["HX-1200-77"], 3: ["DE89 3704 0044 0532"], 4: [], 5: ["10.0.0.300"]}
+    assert not any(got.values())
+
+
 def test_redact(corpus):
     out = {r.doc_id: r for r in pii.redact(corpus.withColumn("n_chars", F.length("text").cast("long"))).collect()}
     assert out[500].text == "Later on member card [ID] was used again" and out[500].n_chars == len(out[500].text)

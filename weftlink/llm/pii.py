@@ -22,18 +22,26 @@ _MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 # Identifier-like: a run of 6 to 64 letters, digits, _ and - that holds four digits or more.
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
-_SPAN = "array<struct<start:int,end:int,match:string>>"
-_CANDIDATES = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+# An identifier written in groups: 2 to 12 runs of such characters, each of up to 12 with a digit, between single blanks
+# or dots; of 2 characters or more where blanks part them. GROUPED_DIGITS digits or more in all.
+_GROUP = r"(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{%d,12}+(?![A-Za-z0-9_-])"
+GROUPED = r"(?<![A-Za-z0-9_-])(?:" + _GROUP % 2 + r"(?:[ .]" + _GROUP % 2 + r"){1,11}+|" + _GROUP % 1 + r"(?:\." + _GROUP % 1 + r"){1,11}+)"
+GROUPED_DIGITS = 4
+_SPAN = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places in code points: split() gives what lies between the matches, and lengths add up."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    """Matches with their places in code points, and up to 80 characters before and after each.
+
+    split() gives what lies between the matches, and lengths add up.
+    """
+    gaps = F.split(text, pattern, -1)
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.slice(gaps, 2, F.lit(2**31 - 1)).alias("after"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(80)).alias("left"), F.left(x["after"], F.lit(80)).alias("right")))
         return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -62,18 +70,10 @@ def base(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens with places and up to 80 characters before and after."""
-    gaps = F.split(text, CANDIDATE, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("match"), F.slice(gaps, 2, F.lit(2**31 - 1)).alias("after"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value"), F.right(x["gap"], F.lit(80)).alias("left"), F.left(x["after"], F.lit(80)).alias("right"))
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_CANDIDATES).alias("out"))
-    return F.when(text.rlike(CANDIDATE), F.aggregate(parts, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(_CANDIDATES))
+    """Identifier-like tokens, and identifiers written in groups, with their places and contexts."""
+    none = F.array().cast(_SPAN)
+    grouped = F.filter(located(text, GROUPED), lambda x: F.length(F.regexp_replace(x["match"], "[^0-9]", "")) >= GROUPED_DIGITS)
+    return F.concat(F.when(text.rlike(CANDIDATE), located(text, CANDIDATE)).otherwise(none), F.when(text.rlike(GROUPED), grouped).otherwise(none))
 
 
 def contexts(left: Column, right: Column) -> Column:
@@ -92,25 +92,26 @@ def contexts(left: Column, right: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: doc_id, key (of the text), the spans of each kind, and candidates off the base spans."""
+    """One pass over the texts: doc_id, key (of the text), the spans of each kind and the candidates, all with contexts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("key"), *(base(F.col("text"), k).alias(k) for k in KINDS), F.when(F.col("text").rlike("[0-9]{2}|[0-9][A-Za-z_-]+[0-9]"), candidates(F.col("text"))).otherwise(F.array().cast(_CANDIDATES)).alias("near"))
-    return found.withColumns({k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS})
+    near = F.when(F.col("text").rlike("[0-9]{2}|[0-9][A-Za-z_.-]+[0-9]"), candidates(F.col("text"))).otherwise(F.array().cast(_SPAN))
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), *(base(F.col("text"), k).alias(k) for k in KINDS), near.alias("near"))
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
     """(doc_id, key, start, end): identifiers off the base spans whose contexts are those of base spans.
 
-    Instances are the values of identifier-like tokens, patterns their contexts; a token that overlaps a base span makes
-    its value a seed. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of
+    Instances are the values of base spans and of candidates (identifier-like tokens, and identifiers in groups),
+    patterns their contexts; base spans and candidates that overlap one make their value a seed. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of
     score 0 added, and an instance off the seeds by the mean of its patterns that reach ``least`` with at least
     ``support`` instances. Both run on the graph's distinct edges, so copies of a text count once and hot patterns are
-    summed before they are shuffled. A token is found if one of its patterns and its value's score reach ``least``.
+    summed before they are shuffled. A candidate is found if one of its patterns and its value's score reach ``least``.
     """
     bases = F.concat(*(F.col(k) for k in KINDS))
     seed = F.exists("bases", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    places = found.where(F.size("near") > 0).select("doc_id", "key", bases.alias("bases"), F.explode("near").alias("c"))
-    places = places.select("doc_id", "key", "c.start", "c.end", F.xxhash64("c.value").alias("value"), seed.alias("seed"), contexts(F.col("c.left"), F.col("c.right")).alias("patterns")).distinct()
+    near = found.where(F.size("near") > 0).select("doc_id", "key", bases.alias("bases"), F.explode("near").alias("c")).select("doc_id", "key", "c", seed.alias("seed"))
+    places = near.union(found.select("doc_id", "key", F.explode(bases).alias("c"), F.lit(True)))
+    places = places.select("doc_id", "key", "c.start", "c.end", F.xxhash64("c.match").alias("value"), "seed", contexts(F.col("c.left"), F.col("c.right")).alias("patterns")).distinct()
     places = common.settle(places, "pii-places")
     edges = common.settle(places.select("value", F.explode("patterns").alias("pattern"), F.col("seed").cast("int").alias("seed")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seeds"))
@@ -124,18 +125,31 @@ def bootstrap(found: DataFrame, rounds: int = 3, least: float = 0.8, support: in
     return open_.join(strong.select("pattern"), "pattern", "left_semi").join(good, "value", "left_semi").select("doc_id", "key", "start", "end").distinct()
 
 
+def outermost(ordered: Column) -> Column:
+    """Spans that lie in no other, from (start, back) in order, where back is the negative end."""
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end")))
+        return F.when(-x["back"] <= acc["at"], acc).otherwise(F.struct((-x["back"]).alias("at"), F.concat(acc["out"], one).alias("out")))
+
+    first = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.aggregate(ordered, first, step, lambda acc: acc["out"])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, key, email, ip, card, phone, id: arrays of (start, end) in code points, end exclusive, by start.
 
     One row per row of docs. Base kinds follow their patterns and tests; id holds what the contexts add, off the base
-    spans. Null text: no spans. Equal texts of one doc_id get equal spans; a null doc_id is a value of its own. An empty
+    spans, without those that lie inside another. Null text: no spans. Equal texts of one doc_id get equal spans; a null doc_id is a value of its own. An empty
     table gives no rows; other columns are ignored.
     """
     found = common.settle(scan(docs), "pii-base")
-    more = bootstrap(found).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(ADDED))
+    ordered = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"))))
+    more = bootstrap(found).groupBy("doc_id", "key").agg(outermost(ordered).alias(ADDED))
     more = common.settle(more, "pii-added").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), ADDED)
     out = found.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return out.select("doc_id", "key", *KINDS, F.coalesce(ADDED, F.array().cast("array<struct<start:int,end:int>>")).alias(ADDED))
+    places = (F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS)
+    return out.select("doc_id", "key", *places, F.coalesce(ADDED, F.array().cast("array<struct<start:int,end:int>>")).alias(ADDED))
 
 
 def joined(kinds: list[str]) -> Column:
