@@ -24,6 +24,19 @@ def test_extract():
     assert x.extract('<p title="a>b">x</p><p broken="y>z</p>', None).startswith("x")
 
 
+def test_slashes_in_classes_and_text_around_the_winner(spark):
+    long = "<div class='{}'><p>" + "words of the body " * 20 + "</p></div>"
+    body = " ".join(["words of the body"] * 20)
+    slash = "<body><div class='w-1/2 md:w-2/3'>" + long.format("col-1/2") + "</div></body>"
+    assert x.extract(slash, None) == body
+    inner = "<h1>Title</h1><p>The lead.</p>" + long.format("body") + "<div class='more'><p>The end.</p></div>"
+    want = f"Title\n\nThe lead.\n\n{body}"
+    assert x.extract(f"<body><p>Loading</p><main><h2>Top</h2><article>{inner}</article></main></body>", None) == f"Top\n\n{want}\n\nThe end."
+    assert x.extract(f"<body><a href=x>Skip to it</a><div class=wrap><div class=post>{inner}</div><div class=box><p>teaser</p></div></div></body>", None) == want
+    df = spark.createDataFrame([(1, "http://h/1", slash)], "page_id long, url string, html string")
+    assert x.main_text(df).first().text == body
+
+
 def test_hostile_pages_are_linear():
     for page in ("<" * 200_000, '<a b="' * 20_000, "<p>" * 50_000 + "x", "<!--" * 50_000, "<script>" * 20_000):
         x.extract(page, None)

@@ -30,7 +30,10 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """The generalised step of an element (tag and classes without digits) and whether its names mark it as noise."""
+    """The generalised step of an element (tag and classes without digits) and whether its names mark it as noise.
+
+    A / in a class becomes a blank, which no class holds, as / joins the steps of a path.
+    """
     if not rest or "=" not in rest and "hidden" not in rest:
         return tag, False
     step, noise = tag, False
@@ -39,7 +42,7 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
         words = _WORD.findall(value)
         noise = noise or name == "hidden" or not NOISE.isdisjoint(words) or value in HEADERS
         if name == "class":
-            step = f"{tag}." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
+            step = f"{tag}." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split()))).replace("/", " ")
     return step, noise and tag not in ("html", "body", "article", "main")
 
 
@@ -119,15 +122,32 @@ def scores(found: list) -> dict[str, float]:
     return out
 
 
+def _articles(steps: list[str] | tuple[str, ...]) -> list[int]:
+    return [i for i, step in enumerate(steps) if step.split(".")[0] in ("article", "main")]
+
+
 def best_path(found: list) -> str | None:
+    """The best-scored path, or that of the article or main nearest around it."""
     ranked = sorted(scores(found).items(), key=lambda x: (-x[1], x[0]))
-    return ranked[0][0] if ranked else None
+    if not ranked:
+        return None
+    steps = ranked[0][0].split("/")
+    inside = _articles(steps)
+    return "/".join(steps[: inside[-1] + 1] if inside else steps)
 
 
 def text_under(found: list, path: str | None) -> str:
-    """Blocks under the containers with this path, joined by two newlines; all blocks if path is None."""
+    """Blocks under the containers with this path, joined by two newlines; all blocks if path is None.
+
+    The own blocks of the containers around them come with them, as headings and leads often stand there: those within
+    the outermost article or main, or, outside of both, of all containers. Blocks that are mostly links do not.
+    """
     want = tuple(path.split("/")) if path is not None else ()
-    return "\n\n".join(text for own, _, text, _ in found if own[: len(want)] == want)
+    if not any(own[: len(want)] == want for own, _, _, _ in found):
+        return ""
+    least = next((i + 1 for i in _articles(want)), 0)
+    around = {want[:n] for n in range(least, len(want))}
+    return "\n\n".join(text for own, _, text, linked in found if own[: len(want)] == want or own in around and len(text) > 2 * linked)
 
 
 def extract(page: str | None, winners: list[str] | None) -> str:
@@ -142,7 +162,7 @@ def extract(page: str | None, winners: list[str] | None) -> str:
 def consensus(pages: DataFrame, most: int = 3, least_share: float = 0.1) -> DataFrame:
     """(host, winners): the container paths that most pages of a host vote for, at most ``most`` with ``least_share`` of the votes.
 
-    A page votes for its best-scored path. Votes are summed per host and path before they are shuffled, and a host's
+    A page votes for its best path. Votes are summed per host and path before they are shuffled, and a host's
     candidates are few, as paths hold no numbers; ties go to the path that sorts first.
     """
 
