@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from weftlink.llm import decontaminate, minhash
+from weftlink.llm import common, decontaminate, minhash
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(3000)]
@@ -96,6 +96,15 @@ def test_repeats_nulls_and_empty(spark):
     assert minhash.link_components(df.where("false")).count() == 0 and minhash.deduplicate(df.where("false")).count() == 0
 
 
+def test_short_items_are_always_candidates():
+    """Verbatim copies of items of 1 to 8 shingles inside of other words, with short and empty texts between."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(5 + i % 8))) for i in range(2000)]
+    texts = [t for i, item in items for t in (" ".join([*(f"a{i}x{k}" for k in range(i % 40))] + [item] + [f"b{i}x{k}" for k in range(30)]), "", "two words")]
+    hashes, first, _ = common.shingle_hashes([t.encode() for t in texts])
+    found = decontaminate.ItemIndex.build(items).candidates(hashes, first)
+    assert found == {(3 * i, i) for i, _ in items}
+
+
 def test_decontamination(spark):
     items = [(i, " ".join(rng.choices(WORDS, k=n))) for i, n in enumerate([5, 6, 9, 14, 30, 60, 130, 300, 700] * 3)] + [(90, None), (91, "too short"), (92, ""), (4, "Some OTHER words under an id that repeats here")]
     docs = []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BINS = 64
+FEW = 8
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _EMPTY = np.uint64(2**64 - 1)
@@ -40,7 +41,8 @@ def block_minima(hashes: np.ndarray, block: np.ndarray, n_blocks: int) -> np.nda
 class ItemIndex:
     """A block of benchmark items by size class: class c holds items of up to 2 ** c shingles.
 
-    ``minima[c]`` are the sorted bin minima of the class, ``owners[c]`` the item of each.
+    ``minima[c]`` are the sorted bin minima of the class, ``owners[c]`` the item of each. Class 0 holds the items of up to
+    ``FEW`` shingles with all their hashes: the bins of a window hide too many of so few.
     """
 
     ids: list
@@ -56,9 +58,9 @@ class ItemIndex:
         keep = [i for i in range(len(items)) if words[i] >= width]
         for at, i in enumerate(keep):
             own = np.unique(hashes[first[i] : first[i + 1]])
-            size = max(3, int(len(own) - 1).bit_length())
-            low = block_minima(own, np.zeros(len(own), np.int64), 1)[0]
-            found.setdefault(size, []).append((at, low[low != _EMPTY]))
+            size = int(len(own) - 1).bit_length() if len(own) > FEW else 0
+            low = block_minima(own, np.zeros(len(own), np.int64), 1)[0] if size else own
+            found.setdefault(size, []).append((at, low[low != _EMPTY] if size else low))
         minima, owners = {}, {}
         for size, parts in found.items():
             m = np.concatenate([x for _, x in parts])
@@ -68,7 +70,7 @@ class ItemIndex:
         return cls([items[i][0] for i in keep], [shingles(items[i][1], width) for i in keep], sorted(found), minima, owners)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) that share a bin minimum in some window.
+        """(text, item) that share a bin minimum in some window, or any hash if the item has few.
 
         For class c a text is cut into blocks of 2 ** c shingles, and each two neighbours are a window, so a copy of an
         item lies inside one window, whose similarity to the item is bounded below whatever the length of the text.
@@ -77,6 +79,15 @@ class ItemIndex:
         sizes = np.diff(first)
         low, text_of, inside = None, None, None
         for size in self.classes:
+            if size == 0:
+                values, owners = self.minima[size], self.owners[size]
+                left = np.searchsorted(values, hashes)
+                hit = np.flatnonzero(values[np.minimum(left, len(values) - 1)] == hashes)
+                right = np.searchsorted(values, hashes[hit], "right")
+                holder = np.searchsorted(first, hit, "right") - 1
+                for text, a, b in set(zip(holder.tolist(), left[hit].tolist(), right.tolist(), strict=True)):
+                    out.update((text, int(o)) for o in owners[a:b])
+                continue
             if low is None:  # the finest class from the hashes, each coarser one from the one before
                 n_blocks = (sizes + (1 << size) - 1) >> size
                 base = np.concatenate([[0], np.cumsum(n_blocks)])
@@ -113,7 +124,7 @@ def find(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5, b
 
     items has item_id and text. They are the query set: the driver takes them in blocks of ``block_chars`` characters,
     and each block is broadcast and held against all documents, so neither grows with either table. Candidates share a
-    minimum in a window of the item's size class; each is confirmed on exact shingle sets of the whole texts.
+    minimum in a window of the item's size class, or any shingle with an item of up to ``FEW``; each is confirmed on exact shingle sets of the whole texts.
     Items of fewer than ``width`` words, null or empty items and null or empty documents match nothing. Rows with equal
     ids are reported each. Other columns are ignored.
     """
