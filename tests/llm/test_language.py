@@ -34,3 +34,9 @@ def test_edge_cases(spark):
     nothing = langid.identify(docs, langid.fit(train.where("false"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert docs.select(langid.held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0
+
+
+def test_more_than_64_languages(spark):
+    words = {f"l{i:03d}": " ".join(chr(0x4E00 + 40 * i + (7 * k) % 40) * 2 + chr(0x4E00 + 40 * i + k) for k in range(40)) for i in range(150)}
+    filters = langid.fit(spark.createDataFrame([(t, lang) for lang, t in words.items()], "text string, lang string"), 1 << 16)
+    assert filters.predict([*words.values(), "", None])[0] == [*words, langid.UNKNOWN, langid.UNKNOWN]

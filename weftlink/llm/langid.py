@@ -36,7 +36,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """A table of ``rows`` masks; bit l of a mask belongs to the Bloom filter of language l.
+    """Tables of ``rows`` masks, one for each 64 languages; a bit of a mask belongs to the Bloom filter of one language.
 
     Of an n-gram the ``hashes`` masks are read and ANDed: what remains are all languages that contain it. ``fill`` is
     the share of set bits of each language, so an absent n-gram passes with the probability fill ** hashes.
@@ -50,13 +50,12 @@ class LanguageFilters:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], rows: int, hashes: int) -> LanguageFilters:
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages share a table")
-        masks = np.zeros(rows, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages)))
-        for bit, lang in enumerate(languages):
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(len(languages), 64))
+        masks = np.zeros((max(1, -(-len(languages) // 64)), rows), kind)
+        for i, lang in enumerate(languages):
             for at in cls._rows(grams[lang], rows, hashes):
-                masks[at] |= masks.dtype.type(1 << bit)
-        fill = np.array([np.count_nonzero(masks & masks.dtype.type(1 << bit)) / rows for bit in range(len(languages))])
+                masks[i // 64][at] |= kind(1 << i % 64)
+        fill = np.array([np.count_nonzero(masks[i // 64] & kind(1 << i % 64)) / rows for i in range(len(languages))])
         return cls(languages, masks, hashes, fill)
 
     @staticmethod
@@ -67,10 +66,11 @@ class LanguageFilters:
             yield (h & np.uint64(rows - 1)).astype(np.int64)
             h = h + step
 
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        out = None
-        for at in self._rows(keys, len(self.masks), self.hashes):
-            out = self.masks[at] if out is None else out & self.masks[at]
+    def lookup(self, keys: np.ndarray, word: int = 0) -> np.ndarray:
+        """The masks of languages 64 * word and on."""
+        out, masks = None, self.masks[word]
+        for at in self._rows(keys, len(masks), self.hashes):
+            out = masks[at] if out is None else out & masks[at]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -82,11 +82,13 @@ class LanguageFilters:
         n = np.diff(ends, prepend=0)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        masks, found = self.lookup(keys), np.zeros((len(self.languages), len(texts)))
-        for bit in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), dtype=np.int64)])
-            false = self.fill[bit] ** self.hashes
-            found[bit] = ((total[ends] - total[ends - n]) / np.maximum(n, 1) - false) / max(1 - false, 1e-9)
+        found = np.zeros((len(self.languages), len(texts)))
+        for i in range(len(self.languages)):
+            if i % 64 == 0:
+                masks = self.lookup(keys, i // 64)
+            total = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1), dtype=np.int64)])
+            false = self.fill[i] ** self.hashes
+            found[i] = ((total[ends] - total[ends - n]) / np.maximum(n, 1) - false) / max(1 - false, 1e-9)
         found = found.clip(0, 1)
         best = found.argmax(0)
         return [self.languages[b] if m else UNKNOWN for b, m in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, found[best, np.arange(len(texts))], 0.0)
@@ -102,8 +104,8 @@ def fit(labelled: DataFrame, rows: int = 1 << 21, hashes: int = 4, least_rate: f
 
     An n-gram enters the filter of a language in which it occurs at a rate of at least ``least_rate`` of all n-grams and
     of at least ``least_share`` of its rate in the language where it is most frequent, which keeps out quotations.
-    Counts cover all rows; at most 1/least_rate n-grams of a language can pass, and the table has ``rows`` masks
-    whatever the input, so both what the driver gathers and what it broadcasts are bounded.
+    Counts cover all rows; at most 1/least_rate n-grams of a language can pass, and there are ``rows`` masks for
+    each 64 languages, so what the driver gathers and broadcasts grows with the languages only, of which any number goes.
     """
 
     def count(batches: Iterator) -> Iterator:
@@ -128,13 +130,14 @@ def fit(labelled: DataFrame, rows: int = 1 << 21, hashes: int = 4, least_rate: f
 
     known = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
     counts = common.settle(known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language
-    if not totals:
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
+    langs = [r.lang for r in sums.collect()]
+    if not langs:
         return LanguageFilters.build({}, rows, hashes)
-    rate = counts.withColumn("rate", F.col("n") / F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("lang")]).where(F.col("rate") >= least_rate)
+    rate = counts.join(F.broadcast(sums), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= least_rate)
     most = rate.groupBy("gram").agg(F.max("rate").alias("most"))
     kept = rate.join(most, "gram").where(F.col("rate") >= least_share * F.col("most")).select("lang", "gram").toPandas()
-    return LanguageFilters.build({lang: kept.gram[kept.lang == lang].to_numpy(np.int64).astype(np.uint64) for lang in totals}, rows, hashes)
+    return LanguageFilters.build({lang: kept.gram[kept.lang == lang].to_numpy(np.int64).astype(np.uint64) for lang in langs}, rows, hashes)
 
 
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
