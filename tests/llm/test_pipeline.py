@@ -6,11 +6,12 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
-from weftlink.llm import decontaminate, packing
+from weftlink.llm import decontaminate
 from weftlink.llm.queries import table
 
 from .test_duplicates import brute
 from .test_pii import brute as personal
+from .test_tokens import library_pieces
 
 
 def test_stages(spark, sf):
@@ -44,7 +45,7 @@ def test_stages(spark, sf):
     for r in packed:
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
         got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()))
-    want = packing.reference_pieces([(d, r.text) for d, r in after.items()], public_tokenizers.path("word_bpe_49k.json"))
+    want = library_pieces([(d, r.text) for d, r in after.items()], public_tokenizers.path("word_bpe_49k.json"))
     assert {d: [x for _, p in sorted(ps) for x in p] for d, ps in got.items()} == want
 
 

@@ -17,10 +17,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, as in tests, one of our own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = _OWN.get(sc.applicationId)
         if not where:
             where = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="weftlink-")
@@ -40,6 +42,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns by name, also those whose names hold dots or backticks."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -82,7 +95,8 @@ class PieceEncoder(dict):
     again move to the new one, the rest go with the old one. Pieces of Latin letters go straight to the library's merge
     model; others pass its whole pipeline.
     kind "byte": byte-level, a blank belongs to the word after it. kind "word": white space is dropped.
-    Texts whose white space runs would be grouped across a cut are encoded whole.
+    Texts whose white space runs would be grouped across a cut are encoded whole, and so are texts that may hold one of
+    the vocabulary's added tokens, which the library finds before it splits.
     """
 
     def __init__(self, path: str, kind: str, limit: int = 400_000, longest: int = 64):
@@ -92,7 +106,9 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.heads = tuple({c for m in added for c in (m[0], m[0].lower(), m[0].upper())})
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I).search
         self.kind, self.limit, self.longest = kind, limit, longest
         self.old: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
@@ -116,6 +132,8 @@ class PieceEncoder(dict):
         return ids
 
     def pieces(self, text: str) -> list[str] | None:
+        if any(h in text for h in self.heads) and self.added(text):
+            return None
         if self.kind == "word":
             return None if _SEPARATORS.search(text) else text.split()
         if "\0" in text:

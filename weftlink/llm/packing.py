@@ -96,7 +96,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", window: int = 4096
     it scans in blocks of about ``block`` ids, and windows that are not nearly full try again with the next block, so
     nothing is shuffled and memory is bounded by the block plus the longest document.
     Null or empty text: just the end id. Rows with the same doc_id are documents of their own. Null doc_id stays null.
-    Other columns are ignored. An empty table gives no rows. Sequence ids are unique, not dense.
+    Of pieces of one length the one scanned first is placed first, of windows with one room the last one opened. A very
+    long text is encoded alone. Other columns are ignored, whatever their names. An empty table gives no rows. Sequence ids are unique, not dense.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -153,12 +154,3 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", window: int = 4096
             yield from place(_packed(pool, window, block, True)[0])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
-
-
-def reference_pieces(rows: list[tuple[int, str | None]], tokenizer: str, window: int = 4096, end_id: int = 2) -> dict:
-    """Brute force for tests: the ids of each document by the tokenizers library itself."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    return {d: [*t.encode(x or "", add_special_tokens=False).ids, end_id] for d, x in rows}

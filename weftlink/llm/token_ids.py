@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +76,22 @@ class EliasFano:
             low = raw >> (at & 7) & ((1 << self.low_bits) - 1)
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i..j-1, from the bytes between the samples around them."""
+        j = min(j, self.n)
+        if i >= j:
+            return np.empty(0, np.uint64)
+        from_bit, last = int(self.samples[i // _SAMPLE]), -(-j // _SAMPLE)
+        to_bit = int(self.samples[last]) + 1 if last < len(self.samples) else 8 * len(self.high)
+        byte = from_bit >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (to_bit + 7) >> 3], bitorder="little")) + 8 * byte
+        ones = ones[ones >= from_bit][i % _SAMPLE :][: j - i]
+        out = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            step = 1 << 17
+            at = i * self.low_bits
+            bits = np.unpackbits(self.low[at >> 3 : (j * self.low_bits + 7) >> 3], bitorder="little")[at & 7 :][: (j - i) * self.low_bits]
             weight = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-            bits = np.unpackbits(self.low, bitorder="little")
-            for at in range(0, self.n, step):
-                m = min(step, self.n - at)
-                block = bits[at * self.low_bits : (at + m) * self.low_bits].reshape(m, self.low_bits)
-                out[at : at + m] |= (block.astype(np.uint64) * weight).sum(1, dtype=np.uint64)
+            out |= (bits.reshape(j - i, self.low_bits) * weight).sum(1, dtype=np.uint64)
         return out
 
 
@@ -95,23 +101,27 @@ class ShardWriter:
     def __init__(self, uri: str, id_bytes: int):
         fs, path = common.filesystem(uri)
         self.uri, self.id_bytes, self.out = uri, id_bytes, fs.open_output_stream(path, compression=None)
-        self.ids, self.ends, self.docs = 0, [], []
+        self.ids, self.ends, self.docs = 0, array("q"), array("q")
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
+        """Documents come by ascending doc_id, those without one first."""
+        if int(ids.max(initial=0)) >> 8 * self.id_bytes:
+            raise ValueError(f"token id {ids.max()} needs more than {self.id_bytes} bytes")
         self.out.write(ids.astype(f"<u{self.id_bytes}").tobytes())
         self.ids += len(ids)
         self.ends.append(self.ids)
-        self.docs.append(doc)
+        if doc is not None:
+            self.docs.append(doc)
 
     def close(self) -> tuple[str, int, int]:
-        known = np.array([d for d in self.docs if d is not None], np.int64)
+        known = np.frombuffer(self.docs, np.int64)
         least = int(known[0]) if len(known) else 0
-        bounds = EliasFano.encode(np.array(self.ends, np.uint64)).to_bytes()
+        bounds = EliasFano.encode(np.frombuffer(self.ends, np.uint64)).to_bytes()
         with np.errstate(over="ignore"):
             names = EliasFano.encode(known.view(np.uint64) - np.int64(least).view(np.uint64)).to_bytes()
-        self.out.write(bounds + names + _TRAILER.pack(self.ids, len(self.docs), len(self.docs) - len(known), self.id_bytes, least, len(bounds), len(names), MAGIC))
+        self.out.write(bounds + names + _TRAILER.pack(self.ids, len(self.ends), len(self.ends) - len(known), self.id_bytes, least, len(bounds), len(names), MAGIC))
         self.out.close()
-        return self.uri, len(self.docs), self.ids
+        return self.uri, len(self.ends), self.ids
 
 
 class Shard:
@@ -130,10 +140,14 @@ class Shard:
         self.bounds = EliasFano.from_bytes(tail[:a])
         self.nulls, self.least, self.names = nulls, least, EliasFano.from_bytes(tail[a:])
 
-    def doc_ids(self) -> list[int | None]:
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
         with np.errstate(over="ignore"):
-            known = (self.names.all() + np.int64(self.least).view(np.uint64)).view(np.int64)
-        return [None] * self.nulls + known.tolist()
+            known = (self.names.between(max(0, i - self.nulls), max(0, j - self.nulls)) + np.int64(self.least).view(np.uint64)).view(np.int64)
+        return [None] * max(0, min(j, self.nulls) - i) + known.tolist()
+
+    def start(self, i: int) -> int:
+        """Ids before document i."""
+        return self.bounds.select(i - 1) if i else 0
 
     def read(self, first: int, last: int) -> np.ndarray:
         """Ids first..last-1 of the whole array."""
@@ -141,17 +155,19 @@ class Shard:
         return np.frombuffer(self.file.read((last - first) * self.id_bytes), f"<u{self.id_bytes}")
 
     def document(self, i: int) -> np.ndarray:
-        return self.read(self.bounds.select(i - 1) if i else 0, self.bounds.select(i))
+        return self.read(self.start(i), self.start(i + 1))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, id_bytes: int = 2, shard_ids: int = 64_000_000) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, id_bytes: int = 2, shard_ids: int = 64_000_000, shard_docs: int = 4_000_000) -> DataFrame:
     """Encode every text, append ``end_id``, and write the ids in ascending doc_id order to shards in the shared folder.
 
     Returns the manifest, one row per shard in order: part, shard, uri, n_docs, n_ids, first_id (ids of all shards
     before it). It is written with Spark's committer, so only the files of successful attempts are in it.
-    Documents are dealt by ranges of doc_id and sorted; a shard is closed at ``shard_ids``. Null text: empty, so only
-    the end id. Null doc_ids come first. Rows with the same doc_id follow in the order of their texts.
-    Ids must fit in ``id_bytes``. An empty table gives an empty manifest.
+    Documents are dealt by ranges of doc_id and sorted; a shard is closed at ``shard_ids`` ids or ``shard_docs``
+    documents, so what a task holds of one is bounded. Null text: empty, so only the end id. Null doc_ids come first.
+    Rows with the same doc_id follow in the order of their texts' hashes, which also split such an id between tasks;
+    equal rows are written each. A very long text is encoded alone. Other columns are ignored, whatever their names. An id
+    that does not fit in ``id_bytes`` is an error. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     home = common.fresh(spark, "token-ids")
@@ -171,7 +187,7 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
                 for doc, ids in zip(piece.column("doc_id").to_pylist(), encoded, strict=True):
                     writer = writer or ShardWriter(f"{home}/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.ids", id_bytes)
                     writer.add(doc, np.frombuffer(ids + end, "<u4"))
-                    if writer.ids >= shard_ids:
+                    if writer.ids >= shard_ids or len(writer.ends) >= shard_docs:
                         done.append(writer.close())
                         writer = None
         if writer:
@@ -179,9 +195,9 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), pa.array(range(len(done)), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True))], ["part", "shard", "uri", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = common.settle(ordered.mapInArrow(run, "part int, shard int, uri string, n_docs long, n_ids long"), "token-id-manifest")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    shards = common.settle(ordered.select("doc_id", "text").mapInArrow(run, "part int, shard int, uri string, n_docs long, n_ids long"), "token-id-manifest")
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return shards.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -189,7 +205,8 @@ def write_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: in
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Documents of the shards: doc_id, start (over all shards), ids (little-endian unsigned 32-bit).
 
-    One task reads a shard at a time, in ranges of about a million ids whose bounds come from the Elias-Fano code.
+    One task reads a shard at a time. Of 4096 documents at a time the bounds are selected from the Elias-Fano code, then
+    their ids are read in ranges of about a million; no table of a shard's offsets is made.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -198,25 +215,21 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, base in zip(b.column("uri").to_pylist(), b.column("first_id").to_pylist(), strict=True):
                 shard = Shard(uri)
-                ends = shard.bounds.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                names, at = shard.doc_ids(), 0
-                while at < shard.n_docs:
-                    to = max(at + 1, int(np.searchsorted(ends, starts[at] + 1_000_000, "right")))
-                    first = int(starts[at])
-                    ids = shard.read(first, int(ends[to - 1])).astype("<u4")
-                    data = [ids[s - first : e - first].tobytes() for s, e in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at:to], pa.int64()), pa.array(base + starts[at:to], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
-                    at = to
+                for at in range(0, shard.n_docs, 4096):
+                    to = min(at + 4096, shard.n_docs)
+                    names, bounds = shard.doc_ids(at, to), np.append(np.uint64(shard.start(at)), shard.bounds.between(at, to)).astype(np.int64)
+                    i = 0
+                    while i < to - at:
+                        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + 1_000_000, "right")) - 1)
+                        ids = shard.read(int(bounds[i]), int(bounds[j])).astype("<u4")
+                        data = [ids[s:e].tobytes() for s, e in itertools.pairwise((bounds[i : j + 1] - bounds[i]).tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.int64()), pa.array(base + bounds[i:j], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
+                        i = j
 
     files = manifest.select("uri", "first_id").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64("uri"))
     return files.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def load(spark: SparkSession, uri: str) -> Shard:
     """A shard, for use outside Spark."""
     return Shard(uri)
