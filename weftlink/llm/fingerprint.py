@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,68 +15,109 @@ from . import common
 
 CELLS = 24
 HASHES = 3
+MEAN_WORDS = 3
+LONGEST = 256
 _CELL = np.dtype([("count", "<i4"), ("check", "<u4"), ("key", "<u8")])
+_SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_MARKS = np.array([ord(c) for c in ".!?\u3002\uff01\uff1f\u0964\u06d4\u061f"], np.uint32)  # sentence marks of several scripts
+_UNSPACED = 0x0E00  # scripts from here on mostly set no blanks between words
+_TURN = np.uint64(0x9FB21C651E98DF25)
 
 
-def units(text: str, words: int = 8, longest: int = 256) -> list[str]:
-    """Paragraphs, cut after sentence marks, then into runs of ``words`` words and pieces of ``longest`` characters.
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, _TURN), dtype=np.uint64)
 
-    A text of fewer than 4 * ``words`` words has its words as units, else a short text would be one unit or two.
+
+def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, first): a 64-bit digest of each unit of each text; text i has keys[first[i]:first[i+1]], distinct.
+
+    Units are the paragraphs of a text, cut into pieces by their content, with one rule for texts of any length: after a
+    line break, after a word that ends in a sentence mark or whose hash is a multiple of MEAN_WORDS, in scripts without
+    blanks after such a character, and after LONGEST characters. So an edit changes the units it touches and no others, and short texts have several.
+    A digest is 48 bits of hash, of the unit and how often it came before in its text, and 16 bits of its length.
     """
-    parts = re.split(r"\n+|(?<=[.!?])\s+", text)
-    if len(text) < 4096 and len(own := text.split()) < 4 * words:
-        out = own
-    else:
-        out = []
-        for u in parts:
-            w = u.split()
-            out += [" ".join(w)] if 0 < len(w) <= words else [" ".join(w[i : i + words]) for i in range(0, len(w), words)]
-    return [p for u in out for p in ([u] if len(u) <= longest else [u[i : i + longest] for i in range(0, len(u), longest)])]
-
-
-def digests(text: str | None) -> np.ndarray:
-    """A 64-bit digest of each unit: 48 bits of hash, of the unit and how often it came before, and 16 bits of its length."""
-    import xxhash
-
-    seen: dict[str, int] = {}
-    out = []
-    for u in units(text or ""):
-        n = seen[u] = seen.get(u, -1) + 1
-        h = xxhash.xxh3_64_intdigest(f"{u}\n{n}".encode() if n else u.encode())
-        out.append(h >> 16 << 16 | min(len(u), 65535))
-    return np.unique(np.array(out, np.uint64))  # a key twice in a sketch would cancel itself and never peel
+    sizes = np.array([len(t or "") for t in texts], np.int64)
+    codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    keep = np.flatnonzero(~np.isin(codes, _SPACES))
+    if not len(keep):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    char, owner = codes[keep].astype(np.uint64), owner[keep]
+    text_start = np.diff(owner, prepend=-1) != 0
+    gap = np.diff(keep, prepend=-2) > 1
+    word_start = gap | text_start
+    lines = np.concatenate([[0], np.cumsum(codes == 10)])
+    broken = np.diff(lines[keep], prepend=0) > 0
+    wide = char >= _UNSPACED
+    # A hash of each word, or in unspaced scripts of each two characters, tells whether a unit ends there.
+    begins = np.flatnonzero(word_start)
+    inside = np.arange(len(char)) - np.repeat(begins, np.diff(begins, append=len(char)))
+    with np.errstate(over="ignore"):
+        terms = common.mix(char + (inside.astype(np.uint64) + np.uint64(1)) * _TURN)
+        words = common.mix(np.add.reduceat(terms, begins))
+        two = common.mix(char + common.mix(np.where(text_start, np.uint64(0), np.concatenate([[np.uint64(0)], char[:-1]]))))
+    ends_word = np.append(word_start[1:], True)
+    last = np.flatnonzero(ends_word)
+    stop = np.zeros(len(char), bool)
+    stop[last] = words % np.uint64(MEAN_WORDS) == 0
+    stop |= ends_word & np.isin(codes[keep], _MARKS)
+    stop |= wide & ((two % np.uint64(2 * MEAN_WORDS) == 0) | np.isin(codes[keep], _MARKS))
+    unit_start = np.concatenate([[True], stop[:-1]]) | text_start | broken
+    at = np.flatnonzero(unit_start)
+    far = np.arange(len(char)) - np.repeat(at, np.diff(at, append=len(char)))
+    at = np.flatnonzero(unit_start | (far % LONGEST == 0))
+    lengths = np.diff(at, append=len(char))
+    far = np.arange(len(char)) - np.repeat(at, lengths)
+    with np.errstate(over="ignore"):
+        mark = np.where(word_start & (far > 0), np.uint64(1) << np.uint64(40), np.uint64(0))  # a blank before the character
+        h = common.mix(np.add.reduceat(common.mix(char + mark + np.uint64(1)) * _powers(LONGEST)[far], at) + lengths.astype(np.uint64))
+        whose = owner[at]
+        order = np.lexsort((h, whose))
+        same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (whose[order][1:] == whose[order][:-1])])
+        run = np.flatnonzero(~same)
+        nth = np.arange(len(order)) - np.repeat(run, np.diff(run, append=len(order)))
+        h, whose, lengths = h[order], whose[order], lengths[order]
+        h = np.where(nth > 0, common.mix(h + nth.astype(np.uint64) * _TURN), h)
+    keys = h >> np.uint64(16) << np.uint64(16) | lengths.astype(np.uint64)
+    order = np.lexsort((keys, whose))
+    keys, whose = keys[order], whose[order]
+    one = np.concatenate([[True], (keys[1:] != keys[:-1]) | (whose[1:] != whose[:-1])])  # a key twice in a sketch would cancel itself
+    return keys[one], np.searchsorted(whose[one], np.arange(len(texts) + 1))
 
 
 class Sketches:
     """The sketches of many sets side by side; set i has 3 * thirds[i] cells, and each key one cell in each third.
 
-    A cell holds a count, and the XOR of its keys and of their checks. Sketches are linear: with ``signs`` of 1 and -1
-    a sketch is the difference of those of two sets.
+    A cell holds a count, and the XOR of its keys and of their checks. Sketches of one size and ``salt`` are linear:
+    ``minus`` gives those of the differences of two sets.
     """
 
-    def __init__(self, keys: np.ndarray, owner: np.ndarray, thirds: np.ndarray, signs: np.ndarray | None = None):
-        self.thirds = np.asarray(thirds, np.int64)
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, thirds: np.ndarray, salt: int = 0):
+        self.thirds, self.salt = np.asarray(thirds, np.int64), salt
         self.first = np.concatenate([[0], np.cumsum(HASHES * self.thirds)])
         self.count = np.zeros(self.first[-1], np.int64)
         self.key, self.check = np.zeros(self.first[-1], np.uint64), np.zeros(self.first[-1], np.uint64)
-        self.toggle(keys, owner, np.ones(len(keys), np.int64) if signs is None else signs)
+        self.toggle(keys, owner, np.ones(len(keys), np.int64))
 
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return common.mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(np.empty(0, np.uint64), np.empty(0, np.int64), self.thirds, self.salt)
+        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        return out
 
-    def _checks(self, h: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return h * np.uint64(0x165667B19E3779F9) >> np.uint64(32)
+    def _checks(self, keys: np.ndarray) -> np.ndarray:
+        return common.mix(keys ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
 
-    def _place(self, h: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    def _place(self, keys: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
         third = self.thirds[owner]
-        return self.first[owner] + k * third + (h >> np.uint64(20 * k) & np.uint64(0xFFFFF)).astype(np.int64) % third
+        with np.errstate(over="ignore"):
+            h = common.mix(keys + np.uint64(0x165667B19E3779F9) * np.uint64(1 + HASHES * self.salt + k))
+        return self.first[owner] + k * third + (h % third.astype(np.uint64)).astype(np.int64)
 
     def toggle(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> None:
-        h = self._hash(keys)
-        own = self._checks(h)
+        own = self._checks(keys)
         for k in range(HASHES):
-            at = self._place(h, owner, k)
+            at = self._place(keys, owner, k)
             np.add.at(self.count, at, signs)
             np.bitwise_xor.at(self.key, at, keys)
             np.bitwise_xor.at(self.check, at, own)
@@ -85,29 +126,30 @@ class Sketches:
         """(owner, key, sign) of all keys that can be recovered, and which sets were recovered whole.
 
         Third by third, the keys of all cells that hold just one are taken out of their other cells as well; a set has
-        each key in one cell of a third, so none is taken twice.
+        each key in one cell of a third, so none is taken twice. Only cells that a removal touched are looked at again.
         """
         n = len(self.thirds)
         cell_owner = np.repeat(np.arange(n), HASHES * self.thirds)
         inside = np.arange(self.first[-1]) - self.first[cell_owner]
-        cells = [np.flatnonzero(inside // np.maximum(self.thirds[cell_owner], 1) == k) for k in range(HASHES)]
+        third = inside // np.maximum(self.thirds[cell_owner], 1)
+        fresh = [np.flatnonzero(third == k) for k in range(HASHES)]
         out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
-        idle = turn = 0
         budget = 4 * len(self.count) + 1
-        while idle < HASHES and budget > 0:
-            k, turn = turn % HASHES, turn + 1
-            pure = cells[k][np.abs(self.count[cells[k]]) == 1]
-            keys, owner = self.key[pure], cell_owner[pure]
-            h = self._hash(keys)
-            true = (self._checks(h) == self.check[pure]) & (self._place(h, owner, k) == pure)
-            if not true.any():
-                idle += 1
-                continue
-            idle = 0
-            keys, owner, signs = keys[true], owner[true], self.count[pure[true]]
-            budget -= len(keys)
-            self.toggle(keys, owner, -signs)
-            out.append((owner, keys, signs))
+        while any(map(len, fresh)) and budget > 0:
+            for k in range(HASHES):
+                cells, fresh[k] = fresh[k], np.empty(0, np.int64)
+                pure = cells[np.abs(self.count[cells]) == 1]
+                keys, owner = self.key[pure], cell_owner[pure]
+                true = (self._checks(keys) == self.check[pure]) & (self._place(keys, owner, k) == pure)
+                keys, owner, signs = keys[true], owner[true], self.count[pure[true]]
+                if not len(keys):
+                    continue
+                budget -= len(keys)
+                self.toggle(keys, owner, -signs)
+                out.append((owner, keys, signs))
+                for other in range(HASHES):
+                    if other != k:
+                        fresh[other] = np.union1d(fresh[other], self._place(keys, owner, other))
         left = np.bincount(cell_owner, (self.count != 0) | (self.key != 0) | (self.check != 0), n)
         owner, keys, signs = (np.concatenate(x) for x in zip(*out, strict=True))
         return owner, keys, signs, left == 0
@@ -118,25 +160,30 @@ class Sketches:
         return [base64.b85encode(table[i:j].tobytes()).decode() for i, j in zip(self.first[:-1], self.first[1:], strict=True)]
 
 
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    return keys, np.repeat(np.arange(len(sets)), list(map(len, sets)))
+
+
 def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of digest sets, the digests only in the first and only in the second.
 
-    The sketches of a pair are subtracted and peeled. Where that fails they are made again, larger: the squares of a
-    difference's counts add up to about three per digest, which tells how much.
+    The sketches of the two sets, in ``cells`` cells as in their fingerprints, are subtracted and peeled. Where that
+    fails both are made again, larger and with other places: the squares of a difference's counts add up to about three
+    per digest, which tells how much. Sizes at least double and are at most a cell in each third for every digest of
+    both sets; a pair that still fails there is compared digest by digest, so the retries end.
     """
     done: list = [None] * len(pairs)
     open_ = np.arange(len(pairs))
-    thirds = np.full(len(pairs), max(1, cells // HASHES))
+    thirds, salt = np.full(len(pairs), max(1, cells // HASHES)), 0
     while len(open_):
         own = [pairs[i] for i in open_.tolist()]
-        sizes = np.array([[len(a), len(b)] for a, b in own])
-        keys = np.concatenate([x for ab in own for x in ab])
-        owner = np.repeat(np.arange(len(own)), sizes.sum(1))
-        signs = np.repeat(np.tile([1, -1], len(own)), sizes.ravel())
-        table = Sketches(keys, owner, thirds, signs)
+        most = np.array([len(a) + len(b) for a, b in own])
+        left, right = (Sketches(*_flat([p[side] for p in own]), thirds, salt) for side in (0, 1))
+        table = left.minus(right)
         squares = np.add.reduceat(table.count**2, table.first[:-1])
-        drift = (np.add.reduceat(table.count, table.first[:-1]) ** 2) // (HASHES * thirds)
-        guess = np.maximum(squares - drift, 0) // HASHES + np.abs(sizes[:, 0] - sizes[:, 1])
+        total = np.add.reduceat(table.count, table.first[:-1])
+        guess = np.maximum(squares - total**2 // (HASHES * thirds), 0) // HASHES + np.abs(total) // HASHES
         who, k, sign, whole = table.peel()
         order = np.argsort(who, kind="stable")
         who, k, sign = who[order], k[order], sign[order]
@@ -144,7 +191,11 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS)
         for i in np.flatnonzero(whole).tolist():
             x, s = k[bounds[i] : bounds[i + 1]], sign[bounds[i] : bounds[i + 1]]
             done[open_[i]] = x[s > 0], x[s < 0]
-        open_, thirds = open_[~whole], np.maximum(2 * thirds, 2 * guess // HASHES)[~whole]
+        for i in np.flatnonzero(~whole & (thirds >= most)).tolist():
+            a, b = own[i]
+            done[open_[i]] = np.setdiff1d(a, b), np.setdiff1d(b, a)
+        again = ~whole & (thirds < most)
+        open_, thirds, salt = open_[again], np.minimum(np.maximum(2 * thirds, 2 * guess // HASHES), most)[again], salt + 1
     return done
 
 
@@ -160,10 +211,7 @@ def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -
 
 def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
     """The sketch of each set in ``cells`` cells as text."""
-    if not sets:
-        return []
-    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    return Sketches(np.concatenate(sets), owner, np.full(len(sets), cells // HASHES)).texts()
+    return Sketches(*_flat(sets), np.full(len(sets), max(1, cells // HASHES))).texts() if sets else []
 
 
 def edited(text: str, following: str) -> str:
@@ -223,9 +271,9 @@ def following_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document.
 
-    The fingerprint is the sketch of the text's units in ``cells`` cells. Likenesses come from the difference of two
-    sketches; where peeling fails the sketches are made again twice as large, so the digests that differ are always
-    recovered. Null text is empty. Rows with one doc_id follow in the order of their texts' hashes, null ids first. One document
+    The fingerprint is the sketch of the text's units in ``cells`` cells. Likenesses come from the difference of the two
+    versions' fingerprints; where peeling fails both sketches are made again, larger, so the digests that differ are
+    always recovered. Null text is empty; a very long text is worked on alone. Rows with one doc_id follow in the order of their texts' hashes, null ids first. One document
     alone follows itself. An empty table gives no rows; other columns are ignored.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -237,18 +285,22 @@ def fingerprint_versions(docs: DataFrame, cells: int = CELLS) -> DataFrame:
         last = None
         for b in batches:
             for lo, hi in common.slices(b.column("text")):
-                part, rows, near = b.slice(lo, hi - lo), [], []
+                part = b.slice(lo, hi - lo)
+                rows, chain, new = [], [] if last is None else [last[2]], []  # texts in order, and the edited ones
+                at = []  # of each row its place in the chain; the next document follows there
                 for place, sentinel, doc, text in zip(*(part.column(c).to_pylist() for c in ("range", "sentinel", "doc_id", "text")), strict=True):
-                    keys = digests(text)
                     if last is not None and last[0] == place:
-                        _, was, old, own = last
-                        new = edited(old, text)
-                        near += [(own, digests(new)), (own, keys)]
-                        rows.append((was, len(old), hashlib.sha256(new.encode()).hexdigest()))
-                    last = None if sentinel else (place, doc, text, keys)
+                        new.append(edited(last[2], text))
+                        rows.append((last[1], len(last[2]), hashlib.sha256(new[-1].encode()).hexdigest()))
+                        at.append(len(chain) - 1)
+                    chain.append(text)
+                    last = None if sentinel else (place, doc, text)
                 if rows:
-                    like = likenesses(near, cells)
-                    columns = [*zip(*rows, strict=True), fingerprints([a for a, _ in near[::2]], cells), fingerprints([x for _, x in near[::2]], cells), like[::2], like[1::2]]
+                    keys, first = digests(chain + new)
+                    sets = [keys[i:j] for i, j in itertools.pairwise(first.tolist())]
+                    own, edits = [sets[i] for i in at], sets[len(chain) :]
+                    like = likenesses([(own[i], other) for i, j in enumerate(at) for other in (edits[i], sets[j + 1])], cells)
+                    columns = [*zip(*rows, strict=True), fingerprints(own, cells), fingerprints(edits, cells), like[::2], like[1::2]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
