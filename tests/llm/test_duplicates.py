@@ -91,6 +91,13 @@ def test_repeats_nulls_and_empty(spark):
     rows = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.link_components(df).collect())
     assert rows == [("2", "2", True), ("4", "2", False), ("4", "2", False), ("7", "7", True), ("None", "None", True)]
     assert sorted(str(r.doc_id) for r in minhash.deduplicate(df).collect()) == ["2", "7", "None"]
+    other = " ".join(WORDS[100:130])
+    shared = spark.createDataFrame([(3, text), (5, text), (5, other), (6, other), (5, None), (8, None), (8, ""), (9, "x"), (9, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.link_components(shared).collect())
+    assert got == [(3, 26, 3, True), (5, 0, 3, False), (5, 26, 3, False), (5, 26, 3, False), (6, 26, 3, False), (8, 0, 8, True), (8, 0, 8, True), (9, 1, 9, True), (9, 1, 9, True)]
+    stay = minhash.deduplicate(shared.withColumn("node_id", F.lit("mine")).withColumn("component_id", F.lit(7)))
+    rows = sorted((r.doc_id, r.text or "", r.node_id, r.component_id) for r in stay.collect())
+    assert rows == sorted((d, t, "mine", 7) for d, t in [(3, text), (5, other), (5, ""), (8, ""), (8, ""), (9, "x")])
     odd = minhash.deduplicate(df.withColumn("a.b", F.lit(1)))
     assert odd.columns == ["doc_id", "text", "n_chars", "a.b"] and odd.count() == 3
     assert minhash.link_components(df.where("false")).count() == 0 and minhash.deduplicate(df.where("false")).count() == 0
@@ -132,3 +139,11 @@ def test_decontamination(spark):
     kept = {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {w[0] for w in want if w[0] is not None}
     assert decontaminate.find(df, bench.where("false")).count() == 0 and decontaminate.find(df.where("false"), bench).count() == 0
+
+
+def test_one_passage_in_most_of_many_texts(spark):
+    """Texts of which 80 % is one passage are not alike: no links, and none lost among the copies between them."""
+    passage = rng.choices(WORDS, k=80)
+    docs = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(30 + i % 7)])) for i in range(60)] + [(100 + i, " ".join(passage + [f"own{i}x{k}" for k in range(30 + i % 7)][:-1])) for i in range(0, 60, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)

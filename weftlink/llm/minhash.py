@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,15 +112,15 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable over links (a, b); nodes without links are absent.
 
-    Every round takes the least label among neighbours and then that label's own label, so chains shorten as well.
-    Each round's table is written to the shared folder.
+    Every round takes the least label among neighbours and then that label's own label, so chains shorten as well, until
+    no label changes; labels only become smaller, so that comes. Each round's table is written to the shared folder.
     """
     edges = common.settle(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
     labels = common.settle(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
@@ -127,7 +128,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if labels.where("label != was").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
-    raise RuntimeError("labels did not settle")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
@@ -155,21 +155,28 @@ def prefix_links(sets: DataFrame, percent: int) -> DataFrame:
     Prefix filtering: with each set's shingles in ascending order of how many sets hold them, two sets over the
     threshold share one among the first size - ceil(threshold * size) + 1 of each, at places that leave room for the
     overlap they need. What the copies of one original have in common is frequent, so what is joined is mostly what few
-    share. In the postings of a shingle only nodes off its most frequent label look for partners.
+    share. In the postings of a shingle only nodes off its most frequent label look for partners, and only among nodes of
+    like size: postings are dealt by shingle and size band. Counts are written before they are joined, so a join reads
+    its shuffles directly and the engine can split the partition of a frequent shingle.
     """
     shingles = sets.select("node", "label", "size", F.xxhash64("set").alias("own"), F.explode("set").alias("shingle"))
-    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y"))
-    ranked = shingles.join(held, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node", "own").orderBy("held", "shingle")))
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("held > 1")
+    held = common.settle(held.select("shingle", "held", (F.col("x") != F.col("y")).alias("several")), "held")
+    ranked = shingles.join(held, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("node", "own").orderBy(F.coalesce("held", F.lit(1)), "shingle")))
     need = lambda n: F.ceil(F.lit(percent) * n / 100)
-    prefix = ranked.where((F.col("place") <= F.col("size") - need(F.col("size")) + 1) & (F.col("x") != F.col("y"))).select("shingle", "node", "label", "size", "place")
+    band = F.floor(F.log(F.col("size")) / math.log(100.01 / percent))  # sizes over the threshold are at most one band apart
+    prefix = ranked.where((F.col("place") <= F.col("size") - need(F.col("size")) + 1) & F.col("several")).select("shingle", "node", "label", "size", "place", band.alias("band"))
     prefix = common.settle(prefix, "prefixes")
-    main = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m")).select("shingle", F.col("m.label").alias("main"))
-    one = prefix.join(main, "shingle").where("label != main").select("shingle", F.col("node").alias("node_a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
-    two = prefix.select("shingle", F.col("node").alias("node_b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    main = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("m"))
+    main = common.settle(main.select("shingle", F.col("m.label").alias("main")), "main-labels")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    one = prefix.join(main, "shingle").where("label != main").select("shingle", near, F.col("node").alias("node_a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
+    one = common.settle(one, "seekers")
+    two = prefix.select("shingle", "band", F.col("node").alias("node_b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
     overlap = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / (100 + percent))
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
     sizes = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = one.join(two, "shingle").where(F.col("label_a") != F.col("label_b")).where(sizes).where(room >= overlap)
+    pairs = one.join(two, ["shingle", "band"]).where(F.col("label_a") != F.col("label_b")).where(sizes).where(room >= overlap)
     pairs = common.settle(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "prefix-pairs")
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
@@ -177,12 +184,19 @@ def prefix_links(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The doc_ids of several rows."""
+    return rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+
 def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, width: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and set_key.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of ``width``-word shingles; component_id
     is the smallest doc_id reachable, and kept marks that document. Null or wordless texts have no shingles and are
-    linked with nothing. A null doc_id has a null component_id and is kept. Rows with the same doc_id are one node.
+    linked with nothing. Rows with the same doc_id are one node, also if their texts differ: they share a component. A
+    null doc_id has a null component_id and is kept. Sets hold 64-bit hashes of shingles. A very long text is worked on
+    alone. An empty table gives no rows; other columns are ignored, whatever their names.
 
     Equal sets form a class, named by its smallest doc_id, before anything is compared. The classes of a band bucket are
     compared with the bucket's smallest first, unless their sketches differ in more than ``most_bits`` of 256 bits (5
@@ -192,6 +206,11 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     rows = common.settle(signatures(docs, width), "signatures")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = common.settle(some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4))), "classes")
+    repeats = common.settle(repeated(rows), "repeated-ids")
+    repeating = not repeats.isEmpty()
+    if repeating:  # one row of each text of a doc_id is enough to compare
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        docs = texts.join(repeats, "doc_id", "left_anti").unionByName(texts.join(repeats, "doc_id", "left_semi").distinct())
     entries = classes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last")
     members = common.settle(entries.join(buckets.select("key", "pivot"), "key"), "members")
@@ -202,7 +221,11 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     tried = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tried = common.settle(tried.join(named("a"), "a").join(named("b"), "b").where(apart <= most_bits).select("a", "b"), "tried")
-    links = common.settle(verified(tried, docs, percent, width), "links")
+    links = verified(tried, docs, percent, width)
+    if repeating:
+        own = some.join(repeats, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+        links = links.union(own.where("doc_id != node").select("doc_id", "node"))
+    links = common.settle(links, "links")
     labels = components(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
@@ -213,11 +236,33 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     named_classes = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
     linked = some.select("doc_id", "n_shingles", "set_key").join(named_classes, "set_key")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id"))
+    if repeating:
+        whole = linked.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        alone = alone.join(whole, "doc_id", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("whole", "component_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "set_key", "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the rows of documents that are not kept; of rows that repeat a doc_id one stays. Rows without a doc_id stay."""
-    gone = link_components(docs, percent).where("not kept").select(F.col("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(common.columns(docs))
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group of linked texts: that with the smallest doc_id.
+
+    Here rows are what is linked, so no text is lost with another one that shares its doc_id: of rows that repeat a
+    doc_id, those with equal texts are one, others are judged by their own texts (ties by the texts' hash). Rows without
+    a doc_id stay. All columns stay as they are, whatever their names. An empty table stays empty.
+    """
+    repeats = common.settle(repeated(docs.select(F.col("doc_id").cast("long"))), "repeated-ids")
+    if repeats.isEmpty():
+        gone = link_components(docs, percent).where("not kept").select("doc_id")
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti").select(common.columns(docs))
+    own, node, tie = common.unused(docs, "own_id", "node_id", "text_tie")
+    text = F.col("text").cast("string")
+    named = docs.where("doc_id is not null").withColumn(own, F.col("doc_id").cast("long")).withColumn(tie, F.xxhash64(text))
+    several = named.join(repeats.toDF(own), own, "left_semi")
+    first = common.settle(several.groupBy(own).agg(F.min(tie).alias(node)), "first-texts")
+    key = F.when(F.col(node).isNull() | (F.col(node) == F.col(tie)), F.col(own)).otherwise(F.xxhash64(own, tie))
+    keys = named.select(own, tie, text.alias("text")).join(first, own, "left").withColumn(node, key)
+    linked = link_components(keys.select(F.col(node).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias(node), "component_id").distinct()
+    groups = keys.select(own, tie, node).distinct().join(linked, node)
+    best = common.settle(groups.groupBy("component_id").agg(F.min(F.struct(own, tie)).alias("b")).select(f"b.{own}", f"b.{tie}"), "kept-rows")
+    kept = named.join(best, [own, tie], "left_semi")
+    once = kept.join(repeats.toDF(own), own, "left_anti").unionByName(kept.join(repeats.toDF(own), own, "left_semi").dropDuplicates([own, tie]))
+    return once.select(common.columns(docs)).unionByName(docs.where("doc_id is null"))
