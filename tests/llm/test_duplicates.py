@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -9,11 +10,19 @@ rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(3000)]
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def shingles(text):
-    w = decontaminate._WORDS.findall((text or "").translate(decontaminate._LOWER))
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def item_shingles(text):
+    """A text of fewer than five words holds no item and is held by nothing."""
+    return {s for s in shingles(text) if len(s) == 5}
+
+
 def brute(docs, percent=75):
     sets = {d: shingles(t) for d, t in docs}
     parent = {d: d for d in sets}
@@ -103,13 +112,25 @@ def test_repeats_nulls_and_empty(spark):
     assert minhash.link_components(df.where("false")).count() == 0 and minhash.deduplicate(df.where("false")).count() == 0
 
 
-def test_short_items_are_always_candidates():
-    """Verbatim copies of items of 1 to 8 shingles inside of other words, with short and empty texts between."""
-    items = [(i, " ".join(f"i{i}w{k}" for k in range(5 + i % 8))) for i in range(2000)]
-    texts = [t for i, item in items for t in (" ".join([*(f"a{i}x{k}" for k in range(i % 40))] + [item] + [f"b{i}x{k}" for k in range(30)]), "", "two words")]
-    hashes, first, _ = common.shingle_hashes([t.encode() for t in texts])
-    found = decontaminate.ItemIndex.build(items).candidates(hashes, first)
-    assert found == {(3 * i, i) for i, _ in items}
+def test_no_holder_is_missed():
+    """Items of all sizes with three quarters of their shingles scattered in pieces over long texts are all candidates."""
+    items, texts, held = [], [], set()
+    for i in range(300):
+        n = rng.choice([5, 6, 7, 9, 12, 20, 40, 80, 150, 400, 1200])
+        words = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(words).encode()))
+        step = max(8, n // 10)
+        parts = [words[at : at + step + 4] for at in range(0, n, step)]  # neighbours overlap, so each shingle is in one
+        rng.shuffle(parts)
+        filler = iter(f"t{i}f{k}" for k in range(10**6))
+        text = [w for p in parts for w in [*(next(filler) for _ in range(rng.randrange(200))), *p]]
+        if rng.random() < 0.5 and n > 40:  # some pieces are lost
+            text = [w for p in parts[: len(parts) - len(parts) // 5] for w in [*(next(filler) for _ in range(50)), *p]]
+        texts.append(" ".join(text).encode())
+        item, own = item_shingles(items[-1][1].decode()), item_shingles(texts[-1].decode())
+        if 100 * len(item & own) >= 75 * len(item):
+            held.add((i, i, len(item & own), len(item)))
+    assert set(decontaminate.ItemIndex.build(items).search(texts, 75, 5)) == held and len(held) > 200
 
 
 def test_decontamination(spark):
@@ -126,15 +147,16 @@ def test_decontamination(spark):
     docs += [(500, None), (501, ""), (None, items[5][1]), (7, items[6][1]), (502, "x " * 100_000)]
     want = set()
     for d, t in docs:
-        own = decontaminate.shingles(t)
+        own = item_shingles(t)
         for i, x in items:
-            of = decontaminate.shingles(x)
+            of = item_shingles(x)
             if of and 100 * (n := len(of & own)) >= 75 * len(of):
                 want.add((d, i, n, len(of)))
     df = spark.createDataFrame([Row(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (300, 10**7):
-        assert {tuple(r) for r in decontaminate.find(df, bench, block_chars=block).collect()} == want
+    for most in (300, 10**7):  # joined, broadcast
+        got = [tuple(r) for r in decontaminate.find(df, bench, broadcast_chars=most).collect()]
+        assert set(got) == want and len(got) == len(want)
     assert len(want) > 20
     kept = {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {w[0] for w in want if w[0] is not None}

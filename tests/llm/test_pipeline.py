@@ -6,10 +6,9 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
-from weftlink.llm import decontaminate
 from weftlink.llm.queries import table
 
-from .test_duplicates import brute
+from .test_duplicates import brute, item_shingles
 from .test_pii import brute as personal
 from .test_tokens import library_pieces
 
@@ -28,8 +27,8 @@ def test_stages(spark, sf):
     assert sorted(r.doc_id for r in single.collect()) == sorted(d for d, (_, c) in groups.items() if c == d)
 
     clean = stage["decontamination"](spark, single, sf).select(names).cache()
-    items = [decontaminate.shingles(r.text) for r in table(spark, sf, "benchmark").collect()]
-    held = {r.doc_id for r in single.collect() if any(i and 100 * len(i & decontaminate.shingles(r.text)) >= 75 * len(i) for i in items)}
+    items = [item_shingles(r.text) for r in table(spark, sf, "benchmark").collect()]
+    held = {r.doc_id for r in single.collect() if any(i and 100 * len(i & item_shingles(r.text)) >= 75 * len(i) for i in items)}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - held
 
     masked = stage["personal_data"](spark, clean, sf).select(names).cache()

@@ -1,8 +1,8 @@
-"""Benchmark items inside documents: size-partitioned MinHash containment search with exact confirmation."""
+"""Benchmark items inside documents: size-partitioned containment MinHash with confirmation on whole shingle sets."""
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,167 +12,176 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BINS = 64
-FEW = 8
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_EMPTY = np.uint64(2**64 - 1)
+SCHEMA = "doc_id long, item_id long, n_shared long, n_item long"
 
 
-def shingles(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
-    """The exact set of word shingles; a text of fewer words has none here, as a document can't contain it."""
-    words = _WORDS.findall((text or "").translate(_LOWER))
-    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
-
-
-def block_minima(hashes: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
-    """(blocks, 64): one-permutation MinHash, the least hash of each bin; a hash's low six bits are its bin."""
-    out = np.full(n_blocks * BINS, _EMPTY)
-    if len(hashes):
-        key = block * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, h = key[order], hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        out[key[first]] = np.minimum.reduceat(h, first)
-    return out.reshape(n_blocks, BINS)
+def sketch_size(n: int, percent: int) -> int:
+    """How many least hashes an item of ``n`` shingles keeps: one more than a text may lack that still holds the item."""
+    return n - math.ceil(percent * n / 100) + 1
 
 
 @dataclass
 class ItemIndex:
-    """A block of benchmark items by size class: class c holds items of up to 2 ** c shingles.
+    """A block of benchmark items: sorted sketch values with the item of each, and all hashes of each item.
 
-    ``minima[c]`` are the sorted bin minima of the class, ``owners[c]`` the item of each. Class 0 holds the items of up to
-    ``FEW`` shingles with all their hashes: the bins of a window hide too many of so few.
+    The sketch of an item is its bottom-k MinHash. Items are partitioned by size: k follows from the number of shingles,
+    so that a text with at least ``percent`` of them holds one of the k or more, whatever its own length.
     """
 
-    ids: list
-    shingles: list[set]
-    classes: list[int]
-    minima: dict[int, np.ndarray]
-    owners: dict[int, np.ndarray]
+    ids: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    values: np.ndarray
+    owners: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple], width: int = 5) -> ItemIndex:
-        hashes, first, words = common.shingle_hashes([(t or "").encode() for _, t in items], width)
-        found: dict[int, list] = {}
-        keep = [i for i in range(len(items)) if words[i] >= width]
-        for at, i in enumerate(keep):
-            own = np.unique(hashes[first[i] : first[i + 1]])
-            size = int(len(own) - 1).bit_length() if len(own) > FEW else 0
-            low = block_minima(own, np.zeros(len(own), np.int64), 1)[0] if size else own
-            found.setdefault(size, []).append((at, low[low != _EMPTY] if size else low))
-        minima, owners = {}, {}
-        for size, parts in found.items():
-            m = np.concatenate([x for _, x in parts])
-            o = np.concatenate([np.full(len(x), at) for at, x in parts])
-            order = np.argsort(m, kind="stable")
-            minima[size], owners[size] = m[order], o[order]
-        return cls([items[i][0] for i in keep], [shingles(items[i][1], width) for i in keep], sorted(found), minima, owners)
-
-    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) that share a bin minimum in some window, or any hash if the item has few.
-
-        For class c a text is cut into blocks of 2 ** c shingles, and each two neighbours are a window, so a copy of an
-        item lies inside one window, whose similarity to the item is bounded below whatever the length of the text.
-        """
-        out: set[tuple[int, int]] = set()
-        sizes = np.diff(first)
-        low, text_of, inside = None, None, None
-        for size in self.classes:
-            if size == 0:
-                values, owners = self.minima[size], self.owners[size]
-                left = np.searchsorted(values, hashes)
-                hit = np.flatnonzero(values[np.minimum(left, len(values) - 1)] == hashes)
-                right = np.searchsorted(values, hashes[hit], "right")
-                holder = np.searchsorted(first, hit, "right") - 1
-                for text, a, b in set(zip(holder.tolist(), left[hit].tolist(), right.tolist(), strict=True)):
-                    out.update((text, int(o)) for o in owners[a:b])
-                continue
-            if low is None:  # the finest class from the hashes, each coarser one from the one before
-                n_blocks = (sizes + (1 << size) - 1) >> size
-                base = np.concatenate([[0], np.cumsum(n_blocks)])
-                pos = np.arange(len(hashes)) - np.repeat(first[:-1], sizes)
-                low = block_minima(hashes, np.repeat(base[:-1], sizes) + (pos >> size), int(base[-1]))
-                text_of = np.repeat(np.arange(len(sizes)), n_blocks)
-                inside = np.arange(len(text_of)) - base[text_of]
-                at = size
-            while at < size:
-                first_half = np.flatnonzero(inside % 2 == 0)
-                nxt = np.minimum(first_half + 1, len(low) - 1)
-                pair = (nxt > first_half) & (text_of[nxt] == text_of[first_half])
-                low = np.where(pair[:, None], np.minimum(low[first_half], low[nxt]), low[first_half])
-                text_of, inside = text_of[first_half], inside[first_half] // 2
-                at += 1
-            if not len(low):
-                return out
-            window = low.copy()
-            same = text_of[1:] == text_of[:-1]
-            window[:-1][same] = np.minimum(low[:-1][same], low[1:][same])
-            values, owners = self.minima[size], self.owners[size]
-            flat = window.ravel()
-            left = np.searchsorted(values, flat)
-            hit = np.flatnonzero(values[np.minimum(left, len(values) - 1)] == flat)
-            if len(hit):
-                right = np.searchsorted(values, flat[hit], "right")
-                for text, a, b in set(zip(text_of[hit // BINS].tolist(), left[hit].tolist(), right.tolist(), strict=True)):
-                    out.update((text, int(o)) for o in owners[a:b])
-        return out
-
-
-def find(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5, block_chars: int = 4_000_000) -> DataFrame:
+    def build(cls, items: list[tuple[int | None, bytes]], percent: int = 75, width: int = 5) -> ItemIndex:
+        hashes, first, words = common.shingle_hashes([t for _, t in items], width)
+        sets = [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(items)) if words[i] >= width]
+        sketches = [s[: sketch_size(len(s), percent)] for s in sets]  # hashes are uniform, so the least are a random sample
+        values, owners = np.concatenate([np.empty(0, np.uint64), *sketches]), np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sketches)))
+        order = np.argsort(values, kind="stable")
+        ids = np.array([items[i][0] for i in range(len(items)) if words[i] >= width], object)
+        return cls(ids, np.concatenate([np.empty(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int64), values[order], owners[order])
+
+    def candidates(self, own: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) pairs, each once, where ``own``, sorted distinct hashes within each ``holder``, meet a sketch."""
+        if not len(self.values) or not len(own):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        left = np.searchsorted(self.values, own)
+        hit = np.flatnonzero(self.values[np.minimum(left, len(self.values) - 1)] == own)
+        left = left[hit]
+        n = np.searchsorted(self.values, own[hit], "right") - left
+        at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(holder[hit], n) * len(self.ids) + self.owners[at])
+        return pairs // max(len(self.ids), 1), pairs % max(len(self.ids), 1)
+
+    def search(self, texts: list[bytes | None], percent: int, width: int) -> Iterator[tuple[int, object, int, int]]:
+        """(text, item_id, shared, size) of the items that the texts hold."""
+        own, first = _sets(texts, width)
+        holder = np.repeat(np.arange(len(texts)), np.diff(first))
+        for text, item in zip(*(x.tolist() for x in self.candidates(own, holder)), strict=True):
+            item_set = self.hashes[self.first[item] : self.first[item + 1]]
+            shared = len(np.intersect1d(item_set, own[first[text] : first[text + 1]], assume_unique=True))
+            if 100 * shared >= percent * len(item_set):
+                yield text, self.ids[item], shared, len(item_set)
+
+
+def _sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, and where each text's begin; none for fewer than ``width`` words."""
+    hashes, first, words = common.shingle_hashes(texts, width)
+    sets = [np.unique(hashes[first[i] : first[i + 1]]) if words[i] >= width else np.empty(0, np.uint64) for i in range(len(texts))]
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(list(map(len, sets)))]).astype(np.int64)
+
+
+def _binary(column) -> list[bytes | None]:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.cast(column, pa.binary()).to_pylist()
+
+
+def _batch(rows: list, names: list[str]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+
+def find(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5, broadcast_chars: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): items of which a document holds at least ``percent`` of the distinct shingles.
 
-    items has item_id and text. They are the query set: the driver takes them in blocks of ``block_chars`` characters,
-    and each block is broadcast and held against all documents, so neither grows with either table. Candidates share a
-    minimum in a window of the item's size class, or any shingle with an item of up to ``FEW``; each is confirmed on exact shingle sets of the whole texts.
+    items has item_id and text. Candidates come from the items' bottom-k MinHash sketches looked up among all shingles of
+    a document; k grows with the item's size so that no holder is missed, also where the item's parts are scattered.
+    Each is confirmed on the whole shingle sets, as 64-bit hashes. Documents are read once: items of up to
+    ``broadcast_chars`` characters in all, which is counted first, are broadcast; more stay in tables, see ``find_joined``.
     Items of fewer than ``width`` words, null or empty items and null or empty documents match nothing. Rows with equal
-    ids are reported each. Other columns are ignored.
+    ids are reported each, in either table; a null id stays null. A very long text is worked on alone. Other columns are
+    ignored, whatever their names; empty tables give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    schema = "doc_id long, item_id long, n_shared long, n_item long"
+    queries = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    size = queries.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    if size > broadcast_chars:
+        return find_joined(texts, queries, percent, width)
+    index = spark.sparkContext.broadcast(ItemIndex.build([(r.item_id, r.text.encode()) for r in queries.collect()], percent, width))  # at most broadcast_chars
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            for lo, hi in common.slices(b.column("text")):
+                part = b.slice(lo, hi - lo)
+                rows = [(part.column("doc_id")[text].as_py(), *found) for text, *found in index.value.search(_binary(part.column("text")), percent, width)]
+                if rows:
+                    yield _batch(rows, ["doc_id", "item_id", "n_shared", "n_item"])
+
+    return texts.mapInArrow(run, SCHEMA)
+
+
+FILTER_BITS = 1 << 27  # of the filter that documents' shingles pass first: 16 MB on the driver and in each worker
+
+
+def find_joined(texts: DataFrame, queries: DataFrame, percent: int, width: int) -> DataFrame:
+    """The same for any number of items, by joins; texts (doc_id, text) and queries (item_id, text) without null texts.
+
+    One pass over the documents emits their shingles that a bit filter of all sketch values lets through. They meet the
+    sketches by value; a candidate is confirmed by the task that gets both texts. Rows are named by their content's hash
+    next to their id, so those that repeat are compared once and reported each.
+    """
+    spark = texts.sparkSession
+    texts, queries = (x.withColumn("key", F.sha2("text", 256)) for x in (texts, queries))
 
-    def search(model):
+    def values(of: str, column: str, bits=None):
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
-            import pyarrow.compute as pc
 
-            index = model.value
             for b in batches:
                 for lo, hi in common.slices(b.column("text")):
                     part = b.slice(lo, hi - lo)
-                    raw = pc.cast(part.column("text"), pa.binary()).to_pylist()
-                    hashes, first, words = common.shingle_hashes(raw, width)
-                    sets: dict[int, set] = {}
-                    rows = []
-                    for text, item in sorted(index.candidates(hashes, first)):
-                        if words[text] < width:
-                            continue
-                        if text not in sets:
-                            sets[text] = shingles(raw[text].decode(), width)
-                        own = index.shingles[item]
-                        if 100 * (n := len(own & sets[text])) >= percent * len(own):
-                            rows.append((part.column("doc_id")[text].as_py(), index.ids[item], n, len(own)))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
-
-        return run
-
-    out = spark.createDataFrame([], schema)
-    block, chars = [], 0
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator()
-    for r in rows:
-        block.append((r.item_id, r.text))
-        chars += len(r.text)
-        if chars >= block_chars:
-            out = out.union(common.settle(texts.mapInArrow(search(spark.sparkContext.broadcast(ItemIndex.build(block, width))), schema), "found-items"))
-            block, chars = [], 0
-    if block:
-        out = out.union(texts.mapInArrow(search(spark.sparkContext.broadcast(ItemIndex.build(block, width))), schema))
-    return out
+                    own, first = _sets(_binary(part.column("text")), width)
+                    row = np.repeat(np.arange(len(part)), np.diff(first))
+                    if bits is None:
+                        place = np.arange(len(own)) - first[row]
+                        sizes = np.array([sketch_size(n, percent) for n in np.diff(first).tolist()], np.int64)
+                        keep = place < sizes[row]
+                    else:
+                        slot = own & np.uint64(FILTER_BITS - 1)
+                        keep = bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row[keep])), pa.array(own[keep].view(np.int64))], [column, "value"])
+
+        source = queries if of == "items" else texts
+        return source.select("key", "text").mapInArrow(run, f"{column} string, value long").distinct()
+
+    sketches = common.settle(values("items", "item"), "item-sketches")
+    slot = F.col("value").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = sketches.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in words.select("word", "bits").toArrow().to_batches():  # at most FILTER_BITS / 64 rows
+        filled[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    met = values("documents", "doc", spark.sparkContext.broadcast(filled.view(np.uint8)))
+    pairs = common.settle(met.join(sketches, "value").select("doc", "item").distinct(), "item-candidates")
+
+    def confirm(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for lo, hi in common.slices(b.column("doc_text"), 500_000):
+                part = b.slice(lo, hi - lo)
+                left, right = (_sets(_binary(part.column(c)), width) for c in ("doc_text", "item_text"))
+                shared, sizes = [], np.diff(right[1]).tolist()
+                for i in range(len(part)):
+                    shared.append(len(np.intersect1d(*(x[f[i] : f[i + 1]] for x, f in (left, right)), assume_unique=True)))
+                keep = pa.array([100 * s >= percent * n > 0 for s, n in zip(shared, sizes, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("item"), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], ["doc", "item", "n_shared", "n_item"]).filter(keep)
+
+    one = lambda x, name: x.select(F.col("key").alias(name), F.col("text").alias(f"{name}_text"))
+    doc_texts = one(texts, "doc").join(pairs.select("doc").distinct(), "doc", "left_semi").distinct()
+    found = pairs.join(doc_texts, "doc").join(one(queries, "item").distinct(), "item").select("doc", "item", "doc_text", "item_text").mapInArrow(confirm, "doc string, item string, n_shared long, n_item long")
+    found = common.settle(found, "found-items")
+    named = found.join(texts.select("doc_id", F.col("key").alias("doc")), "doc").join(queries.select("item_id", F.col("key").alias("item")), "item")
+    return named.select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the documents that hold an item; rows without a doc_id stay."""
+    """docs without the documents that hold an item; rows without a doc_id stay. All columns stay as they are."""
     found = common.settle(find(docs, items, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(common.columns(docs))
+    return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti").select(common.columns(docs))
