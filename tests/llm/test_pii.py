@@ -80,6 +80,32 @@ def test_every_kind_of_base_span_seeds(spark):
     assert not any(got.values())
 
 
+def test_seed_forms_teach_contexts(spark):
+    """Keys of a known form teach the context; values of other forms after it are found, the forms elsewhere are not."""
+    import hashlib
+
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    docs = {i: f'some {"abcdefgh"[i % 8]}x text secret = "{k}" then {"qrstuvw"[i % 7]}y' for i, k in enumerate(keys[:30])}
+    docs |= {100: 'here secret = "Zk-7pQ_x" is short', 101: 'and secret = "' + "long-part-" * 30 + '9" too', 102: f"commit {keys[35]} fixed it", 103: "lot 123456 of part 77-88-99 was sold", 104: "A secret = none here in 2024 or 1999"}
+    got = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.id] for r in pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert all(got[i] == [k] for i, k in enumerate(keys[:30]))
+    assert (got[100], got[101], got[102], got[103], got[104]) == (["Zk-7pQ_x"], ["long-part-" * 30 + "9"], [], [], [])
+
+
+def test_planted_identifiers(spark, sf):
+    """TESTDATA plants keys as token = "..."; precision and recall of the added spans against them."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").collect()}
+    planted = {(d, m.start(1), m.end(1)) for d, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-z]+)', t)}
+    frame = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    found = {(r.doc_id, s.start, s.end) for r in pii.find(frame).collect() for s in r.id}
+    assert len(planted) > 100 and len(planted & found) >= 0.99 * len(planted) and len(planted & found) >= 0.95 * len(found)
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.co", "k", "d", 5, "x")], "doc_id long, text string, span_key string, span_doc string, key int, text_spans string")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "write to [EMAIL]", "k", "d", 5, "x")]
+
+
 def test_redact(corpus):
     out = {r.doc_id: r for r in pii.redact(corpus.withColumn("n_chars", F.length("text").cast("long"))).collect()}
     assert out[500].text == "Later on member card [ID] was used again" and out[500].n_chars == len(out[500].text)

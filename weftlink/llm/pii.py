@@ -20,18 +20,27 @@ PATTERNS = {
 }
 _MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
-# Identifier-like: a run of 6 to 64 letters, digits, _ and - that holds four digits or more.
-CANDIDATE = r"(?<![A-Za-z0-9_-])(?=(?:[A-Za-z_-]*+[0-9]){4})[A-Za-z0-9_-]{6,64}+(?![A-Za-z0-9_-])"
-# An identifier written in groups: 2 to 12 runs of such characters, each of up to 12 with a digit, between single blanks
-# or dots; of 2 characters or more where blanks part them. GROUPED_DIGITS digits or more in all.
-_GROUP = r"(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{%d,12}+(?![A-Za-z0-9_-])"
-GROUPED = r"(?<![A-Za-z0-9_-])(?:" + _GROUP % 2 + r"(?:[ .]" + _GROUP % 2 + r"){1,11}+|" + _GROUP % 1 + r"(?:\." + _GROUP % 1 + r"){1,11}+)"
+# Identifier-like: a run of 6 or more letters, digits, _ and - with a digit.
+CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
+# An identifier written in groups: 2 or more runs of such characters, each with a digit, between single blanks or dots;
+# of 2 characters or more where blanks part them. GROUPED_DIGITS digits or more in all.
+_GROUP = r"(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{%d,}+"
+GROUPED = r"(?<![A-Za-z0-9_-])(?:" + _GROUP % 2 + r"(?:[ .]" + _GROUP % 2 + r")++|" + _GROUP % 1 + r"(?:\." + _GROUP % 1 + r")++)"
 GROUPED_DIGITS = 4
+# Forms that tell an identifier by themselves. Candidates of such a form are seed entities next to the base
+# spans, but only a trusted context makes a span of them, as a digest may also name a file version.
+SEED_FORMS = [
+    r"[0-9a-f]{32}", r"[0-9a-f]{40}", r"[0-9a-f]{64}",  # hexadecimal keys
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # universally unique ids
+    r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",  # international account numbers
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}",  # access keys
+]
+CONTEXT = 256
 _SPAN = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places in code points, and up to 80 characters before and after each.
+    """Matches with their places in code points, and up to CONTEXT characters before and after each.
 
     split() gives what lies between the matches, and lengths add up.
     """
@@ -41,7 +50,7 @@ def located(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(80)).alias("left"), F.left(x["after"], F.lit(80)).alias("right")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(CONTEXT)).alias("right")))
         return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -94,35 +103,46 @@ def contexts(left: Column, right: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: doc_id, key (of the text), the spans of each kind and the candidates, all with contexts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    near = F.when(F.col("text").rlike("[0-9]{2}|[0-9][A-Za-z_.-]+[0-9]"), candidates(F.col("text"))).otherwise(F.array().cast(_SPAN))
+    near = F.when(F.col("text").rlike("[0-9]"), candidates(F.col("text"))).otherwise(F.array().cast(_SPAN))
     return rows.select("doc_id", F.xxhash64("text").alias("key"), *(base(F.col("text"), k).alias(k) for k in KINDS), near.alias("near"))
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
-    """(doc_id, key, start, end): identifiers off the base spans whose contexts are those of base spans.
+def bootstrap(found: DataFrame, least: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
+    """(doc_id, key, start, end): identifiers off the base spans whose contexts are those of seed entities.
 
     Instances are the values of base spans and of candidates (identifier-like tokens, and identifiers in groups),
-    patterns their contexts; base spans and candidates that overlap one make their value a seed. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of
-    score 0 added, and an instance off the seeds by the mean of its patterns that reach ``least`` with at least
-    ``support`` instances. Both run on the graph's distinct edges, so copies of a text count once and hot patterns are
-    summed before they are shuffled. A candidate is found if one of its patterns and its value's score reach ``least``.
+    patterns their contexts. Seed entities are the base spans, candidates that overlap one, and candidates of a form in
+    SEED_FORMS. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of score 0
+    added, and an instance off the seeds by the mean of its patterns; patterns that reach ``least`` with at least
+    ``support`` instances are trusted from then on, others count as 0. Rounds go on until no pattern is new, which comes,
+    as patterns are finite. Both scores run on the graph's distinct edges, so copies of a text count once and hot
+    patterns are summed before they are shuffled. A candidate is found if one of its patterns is trusted and its value's
+    score reaches ``least``; a seed by its form alone needs the trusted pattern as well.
     """
     bases = F.concat(*(F.col(k) for k in KINDS))
-    seed = F.exists("bases", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    near = found.where(F.size("near") > 0).select("doc_id", "key", bases.alias("bases"), F.explode("near").alias("c")).select("doc_id", "key", "c", seed.alias("seed"))
+    covered = F.exists("bases", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
+    near = found.where(F.size("near") > 0).select("doc_id", "key", bases.alias("bases"), F.explode("near").alias("c")).select("doc_id", "key", "c", covered.alias("base"))
     places = near.union(found.select("doc_id", "key", F.explode(bases).alias("c"), F.lit(True)))
-    places = places.select("doc_id", "key", "c.start", "c.end", F.xxhash64("c.match").alias("value"), "seed", contexts(F.col("c.left"), F.col("c.right")).alias("patterns")).distinct()
+    seed = F.col("base") | F.col("c.match").rlike("^(?:" + "|".join(SEED_FORMS) + ")$")
+    places = places.select("doc_id", "key", "c.start", "c.end", F.xxhash64("c.match").alias("value"), "base", seed.alias("seed"), contexts(F.col("c.left"), F.col("c.right")).alias("patterns")).distinct()
     places = common.settle(places, "pii-places")
     edges = common.settle(places.select("value", F.explode("patterns").alias("pattern"), F.col("seed").cast("int").alias("seed")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seeds"))
-    for _ in range(rounds):
+    trusted, known = None, 0
+    while True:
         patterns = edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + doubt)).alias("trust"), F.count(F.lit(1)).alias("instances"))
-        strong = common.settle(patterns.where((F.col("trust") >= least) & (F.col("instances") >= support)).select("pattern", "trust"), "pii-patterns")
-        judged = edges.join(strong, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seeds"), F.avg("trust").alias("mean"))
+        strong = patterns.where((F.col("trust") >= least) & (F.col("instances") >= support)).select("pattern", "trust")
+        if trusted is not None:
+            strong = strong.union(trusted).groupBy("pattern").agg(F.max("trust").alias("trust"))
+        trusted = common.settle(strong, "pii-patterns")
+        judged = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seeds"), F.avg("trust").alias("mean"))
         scores = common.settle(judged.select("value", F.when(F.col("seeds") == 1, 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score"), "seeds"), "pii-scores")
-    open_ = places.where(~F.col("seed")).select("doc_id", "key", "start", "end", "value", F.explode("patterns").alias("pattern"))
+        was, known = known, trusted.count()
+        if known == was:
+            break
+    open_ = places.where(~F.col("base")).select("doc_id", "key", "start", "end", "value", F.explode("patterns").alias("pattern"))
     good = scores.where(F.col("score") >= least).select("value")
-    return open_.join(strong.select("pattern"), "pattern", "left_semi").join(good, "value", "left_semi").select("doc_id", "key", "start", "end").distinct()
+    return open_.join(trusted.select("pattern"), "pattern", "left_semi").join(good, "value", "left_semi").select("doc_id", "key", "start", "end").distinct()
 
 
 def outermost(ordered: Column) -> Column:
@@ -140,8 +160,9 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, key, email, ip, card, phone, id: arrays of (start, end) in code points, end exclusive, by start.
 
     One row per row of docs. Base kinds follow their patterns and tests; id holds what the contexts add, off the base
-    spans, without those that lie inside another. Null text: no spans. Equal texts of one doc_id get equal spans; a null doc_id is a value of its own. An empty
-    table gives no rows; other columns are ignored.
+    spans, without those that lie inside another. Null or empty text: no spans. Equal texts of one doc_id get equal
+    spans, repeated rows stay repeated; a null doc_id is a value of its own. Patterns take time linear in a text of any
+    length. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     found = common.settle(scan(docs), "pii-base")
     ordered = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"))))
@@ -164,15 +185,17 @@ def joined(kinds: list[str]) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; of spans that overlap the first by place stands for all.
 
-    All columns stay; n_chars, where there is one, becomes the new length. Null text stays null.
+    All columns stay, whatever their names; n_chars, where there is one, becomes the new length. Null text stays null,
+    repeated rows stay repeated, an empty table stays empty.
     """
     spans = find(docs)
 
     def masked(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")))
 
+    doc, key, found = common.unused(docs, "span_doc", "span_key", "text_spans")
     marked = F.sort_array(F.concat(*map(masked, [*KINDS, ADDED])))
-    hits = spans.select("doc_id", "key", marked.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "key").agg(F.first("spans").alias("__spans")).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "__spans")
+    hits = spans.select("doc_id", "key", marked.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "key").agg(F.first("spans").alias("spans")).toDF(doc, key, found)
     hits = common.settle(hits, "pii-spans")
     text = F.col("text").cast("string")
 
@@ -181,10 +204,10 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"), acc["text"].alias("text"))).otherwise(F.struct(s["end"].alias("at"), kept.alias("out"), acc["text"].alias("text")))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("text"))
-    clean = F.aggregate("__spans", first, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
-    new = F.when(F.col("__spans").isNull() | text.isNull(), text).otherwise(clean)
-    rows = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = rows.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").withColumn("text", new)
+    clean = F.aggregate(found, first, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
+    new = F.when(F.col(found).isNull() | text.isNull(), text).otherwise(clean)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key))
+    out = docs.join(hits, same, "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(common.columns(docs))
