@@ -1,5 +1,10 @@
+import math
+import random
+import re
+
 import duckdb
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from weftlink.llm import html_extract as x
 from weftlink.llm import url_filter as u
@@ -68,14 +73,86 @@ def test_rules(spark):
     assert u.judge(df).count() == len(URLS) + 1 and u.judge(df.where("false")).count() == 0
 
 
-def test_templates_learn_from_labels(spark):
-    from pyspark.sql import functions as F
+def brute_tree(rows, alpha=0.05, strength=2.0, prior=0.2):
+    """(host, shape) -> (template, purity) by recursion over one host's branches; rows are (host, shape, label or None)."""
+    e = math.sqrt(math.log(2 / alpha) / 2)
+    out = {}
+
+    def grow(host, members, level, steps, host_bad, host_n):
+        told = [x for _, labels in members for x in labels if x is not None]
+        n, bad = len(told), sum(told)
+        deeper = any(len(s) > level for s, _ in members)
+        kids = {}
+        for shape, labels in members:
+            kids.setdefault(shape[level] if len(shape) > level else "", []).append((shape, labels))
+        sides = {"above": [], "below": [], "like": []}
+        for name, own in kids.items():
+            x = [v for _, labels in own for v in labels if v is not None]
+            rest, side = n - len(x), "like"
+            if x and rest:
+                gap = sum(x) / len(x) - (bad - sum(x)) / rest
+                if abs(gap) >= e * (1 / math.sqrt(len(x)) + 1 / math.sqrt(rest)):
+                    side = "above" if gap > 0 else "below"
+            sides[side].append(name)
+        if not deeper or n < 8 * e * e or bad in (0, n):
+            share = (host_bad - bad + strength * prior) / (host_n - n + strength)
+            for shape, _ in members:
+                out[host, shape] = ("/" + "/".join(steps + ["**"] * deeper), (bad + strength * share) / (n + strength))
+            return
+        for side, mark in (("above", "{+}"), ("below", "{-}"), ("like", "*")):
+            if names := sides[side]:
+                grow(host, [m for k in names for m in kids[k]], level + 1, steps + [names[0] if len(names) == 1 else mark], host_bad, host_n)
+
+    hosts = {}
+    for host, shape, label in rows:
+        hosts.setdefault(host, {}).setdefault(shape, []).append(label)
+    for host, shapes in hosts.items():
+        told = [x for labels in shapes.values() for x in labels if x is not None]
+        grow(host, list(shapes.items()), 0, [], sum(told), len(told))
+    return out
+
+
+def plain_shape(path):
+    parts = [p for p in path.split("/") if p]
+    return tuple("{n}" if re.fullmatch("[0-9]+", p) else "{id}" if re.fullmatch("[0-9a-fA-F-]{8,}", p) and re.search("[0-9]", p) else re.sub("[0-9]+", "{n}", p) for p in parts)
+
+
+def test_templates_by_brute_force(spark):
+    """Random trees of up to seven levels whose labels depend on segments at any of them."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(6000):
+        host = rng.choice(["a.x", "b.x", "c.y"])
+        path = [rng.choice(["blog", "shop", "games", "a1b2c3d4e5", f"slug{chr(97 + i % 23)}{chr(97 + i % 19)}", str(i)]) for _ in range(rng.randrange(8))]
+        chance = 0.9 if "games" in path[2:5] else 0.5 if "shop" in path[:1] and host == "b.x" else 0.05
+        rows.append((i, f"http://{host}/" + "/".join(path), rng.choice([None, int(rng.random() < chance)])))
+    rows += [(10_000, None, None), (10_001, "http://a.x", 1), (10_002, "http://a.x", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, told int")
+    known = df.select("url", "told").where("told is not null")
+    told = {}
+    for _, url, label in rows:
+        if label is not None:
+            told[url] = max(told.get(url, 0), label)
+    parts = {i: ((url or "").partition("://")[2].partition("/")[0], plain_shape((url or "").partition("://")[2].partition("/")[2])) for i, url, _ in rows}
+    want = brute_tree([(*parts[i], told.get(url)) for i, url, _ in rows])
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in u.judge(df, [], [], known=known.withColumnRenamed("told", "bad")).collect()}
+    assert len(got) == len(rows)
+    for i, (template, purity, verdict) in got.items():
+        assert template == want[parts[i]][0] and abs(purity - want[parts[i]][1]) < 1e-12 and verdict == ("block" if purity >= 0.5 else "allow"), rows[i]
+    assert any(v == "block" for _, _, v in got.values()) and max(t.count("/") for t, _, _ in got.values()) > 3
 
+
+def test_templates_learn_from_labels(spark):
+    """Branches of hosts without a bad word are blocked by their own labels, at any depth, and unlabelled ones by their host's."""
     rows = [(i, f"http://s.x/{kind}/item-{i}/p{i}.html") for i, kind in enumerate(["bad", "good", "new"] * 40)] + [(1000 + i, f"http://wide.x/u{chr(97 + i % 26)}{chr(97 + i // 26)}/1") for i in range(200)]
-    label = F.when(F.col("path").startswith("/bad/"), 1).when(F.col("path").startswith("/good/"), 0)
+    rows += [(2000 + i, f"http://deep.x/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)] + [(3000 + i, f"http://worse.x/{'seen' if i % 3 else 'unseen'}/{i}") for i in range(60)]
+    path = F.col("path")
+    label = F.when(path.contains("/bad/") | path.startswith("/seen/"), 1).when(path.contains("/good/"), 0).when((F.col("host") == "wide.x"), F.when(path.startswith("/uaa"), 1).otherwise(0))
     got = u.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[], labels=label).collect()
-    assert {(r.path.split("/")[1], r.verdict, r.template) for r in got if r.page_id < 1000} == {("bad", "block", "/bad/item-{n}/p{n}.html"), ("good", "allow", "/good/item-{n}/p{n}.html"), ("new", "allow", "/new/item-{n}/p{n}.html")}
-    assert {r.template for r in got if r.page_id >= 1000} == {"/*/{n}"}
+    assert {(r.path.split("/")[1], r.verdict, r.template) for r in got if r.page_id < 1000} == {("bad", "block", "/bad/**"), ("good", "allow", "/good/**"), ("new", "allow", "/new/**")}
+    assert {(r.verdict, r.template) for r in got if 1000 <= r.page_id < 2000} == {("allow", "/*/{n}")}
+    assert {(r.path.split("/")[5], r.verdict, r.template) for r in got if 2000 <= r.page_id < 3000} == {("bad", "block", "/a/b/c/d/bad/**"), ("good", "allow", "/a/b/c/d/good/**")}
+    assert {r.verdict for r in got if r.page_id >= 3000} == {"block"}
 
 
 def test_registered_queries_against_duckdb(spark, sf):

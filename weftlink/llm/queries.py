@@ -125,35 +125,43 @@ from d left join g using (payload_digest)
 """
 
 
-def _op10() -> str:
-    """The template tree level by level, as the operator builds it with its defaults."""
-    from .url_filter import BAD_WORDS, RULES
+def _op10(levels: int = 4) -> str:
+    """The template tree with its defaults, for paths of up to ``levels`` segments: a CTE for each level's pools, children and rows."""
+    from .url_filter import BAD_WORDS, RULES, STEPS, margin
 
     ordered = sorted(RULES, key=lambda r: (len(r.text), r.text), reverse=True)
     fits = [f"(host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}')" for r in ordered]
     rule = "case " + " ".join(f"when {f} then '{r.text}'" for f, r in zip(fits, ordered, strict=True)) + " end"
     ruled = "case " + " ".join(f"when {f} then '{r.verdict}'" for f, r in zip(fits, ordered, strict=True)) + " end"
     words = ", ".join(f"'{w}'" for w in BAD_WORDS)
-    levels = []
-    for n in range(1, 5):
-        was = f"t{n - 1}"
-        levels.append(f"w{n} as (select host, template[1:{n - 1}] as parent from {was} where len(template) >= {n} group by all having count(distinct template[{n}]) > 64)")
-        levels.append(f"t{n} as (select {was}.host, shape, case when w{n}.parent is not null then template[1:{n - 1}] || ['*'] || template[{n + 1}:] else template end as template, bad, labelled from {was} left join w{n} on w{n}.host = {was}.host and len(template) >= {n} and template[1:{n - 1}] = w{n}.parent)")
-    share = "(sum(bad) + 0.4::double) / (sum(labelled) + 2.0::double)"
+    bad_word = lambda c: f"list_has_any(regexp_split_to_array(lower({c}), '[^a-z]+'), [{words}])"
+    e = f"{margin(0.05)!r}::double"
+    step = "case when count(*) over w = 1 then child " + " ".join(f"when kind = '{k}' then '{v}'" for k, v in STEPS.items()) + " end"
+    ctes = []
+    for n in range(levels + 1):
+        ctes.append(f"""p{n} as (select *, labels >= ceil(8 * {e} * {e}) and bads > 0 and bads < labels and deep > {n} as more
+  from (select host, code, sum(bad) as bads, sum(labelled) as labels, max(len(shape)) as deep from t{n} group by host, code)),
+j{n} as (select * from t{n} join p{n} using (host, code)),
+d{n} as (select host, shape, bad, labelled, code, case when deep > {n} then steps || ['**'] else steps end as template from j{n} where not more),
+c{n} as (select host, code, coalesce(shape[{n + 1}], '') as child, sum(bad)::double as b, sum(labelled)::double as l, any_value(bads)::double as bads, any_value(labels)::double as labels from j{n} where more group by all),
+g{n} as (select *, case when l > 0 and labels > l then b / l - (bads - b) / (labels - l) end as gap from c{n}),
+k{n} as (select host, code, child, case when abs(gap) >= {e} * (1 / sqrt(l) + 1 / sqrt(labels - l)) then case when gap > 0 then 'a' else 'b' end else 's' end as kind from g{n}),
+s{n} as (select *, {step} as step from k{n} window w as (partition by host, code, kind)),
+t{n + 1} as (select j{n}.host, shape, bad, labelled, code || kind as code, steps || [step] as steps from j{n} join s{n} on s{n}.host = j{n}.host and s{n}.code = j{n}.code and child = coalesce(shape[{n + 1}], '') where more)""".replace("code || kind as code", f"j{n}.code || kind as code"))
     return f"""
 with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 r as (select *, {rule} as rule, {ruled} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as s from h),
-p as (select page_id, host, path, rule, ruled, list_transform(s[1:4], lambda x: case when regexp_full_match(x, '[0-9]+') then '{{n}}' when regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') and regexp_matches(x, '[0-9]') then '{{id}}'
-  when length(x) > 40 then '{{long}}' else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) || (case when len(s) > 4 then ['**'] else [] end) as shape,
-  case when list_has_any(regexp_split_to_array(host, '[^a-z]+'), [{words}]) or ruled = 'block' then 1 when ruled = 'allow' then 0 end as bad from r),
-t0 as (select host, shape, shape as template, coalesce(sum(bad), 0) as bad, count(bad) as labelled from p group by host, shape),
-{", ".join(levels)},
-n as (select host, template, sum(bad) as bad, sum(labelled) as labelled, floor({share} / 0.25::double) as band from t4 group by host, template),
-m as (select host, len(template) as length, template[2:] as rest, band, {share} as purity from n group by all),
-j as (select n.host, n.template, m.purity from n join m on m.host = n.host and m.length = len(n.template) and m.rest = n.template[2:] and m.band = n.band)
-select page_id, p.host, path, rule, coalesce(ruled, case when purity >= 0.5 then 'block' else 'allow' end) as verdict, '/' || array_to_string(t4.template, '/') as template, purity
-from p join t4 on t4.host = p.host and t4.shape = p.shape join j on j.host = p.host and j.template = t4.template
+p as (select page_id, host, path, rule, ruled, list_transform(s, lambda x: case when regexp_full_match(x, '[0-9]+') then '{{n}}' when regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') and regexp_matches(x, '[0-9]') then '{{id}}'
+  else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) as shape, case when {bad_word("host")} or {bad_word("path")} or ruled = 'block' then 1 when ruled = 'allow' then 0 end as bad from r),
+t0 as (select host, shape, coalesce(sum(bad), 0) as bad, count(bad) as labelled, '' as code, []::varchar[] as steps from p group by host, shape),
+{", ".join(ctes)},
+d as ({" union all ".join(f"select * from d{n}" for n in range(levels + 1))}),
+x as (select host, sum(bad) as bads, sum(labelled) as labels from d group by host),
+z as (select host, code, sum(bad) as b, sum(labelled) as l, any_value(bads) as bads, any_value(labels) as labels from d join x using (host) group by host, code),
+y as (select host, code, (b + 2.0::double * ((bads - b + 0.4::double) / (labels - l + 2.0::double))) / (l + 2.0::double) as purity from z)
+select page_id, p.host, path, rule, coalesce(ruled, case when purity >= 0.5 then 'block' else 'allow' end) as verdict, '/' || array_to_string(template, '/') as template, purity
+from p join d on d.host = p.host and d.shape = p.shape join y on y.host = d.host and y.code = d.code
 """
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WILD, TAIL = "*", "**"
+TAIL = "**"
+STEPS = {"a": "{+}", "b": "{-}", "s": "*"}  # siblings merged above, below and like the rest of their parent
 
 
 @dataclass(frozen=True)
@@ -23,7 +25,7 @@ class Rule:
         return self.host + self.path
 
 
-# Rules by host and path, and words of host names that label a URL as unwanted.
+# Rules by host and path, and words of a URL that label it as unwanted.
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 BAD_WORDS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
 
@@ -49,58 +51,93 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return (name, verdict) if rules else (F.lit(None).cast("string"),) * 2
 
 
-def shapes(path: Column, depth: int) -> Column:
-    """Segments of a path with digit runs, hex and long mixed segments generalised; beyond ``depth`` one tail."""
+def shapes(path: Column) -> Column:
+    """All segments of a path, with digit runs and hexadecimal ids generalised."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    one = F.transform(
-        F.slice(segments, 1, depth),
-        lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{id}").when(F.length(s) > 40, "{long}").otherwise(F.regexp_replace(s, r"[0-9]+", "{n}")),
-    )
-    return F.when(F.size(segments) > depth, F.concat(one, F.array(F.lit(TAIL)))).otherwise(one)
+    return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{id}").otherwise(F.regexp_replace(s, r"[0-9]+", "{n}")))
 
 
-def template_tree(urls: DataFrame, depth: int, most_children: int, similar: float, strength: float, prior: float) -> DataFrame:
+def bad_word(column: Column, words: list[str]) -> Column:
+    """Whether one of the words stands between the marks and digits of a host or path."""
+    return F.arrays_overlap(F.split(F.lower(column), "[^a-z]+"), F.array(*map(F.lit, words))) if words else F.lit(False)
+
+
+def margin(alpha: float) -> float:
+    """Two shares of n and m labels differ if they are at least margin * (1/sqrt(n) + 1/sqrt(m)) apart (Hoeffding)."""
+    return math.sqrt(math.log(2 / alpha) / 2)
+
+
+def template_tree(urls: DataFrame, alpha: float, strength: float, prior: float) -> DataFrame:
     """(host, shape, template, purity) from urls (host, shape, bad): bad is 1, 0 or null (no label).
 
-    Rows are summed per host and shape first. Level by level, a node with more than ``most_children`` children has them
-    generalised into a wildcard. Then sibling branches (same parent and same rest) whose smoothed shares of bad labels
-    fall in the same band of width ``similar`` are merged and their labels pooled.
+    Rows are summed per host and shape first. From the root on, the children of a node are each tested against their
+    siblings: those whose share of bad labels is significantly above the siblings' are merged into one branch, those
+    below into another, and all that can't be told from their siblings, like variable segments with few labels each or
+    none, into a wildcard. Labels are pooled over a merged branch, and its children by name, before the next level is tested.
+    A branch is a template once no split of it can be significant: its labels are all alike or too few, or all its paths
+    have ended. So the rounds are as many as the labels can tell levels apart, whatever the depth of the paths.
+    A template's purity is its share of bad labels, smoothed by ``strength`` labels of the share in the rest of its host,
+    which is itself smoothed by ``prior``; so a template without labels has its host's.
     """
-    tree = urls.groupBy("host", "shape").agg(F.sum("bad").alias("bad"), F.count("bad").alias("labelled")).select("host", "shape", F.col("shape").alias("template"), F.coalesce("bad", F.lit(0)).alias("bad"), "labelled")
-    for level in range(1, depth + 1):
-        parent = F.slice("template", 1, level - 1)
-        child = F.get("template", F.lit(level - 1))
-        wide = tree.where(child.isNotNull()).select("host", parent.alias("parent"), child.alias("child")).distinct().groupBy("host", "parent").count().where(F.col("count") > most_children).select("host", "parent", F.lit(True).alias("wide"))
-        wild = F.concat(parent, F.array(F.lit(WILD)), F.slice("template", level + 1, depth + 1))
-        tree = tree.withColumn("parent", parent).join(wide, ["host", "parent"], "left").withColumn("template", F.when(F.col("wide") & child.isNotNull(), wild).otherwise(F.col("template"))).drop("parent", "wide")
-    nodes = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    share = (F.col("bad") + strength * prior) / (F.col("labelled") + strength)
-    nodes = nodes.withColumn("band", F.floor(share / similar)).withColumn("rest", F.slice("template", 2, depth + 1)).withColumn("length", F.size("template"))
-    merged = nodes.groupBy("host", "length", "rest", "band").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    merged = merged.select("host", "length", "rest", "band", share.alias("purity"))
-    judged = nodes.drop("bad", "labelled").join(merged, ["host", "length", "rest", "band"])
-    return tree.select("host", "shape", "template").join(judged.select("host", "template", "purity"), ["host", "template"])
-
-
-def judge(pages: DataFrame, rules: list[Rule] | None = None, bad_words: list[str] | None = None, labels: Column | None = None, depth: int = 4, most_children: int = 64, similar: float = 0.25, strength: float = 2.0, prior: float = 0.2, reject: float = 0.5) -> DataFrame:
+    e = margin(alpha)
+    least = math.ceil(8 * e * e)
+    tree = urls.groupBy("host", "shape").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
+    open_ = common.settle(tree.select("host", "shape", "bad", "labelled", F.lit("").alias("code"), F.array().cast("array<string>").alias("steps")), "url-tree")
+    done, level = None, 0
+    while True:
+        pool = open_.groupBy("host", "code").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all"), F.max(F.size("shape")).alias("deep"))
+        goes_on = (F.col("all") >= least) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all")) & (F.col("deep") > level)
+        pool = common.settle(pool.withColumn("more", goes_on), "url-nodes")
+        judged = open_.join(pool, ["host", "code"])
+        ended = F.when(F.col("deep") > level, F.concat("steps", F.array(F.lit(TAIL)))).otherwise(F.col("steps"))
+        part = common.settle(judged.where(~F.col("more")).select("host", "shape", "bad", "labelled", "code", ended.alias("template")), "url-templates")
+        done = part if done is None else done.unionByName(part)
+        if pool.where("more").isEmpty():
+            break
+        rest = judged.where("more").withColumn("child", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
+        kids = rest.groupBy("host", "code", "child").agg(F.sum("bad").alias("own_bad"), F.sum("labelled").alias("own"), F.first("all_bad").alias("all_bad"), F.first("all").alias("all"))
+        n, m = F.greatest("own", F.lit(1)), F.greatest(F.col("all") - F.col("own"), F.lit(1))
+        gap = F.col("own_bad") / n - (F.col("all_bad") - F.col("own_bad")) / m
+        far = (F.col("own") > 0) & (F.col("all") > F.col("own")) & (F.abs(gap) >= e * (1 / F.sqrt(n) + 1 / F.sqrt(m)))
+        kids = kids.select("host", "code", "child", F.when(far & (gap > 0), "a").when(far, "b").otherwise("s").alias("kind"))
+        merged = kids.groupBy("host", "code", "kind").agg(F.count(F.lit(1)).alias("n"), F.first("child").alias("only"))
+        name = F.when(F.col("n") == 1, F.col("only"))
+        for kind, step in STEPS.items():
+            name = name.when(F.col("kind") == kind, step)
+        steps = common.settle(kids.join(merged.select("host", "code", "kind", name.alias("step")), ["host", "code", "kind"]), "url-steps")
+        open_ = rest.join(steps, ["host", "code", "child"]).select("host", "shape", "bad", "labelled", F.concat("code", "kind").alias("code"), F.concat("steps", F.array("step")).alias("steps"))
+        open_ = common.settle(open_, "url-tree")
+        level += 1
+    hosts = done.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labelled").alias("host_labelled"))
+    templates = done.groupBy("host", "code").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).join(hosts, "host")
+    share = (F.col("host_bad") - F.col("bad") + strength * prior) / (F.col("host_labelled") - F.col("labelled") + strength)
+    templates = templates.select("host", "code", ((F.col("bad") + strength * share) / (F.col("labelled") + strength)).alias("purity"))
+    return done.select("host", "shape", "code", "template").join(common.settle(templates, "url-purity"), ["host", "code"]).select("host", "shape", "template", "purity")
+
+
+def judge(pages: DataFrame, rules: list[Rule] | None = None, bad_words: list[str] | None = None, labels: Column | None = None, known: DataFrame | None = None, alpha: float = 0.05, strength: float = 2.0, prior: float = 0.2, reject: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url).
 
-    The longest fitting rule decides. Else a template is blocked if its purity, the share of bad labels smoothed by
-    ``strength`` labels of ``prior``, is at least ``reject``. A URL is labelled bad (1) or good (0) by ``labels``; by
-    default by its rule, or as bad by a word of ``bad_words`` between the marks of its host. A template without labels
-    has the prior and is allowed. Null URLs and URLs without :// have an empty host and path. Repeated rows stay; other
-    columns are ignored. Verdicts are joined back by host and shape, a table with a row per shape; AQE splits a hot one.
+    The longest fitting rule decides. Else a URL is blocked if the smoothed purity of its template, which is learned from
+    all labelled URLs of its host, is at least ``reject``. A URL is labelled bad (1) or good (0) by ``labels``, else by
+    the table ``known`` (url, bad; of several rows the greatest), else by a word of ``bad_words`` in its host or path, as
+    bad, or by its rule. Null URLs and URLs without :// have an empty host and path. Repeated rows stay; other columns
+    are ignored, whatever their names; an empty table gives no rows; paths of any length are read whole. Of templates with
+    one share the host's own labels decide alike. Verdicts are joined back by host and shape; AQE splits a hot one.
     """
     rules = RULES if rules is None else rules
     words = BAD_WORDS if bad_words is None else bad_words
     host, path = F.col("host"), F.col("path")
     rule, verdict = rule_columns(host, path, rules)
-    rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), shapes(path, depth).alias("shape"))
-    if labels is None:
-        bad_host = F.arrays_overlap(F.split(host, "[^a-z]+"), F.array(*map(F.lit, words))) if words else F.lit(False)
-        labels = F.when(bad_host, 1).when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    tree = common.settle(template_tree(rows.select("host", "shape", labels.alias("bad")), depth, most_children, similar, strength, prior), "url-templates")
-    out = rows.join(tree, ["host", "shape"], "left")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"))
+    label = F.when(bad_word(host, words) | bad_word(path, words), 1).when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
+    if known is not None:
+        told = known.where("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("told"))
+        rows = rows.join(told, "url", "left")
+        label = F.coalesce("told", label)
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shape", shapes(path))
+    tree = template_tree(rows.select("host", "shape", (label if labels is None else labels).alias("bad")), alpha, strength, prior)
+    out = rows.join(common.settle(tree, "url-verdicts"), ["host", "shape"], "left")
     free = F.when(F.col("purity") >= reject, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", free).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
