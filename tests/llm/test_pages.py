@@ -1,3 +1,4 @@
+import html.parser
 import math
 import random
 import re
@@ -42,6 +43,59 @@ def test_slashes_in_classes_and_text_around_the_winner(spark):
     assert x.main_text(df).first().text == body
 
 
+def test_noise_needs_evidence():
+    """Names that hold a noise word next to others are dropped only if links fill them; pure ones always."""
+    page = "<body><article class=share-price><h1>T</h1><div class='social-history'><p>{}</p></div><div class='ad-hoc'><p>{}</p></div>{}</article></body>"
+    long, links = "history of the town and its people", "<a href=x>more of this here</a> "
+    pure = "".join(f"<div class='{c}'><p>{long}</p></div>" for c in ("ad-box", "comments-list", "site-footer", "cookie notice", "google-ads", "share-buttons", "Related-Posts", "sidebar_2", "user-comments"))
+    assert x.extract(page.format(long, "hoc group", pure), None) == f"T\n\n{long}\n\nhoc group"
+    assert x.extract(page.format(links * 3, "a " + links, ""), None) == "T"
+    deep = "<main><h1>Head</h1><div><section class=x><p>" + "one two " * 30 + "</p></section><section class=y><p>the end</p></section></div></main>"
+    assert x.extract(deep, None) == "Head\n\n" + ("one two " * 30).strip() + "\n\nthe end"
+
+
+class Article(html.parser.HTMLParser):
+    """An independent reading of the given pages: blocks of the article, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.text = 0, [], []
+
+    def cut(self):
+        if block := " ".join("".join(self.text).split()):
+            self.blocks.append(block)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.text.append(" ")
+        elif tag not in ("b", "i", "a", "em", "span", "strong"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "span", "strong"):
+            self.cut()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.text.append(data)
+
+
+def test_given_pages_by_an_independent_parser(spark, sf):
+    from weftlink.llm.queries import op9_main_text, table
+
+    pages = {r.page_id: (r.url, r.html) for r in table(spark, sf.replace("0.001", "0.01"), "pages").collect()}
+    got = {r.page_id: r for r in op9_main_text(spark, sf.replace("0.001", "0.01")).collect()}
+    assert got.keys() == pages.keys()
+    for i, (url, page) in pages.items():
+        parser = Article()
+        parser.feed(page or "")
+        want = "\n\n".join(parser.blocks)
+        assert (got[i].url, got[i].text, got[i].n_chars) == (url, want, len(want)), page
+
+
 def test_hostile_pages_are_linear():
     for page in ("<" * 200_000, '<a b="' * 20_000, "<p>" * 50_000 + "x", "<!--" * 50_000, "<script>" * 20_000):
         x.extract(page, None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ DROPPED = frozenset("aside button datalist dialog footer form head menu nav nosc
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "body": set()}
 NOISE = frozenset("ad adbox ads adsense adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
+# Words that only say where a part stands or what it is made of, next to which a noise word still names the part.
+FURNITURE = frozenset("area article articles author bar block blocks body bottom box boxes btn button buttons card col column container content cta entry fixed footer form global google group grid header holder icon icons id inline inner item items js left link links list main message modal outer overlay page panel post posts primary reader right rail row secondary section site slot small space sticky text title top unit user users view wrap wrapper".split())
 HEADERS = frozenset("header page-header site-header top-header".split())
 RAW = frozenset("iframe math noembed object script style svg template textarea xmp".split())
 
@@ -29,28 +32,38 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'(
 _WORD = re.compile(r"[a-z]+")
 
 
-def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """The generalised step of an element (tag and classes without digits) and whether its names mark it as noise.
+def _label(tag: str, rest: str) -> tuple[str, str]:
+    """The generalised step of an element (tag and classes without digits) and what its names say of it.
 
-    A / in a class becomes a blank, which no class holds, as / joins the steps of a path.
+    That is "noise" if one of its names holds a noise word and furniture words only, "maybe" if a noise word stands next
+    to others (a social history, an ad-hoc group), else empty. A / in a class becomes a blank, which no class holds, as /
+    joins the steps of a path.
     """
     if not rest or "=" not in rest and "hidden" not in rest:
-        return tag, False
-    step, noise = tag, False
+        return tag, ""
+    step, says = tag, ""
     for m in _NAMED.finditer(rest):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
-        words = _WORD.findall(value)
-        noise = noise or name == "hidden" or not NOISE.isdisjoint(words) or value in HEADERS
+        if name == "hidden" or value in HEADERS:
+            says = "noise"
+        for token in value.split():
+            words = set(_WORD.findall(token))
+            if not NOISE.isdisjoint(words):
+                says = "noise" if words <= NOISE | FURNITURE else says or "maybe"
         if name == "class":
             step = f"{tag}." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split()))).replace("/", " ")
-    return step, noise and tag not in ("html", "body", "article", "main")
+    return step, "" if tag in ("html", "body", "article", "main") else says
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, str, int]]:
-    """(container path, block tag, text, characters in links) of each text block outside of dropped parts, in page order."""
+    """(container path, block tag, text, characters in links) of each text block outside of dropped parts, in page order.
+
+    An element whose names only may be noise is dropped if at least half of its characters stand in links.
+    """
     out: list = []
+    doubtful: list[tuple[int, int]] = []  # first block and block after the last of elements that may be noise
     page = page or ""
-    stack: list[tuple[str, str, bool]] = []  # tag, step, dropped
+    stack: list[tuple[str, str, bool, int]] = []  # tag, step, dropped, first block if it may be noise, else -1
     run: list[str] = []
     linked = in_link = 0
 
@@ -59,11 +72,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, str, int]]:
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text and not (stack and stack[-1][2]):
-                path = tuple(step for tag, step, _ in stack if tag in CONTAINERS)
+                path = tuple(x[1] for x in stack if x[0] in CONTAINERS)
                 out.append((path, stack[-1][0] if stack else "", text, linked))
             run.clear()
         linked = 0
 
+    def closed(elements: list) -> None:
+        doubtful.extend((x[3], len(out)) for x in elements if x[3] >= 0)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -85,28 +101,40 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, str, int]]:
         flush()
         if end:
             if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+                i = max(i for i, x in enumerate(stack) if x[0] == tag)
+                closed(stack[i:])
+                del stack[i:]
                 in_link = 0
             continue
         if tag in VOID:
             continue
         if stack and stack[-1][0] == "p":
+            closed(stack[-1:])
             stack.pop()
         if tag in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[tag]:
+                    closed(stack[i:])
                     del stack[i:]
                     if tag not in ("tr",):
                         break
                 elif stack[i][0] in STOPS[tag]:
                     break
-        step, noise = _label(tag, m["rest"] or m["rest2"] or "")
+        step, says = _label(tag, m["rest"] or m["rest2"] or "")
         inside = any(x[0] in ("article", "main") for x in stack)
-        stack.append((tag, step, bool(stack and stack[-1][2]) or noise or tag in DROPPED or tag == "header" and not inside))
+        dropped = bool(stack and stack[-1][2]) or says == "noise" or tag in DROPPED or tag == "header" and not inside
+        stack.append((tag, step, dropped, len(out) if says == "maybe" else -1))
     if at < len(page):
         run.append(page[at:])
     flush()
+    closed(stack)
+    if doubtful:
+        chars, links = (list(itertools.accumulate((f(x) for x in out), initial=0)) for f in (lambda x: len(x[2]), lambda x: x[3]))
+        gone = [False] * len(out)
+        for first, last in doubtful:
+            if 2 * (links[last] - links[first]) >= chars[last] - chars[first]:
+                gone[first:last] = [True] * (last - first)
+        out = [x for x, g in zip(out, gone, strict=True) if not g]
     return out
 
 
@@ -159,11 +187,11 @@ def extract(page: str | None, winners: list[str] | None) -> str:
     return text_under(found, best_path(found))
 
 
-def consensus(pages: DataFrame, most: int = 3, least_share: float = 0.1) -> DataFrame:
-    """(host, winners): the container paths that most pages of a host vote for, at most ``most`` with ``least_share`` of the votes.
+def consensus(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+    """(host, winners): the container paths with at least ``least_share`` of a host's votes, most votes first.
 
-    A page votes for its best path. Votes are summed per host and path before they are shuffled, and a host's
-    candidates are few, as paths hold no numbers; ties go to the path that sorts first.
+    A page votes for its best path. Votes are summed per task, then per host and path, before they are gathered, and a
+    host has at most 1 / least_share winners; ties go to the path that sorts first.
     """
 
     def vote(batches: Iterator) -> Iterator:
@@ -180,23 +208,18 @@ def consensus(pages: DataFrame, most: int = 3, least_share: float = 0.1) -> Data
 
     votes = pages.select("host", F.col("html").cast("string")).where("html is not null").mapInArrow(vote, "host string, path string, n long")
     tally = votes.groupBy("host", "path").agg(F.sum("n").alias("n"))
-    # The best three of a host, as a bounded aggregate: the winner, then the best of the rest, and so on.
-    best, rest = None, tally.withColumn("rank", F.struct((-F.col("n")).alias("n"), "path"))
     total = tally.groupBy("host").agg(F.sum("n").alias("total"))
-    for i in range(most):
-        top = rest.groupBy("host").agg(F.min("rank").alias(f"w{i}"))
-        best = top if best is None else best.join(top, "host", "left")
-        if i + 1 < most:
-            rest = rest.join(top, "host").where(F.col("rank") != F.col(f"w{i}")).drop(f"w{i}")
-    names = [F.when(-F.col(f"w{i}.n") >= least_share * F.col("total"), F.col(f"w{i}.path")) for i in range(most)]
-    return best.join(total, "host").select("host", F.array_compact(F.array(*names)).alias("winners"))
+    ranked = tally.join(total, "host").where(F.col("n") >= least_share * F.col("total")).select("host", F.struct((-F.col("n")).alias("n"), "path").alias("rank"))
+    return ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list("rank")), lambda x: x["path"]).alias("winners"))
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = 200_000) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
-    Null or empty html: empty text. Null urls share the host "". Repeated rows are kept, other columns ignored. Up to
-    ``broadcast_hosts`` hosts, a count that is taken first, the winners are broadcast; beyond, pages are joined by host.
+    Null or empty html: empty text. Null urls share the host "". Repeated rows are kept, ties between containers go to
+    the path that sorts first, other columns are ignored, whatever their names; an empty table gives no rows. A page of
+    any length is read whole, in linear time. Up to ``broadcast_hosts`` hosts, a count that is taken first, the winners
+    are broadcast; beyond, pages are joined by host, and AQE splits a hot one.
     """
     from . import common
 
