@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -40,3 +42,56 @@ def test_more_than_64_languages(spark):
     words = {f"l{i:03d}": " ".join(chr(0x4E00 + 40 * i + (7 * k) % 40) * 2 + chr(0x4E00 + 40 * i + k) for k in range(40)) for i in range(150)}
     filters = langid.fit(spark.createDataFrame([(t, lang) for lang, t in words.items()], "text string, lang string"), 1 << 16)
     assert filters.predict([*words.values(), "", None])[0] == [*words, langid.UNKNOWN, langid.UNKNOWN]
+
+
+def plain_trigrams(text):
+    low = f" {(text or '').lower()} "
+    clean = "".join(c if c.isalpha() else " " for c in low)
+    return [clean[i - 1 : i + 2] for i in range(len(clean)) if clean[i] != " "]
+
+
+def brute_predictions(train, texts, rows, hashes, least_rate=1e-6, least_share=0.2):
+    """Learned sets and a Bloom filter for each language, all in plain Python."""
+    import numpy as np
+
+    from weftlink.llm import common
+
+    counts = {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_trigrams(text))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for r in rates.values():
+        for g, x in r.items():
+            most[g] = max(most[g], x)
+
+    def places(g):
+        key = sum(ord(c) << 21 * i for i, c in enumerate(g))
+        h = int(common.mix(np.array([key], np.uint64))[0])
+        return {((h + k * (h >> 32 | 1)) % 2**64) & (rows - 1) for k in range(hashes)}
+
+    bits = {lang: set().union(*(places(g) for g, x in r.items() if x >= least_rate and x >= least_share * most[g])) for lang, r in rates.items()}
+    out = []
+    for text in texts:
+        grams = plain_trigrams(text)
+        best = (0.0, "und")
+        for i, lang in enumerate(sorted(bits)):
+            if grams:
+                false = (len(bits[lang]) / rows) ** hashes
+                share = min(1.0, max(0.0, (sum(places(g) <= bits[lang] for g in grams) / len(grams) - false) / (1 - false)))
+                if i == 0 or share > best[0]:
+                    best = (share, lang)
+        out.append(best)
+    return out
+
+
+def test_predictions_by_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    train = [(t, lang) for d, t, lang in docs if d % 3]
+    texts = [t for _, t, _ in docs] + [None, "", "12 %", "été the und"]
+    for rows in (1 << 9, 1 << 14):  # crowded filters, where the correction counts, and roomy ones
+        filters = langid.fit(spark.createDataFrame(train, "text string, lang string"), rows, 3)
+        langs, scores = filters.predict(texts)
+        for lang, score, (want, name) in zip(langs, scores, brute_predictions(train, texts, rows, 3), strict=True):
+            assert (lang, round(float(score), 9)) == (name, round(want, 9))

@@ -52,3 +52,24 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     fill = out.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`)", "avg(`sum(length)`)").first()
     assert fill[0] <= 4096 and fill[1] > 3900
+
+
+EDGES = [(None, "A text without an id, but with some words."), (None, None), (1, None), (2, ""), (3, "der die und das " * 40_000), (4, "The same words under an id of its own here"), (4, "Other words entirely, which share the id with them"), (4, "Other words entirely, which share the id with them"), (5, "mail me at a@b.co or not")]
+
+
+def test_stages_on_edge_cases(spark, sf):
+    """Null ids and texts, long texts, repeated ids, an empty table, and columns with names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, span_key string, `__key` string, `a.b` int, node_id int, kept boolean"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 777.0, "mine", "k", "k2", 5, 6, None) for d, t in EDGES], schema)
+    own = (777.0, "mine", "k", "k2", 5, 6, None)
+    kept = {"language": [EDGES[i] for i in (0, 4, 5, 6, 7, 8)], "near_duplicates": [EDGES[i] for i in (0, 1, 2, 3, 4, 5, 6, 8)], "decontamination": EDGES, "personal_data": [*EDGES[:8], (5, "mail me at [EMAIL] or not")]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in rows))) == sorted(map(str, kept[name])), name
+        assert {tuple(r)[5:] for r in rows} == {own} and all(r.n_chars == len(r.text or "") for r in rows), name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3, 4, 5} and sum(r.start == 0 for r in packed) == len(EDGES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0

@@ -24,6 +24,8 @@ def test_round_trip(spark):
             first = max(same)
             want.append((p, len(data), hashlib.sha1(data).hexdigest(), "response" if p == first else "revisit", None if p == first else first))
         assert sorted(got, key=str) == sorted(want, key=str)
+    joined = warc.write(pages, broadcast_groups=0)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(joined).collect()), key=str) == sorted(want, key=str)
     payload = {r.page_id: r.payload for r in warc.read(manifest).where("record_type = 'response'").collect()}
     assert bytes(payload[7]).decode() == BIG and bytes(payload[-8]).decode() == "é" * 700
 
@@ -49,6 +51,31 @@ def test_ranges_own_each_member_once(tmp_path):
         assert found == [0, 1, 3, 4, 5, 6, 7]
 
 
+def test_candidates_are_decoded(tmp_path):
+    """Long gzip headers are read over, headers that are not a record's are refused, and nested archives stay inside."""
+    import gzip
+    import io
+    import random
+    import struct
+    import zlib
+
+    noise = random.Random(1).randbytes
+    inner = b"".join(warc.record(100 + i, "http://in", noise(900), "00", False, None) for i in range(5))
+    outer = warc.record(1, "http://x/" + "p" * 9000, inner + noise(3000), "00", False, None)
+    plain = zlib.decompress(warc.record(2, "u", b"text", "00", False, None), 31)
+    packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+    extra = noise(30_000)
+    long = b"\x1f\x8b\x08\x0c" + b"\0" * 6 + struct.pack("<H", len(extra)) + extra + b"name" * 3000 + b"\0" + packed.compress(plain) + packed.flush() + struct.pack("<II", zlib.crc32(plain), len(plain))
+    wrong = gzip.compress(b"WARC/1.1\r\nno: record\r\n\r\n") + gzip.compress(b"WARC-like text") + gzip.compress(b"")
+    data = outer + wrong + long + wrong + warc.record(3, "u", b"end", "00", False, None)
+    assert outer.find(warc.MAGIC, 1) < 0 and warc.parse(zlib.decompress(outer, 31))[2].startswith(inner)
+    for size in (700, 5000, 10**6):
+        found = []
+        for start in range(0, len(data), size):
+            found += [warc.parse(c)[0] for _, c in warc.Members(io.BytesIO(data), start, min(start + size, len(data)))]
+        assert found == [1, 2, 3]
+
+
 def test_ids_in_urns():
     for i in (0, 5, -6, 2**63 - 1, -(2**63)):
         assert warc.page_of(warc.record_urn(i)) == i

@@ -140,25 +140,50 @@ def fit(labelled: DataFrame, rows: int = 1 << 21, hashes: int = 4, least_rate: f
     return LanguageFilters.build({lang: kept.gram[kept.lang == lang].to_numpy(np.int64).astype(np.uint64) for lang in langs}, rows, hashes)
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with its columns numbered: Python operators of Spark can't take a name with a dot."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """All columns of docs with lang_pred and score added; columns of docs with these names are replaced.
 
-    Null texts and texts without a letter: und with score 0. Only text is looked at. Repeated rows stay repeated.
+    Null texts and texts without a letter: und with score 0. Only text is looked at. Repeated rows stay repeated, ties
+    go to the first language by name, a very long text is worked on alone, an empty table gives no rows.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(filters)
     rest = docs.drop("lang_pred", "score")
-    schema = T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at, plain = rest.columns.index("text"), _numbered(rest)
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            texts, langs, scores = b.column("text"), [], []
+            texts, langs, scores = b.column(at), [], []
             for lo, hi in common.slices(texts):
                 x, y = model.value.predict(texts.slice(lo, hi - lo).to_pylist())
                 langs += x
                 scores += y.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*rest.columns, "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame, filters: LanguageFilters, least_score: float) -> DataFrame:
+    """The rows of docs whose text has a language and a score of at least ``least_score``; all columns stay as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+    at, plain = docs.columns.index("text"), _numbered(docs)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            texts, keep = b.column(at), []
+            for lo, hi in common.slices(texts):
+                langs, scores = model.value.predict(texts.slice(lo, hi - lo).to_pylist())
+                keep += [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -185,8 +185,8 @@ def joined(kinds: list[str]) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; of spans that overlap the first by place stands for all.
 
-    All columns stay, whatever their names; n_chars, where there is one, becomes the new length. Null text stays null,
-    repeated rows stay repeated, an empty table stays empty.
+    All columns stay, whatever their names; n_chars, where there is one, becomes the new length of a changed text. Null
+    text stays null, repeated rows stay repeated, an empty table stays empty.
     """
     spans = find(docs)
 
@@ -209,5 +209,5 @@ def redact(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key))
     out = docs.join(hits, same, "left").withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull() | F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(common.columns(docs))

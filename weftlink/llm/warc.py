@@ -44,8 +44,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         if refers_to is not None:
             head.append(f"WARC-Refers-To: {record_urn(refers_to)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
+    packer, out = zlib.compressobj(6, zlib.DEFLATED, 31), []
+    first, *rest = ("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n").split(MAGIC)
+    out.append(packer.compress(first))
+    for part in rest:  # a block ends inside each magic of the content, so not even a stored block shows a reader one
+        out += [packer.compress(MAGIC[:1]), packer.flush(zlib.Z_SYNC_FLUSH), packer.compress(MAGIC[1:] + part)]
+    return b"".join(out) + packer.flush()
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -56,29 +60,35 @@ def headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def plan(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def plan(pages: DataFrame, least_bytes: int = 1000, broadcast_groups: int = 200_000) -> DataFrame:
     """page_id, url, payload, digest, revisit, refers_to for each row of pages (page_id, url, html).
 
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest page_id are responses (rows that
-    repeat it all are); the others are revisits of it. Digests are grouped with only their ids, and only groups of
-    several rows are joined back, so AQE can split a hot payload's partition. Small payloads join nothing and carry a
-    key of their own, which deals them out evenly.
+    repeat it all are); the others are revisits of it. Digests are grouped with only their ids. Up to
+    ``broadcast_groups`` groups of several rows, a count that is taken first, are broadcast (about 16 MB), so payloads
+    stay where they are; beyond, rows are joined by digest, AQE splits a hot payload's partition, and small payloads
+    carry a key of their own, which deals them out evenly.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    key = F.when(F.octet_length("payload") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "payload").cast("string")))
-    out = rows.withColumn("key", key).join(groups, "key", "left")
+    large = F.octet_length("payload") >= least_bytes
+    groups = rows.where(large).groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = common.settle(groups, "warc-groups")
+    small = groups.count() <= broadcast_groups
+    alone = F.lit(None).cast("string") if small else F.concat(F.lit("#"), F.xxhash64("page_id", "payload").cast("string"))
+    out = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(alone)).join(F.broadcast(groups) if small else groups, "key", "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     return out.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int = 1 << 30) -> DataFrame:
+def write(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int = 1 << 30, broadcast_groups: int = 200_000) -> DataFrame:
     """Archives in the shared folder, a gzip member for each row; returns the manifest (uri, bytes, records).
 
     A task streams its records to one archive and begins another at ``archive_bytes``. The manifest goes through Spark's
     committer, so files of lost attempts are in no manifest. Null html: an empty payload. Null urls: an empty target.
-    Control characters in a url are left out of the header. Empty tables give an empty manifest.
+    Control characters in a url are left out of the header. Null page_ids are written without one, repeated rows each.
+    A very long payload is compressed in one piece. Other columns are ignored, whatever their names. Empty tables give an
+    empty manifest.
     """
     home = common.fresh(pages.sparkSession, "warc")
 
@@ -107,14 +117,16 @@ def write(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int = 1 << 3
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["uri", "bytes", "records"])
 
-    return common.settle(plan(pages, least_bytes).mapInArrow(run, "uri string, bytes long, records long"), "warc-manifest")
+    return common.settle(plan(pages, least_bytes, broadcast_groups).mapInArrow(run, "uri string, bytes long, records long"), "warc-manifest")
 
 
 class Members:
     """Gzip members of a file that start in [start, end), found without an index.
 
-    The range is scanned for gzip magic; a candidate counts if it inflates to a WARC header. From there on members
-    follow one another, and after damage the scan resumes. A member may end beyond the range; its bytes are read on.
+    The range is scanned for gzip magic; a candidate counts if the headers of a record are decoded from it: a version
+    line, a type, a record id and a length. From there on members follow one another, and after damage the scan resumes.
+    A member may end beyond the range; its bytes are read on. The writer shows no magic inside of a member; in archives of
+    other writers, records of an archive that is stored uncompressed inside a record can't be told from the outer ones.
     """
 
     def __init__(self, file, start: int, end: int, chunk: int = 1 << 20):
@@ -125,10 +137,20 @@ class Members:
         return self.file.read(n)
 
     def _valid(self, at: int) -> bool:
+        """Whether the candidate inflates to the whole header block of a record, whatever the length of either header."""
+        unpack, head, pos = zlib.decompressobj(31), b"", at
         try:
-            return zlib.decompressobj(31).decompress(self._read(at, 4096), 16).startswith(b"WARC/")
+            while (end := head.find(b"\r\n\r\n")) < 0:
+                data = unpack.unconsumed_tail or self._read(pos, 4096)
+                if not unpack.unconsumed_tail:
+                    pos += len(data)
+                if not data or unpack.eof or not b"WARC/".startswith(head[:5]):
+                    return False
+                head += unpack.decompress(data, 4096)
         except zlib.error:
             return False
+        fields = headers(head[:end])
+        return head.startswith(b"WARC/") and bool(fields.get("warc-type")) and bool(fields.get("warc-record-id")) and fields.get("content-length", "").isdigit()
 
     def _inflate(self, at: int) -> tuple[bytes, int] | None:
         """(content, position after the member), or None if it is damaged or cut off."""
