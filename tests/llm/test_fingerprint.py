@@ -19,7 +19,7 @@ def brute_units(text):
     mix = lambda x: int(common.mix(np.array([x], np.uint64))[0])
     full, turn, marks = 2**64 - 1, int(fingerprint._TURN), {chr(c) for c in fingerprint._MARKS}
     spaces = {chr(c) for c in fingerprint._SPACES}
-    units, unit, before, stop, gap, word = [], "", "\0", False, "", 0
+    units, unit, before, stop, gap, word = [], "", None, False, "", 0
     for i, c in enumerate(text):
         if c in spaces:
             gap += c
@@ -31,11 +31,11 @@ def brute_units(text):
             word, place = 0, 0
         unit += (" " if gap and unit else "") + c
         gap, place = "", place + 1
-        word = (word + mix((ord(c) + place * turn) & full)) & full
+        word = (word + (ord(c) + 1) * pow(turn, (place - 1) % fingerprint.LONGEST + 1, 2**64)) & full
         ends = i + 1 == len(text) or text[i + 1] in spaces
         stop = ends and (mix(word) % fingerprint.MEAN_WORDS == 0 or c in marks)
         if ord(c) >= fingerprint._UNSPACED:
-            stop = stop or c in marks or mix((ord(c) + mix(ord(before) if before != "\0" else 0)) & full) % (2 * fingerprint.MEAN_WORDS) == 0
+            stop = stop or c in marks or mix((ord(c) + 1 + mix(ord(before) + 1 if before is not None else 0)) & full) % (2 * fingerprint.MEAN_WORDS) == 0
         before = c
     return units + [unit] if unit else units
 

@@ -24,9 +24,7 @@ _UNSPACED = 0x0E00  # scripts from here on mostly set no blanks between words
 _TURN = np.uint64(0x9FB21C651E98DF25)
 
 
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _TURN), dtype=np.uint64)
+_POWERS = np.cumprod(np.full(LONGEST, _TURN), dtype=np.uint64)
 
 
 def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,26 +41,23 @@ def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.flatnonzero(~np.isin(codes, _SPACES))
     if not len(keep):
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    char, owner = codes[keep].astype(np.uint64), owner[keep]
+    seen, owner = codes[keep], owner[keep]
+    char = seen.astype(np.uint64) + np.uint64(1)
     text_start = np.diff(owner, prepend=-1) != 0
-    gap = np.diff(keep, prepend=-2) > 1
-    word_start = gap | text_start
-    lines = np.concatenate([[0], np.cumsum(codes == 10)])
-    broken = np.diff(lines[keep], prepend=0) > 0
-    wide = char >= _UNSPACED
+    word_start = (np.diff(keep, prepend=-2) > 1) | text_start
+    broken = np.diff(np.cumsum(codes == 10)[keep], prepend=0) > 0
     # A hash of each word, or in unspaced scripts of each two characters, tells whether a unit ends there.
     begins = np.flatnonzero(word_start)
-    inside = np.arange(len(char)) - np.repeat(begins, np.diff(begins, append=len(char)))
-    with np.errstate(over="ignore"):
-        terms = common.mix(char + (inside.astype(np.uint64) + np.uint64(1)) * _TURN)
-        words = common.mix(np.add.reduceat(terms, begins))
-        two = common.mix(char + common.mix(np.where(text_start, np.uint64(0), np.concatenate([[np.uint64(0)], char[:-1]]))))
-    ends_word = np.append(word_start[1:], True)
-    last = np.flatnonzero(ends_word)
+    last = np.append(begins[1:], len(char)) - 1
+    inside = np.arange(len(char)) - np.repeat(begins, last - begins + 1)
     stop = np.zeros(len(char), bool)
-    stop[last] = words % np.uint64(MEAN_WORDS) == 0
-    stop |= ends_word & np.isin(codes[keep], _MARKS)
-    stop |= wide & ((two % np.uint64(2 * MEAN_WORDS) == 0) | np.isin(codes[keep], _MARKS))
+    with np.errstate(over="ignore"):
+        words = common.mix(np.add.reduceat(char * _POWERS[inside % LONGEST], begins))
+        stop[last] = (words % np.uint64(MEAN_WORDS) == 0) | np.isin(seen[last], _MARKS)
+        wide = np.flatnonzero(seen >= _UNSPACED)
+        if len(wide):
+            before = np.where(text_start[wide], np.uint64(0), char[wide - 1])
+            stop[wide] |= (common.mix(char[wide] + common.mix(before)) % np.uint64(2 * MEAN_WORDS) == 0) | np.isin(seen[wide], _MARKS)
     unit_start = np.concatenate([[True], stop[:-1]]) | text_start | broken
     at = np.flatnonzero(unit_start)
     far = np.arange(len(char)) - np.repeat(at, np.diff(at, append=len(char)))
@@ -71,7 +66,7 @@ def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     far = np.arange(len(char)) - np.repeat(at, lengths)
     with np.errstate(over="ignore"):
         mark = np.where(word_start & (far > 0), np.uint64(1) << np.uint64(40), np.uint64(0))  # a blank before the character
-        h = common.mix(np.add.reduceat(common.mix(char + mark + np.uint64(1)) * _powers(LONGEST)[far], at) + lengths.astype(np.uint64))
+        h = common.mix(np.add.reduceat((char + mark) * _POWERS[far], at) + lengths.astype(np.uint64))
         whose = owner[at]
         order = np.lexsort((h, whose))
         same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (whose[order][1:] == whose[order][:-1])])
@@ -89,8 +84,8 @@ def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Sketches:
     """The sketches of many sets side by side; set i has 3 * thirds[i] cells, and each key one cell in each third.
 
-    A cell holds a count, and the XOR of its keys and of their checks. Sketches of one size and ``salt`` are linear:
-    ``minus`` gives those of the differences of two sets.
+    A cell holds a count, and the sums of its keys and of their checks (modulo 2^64). Sketches of one size and ``salt``
+    are linear: ``minus`` gives those of the differences of two sets, where a key of the second set has a count of -1.
     """
 
     def __init__(self, keys: np.ndarray, owner: np.ndarray, thirds: np.ndarray, salt: int = 0):
@@ -98,11 +93,11 @@ class Sketches:
         self.first = np.concatenate([[0], np.cumsum(HASHES * self.thirds)])
         self.count = np.zeros(self.first[-1], np.int64)
         self.key, self.check = np.zeros(self.first[-1], np.uint64), np.zeros(self.first[-1], np.uint64)
-        self.toggle(keys, owner, np.ones(len(keys), np.int64))
+        self.add(keys, owner, np.ones(len(keys), np.int64))
 
     def minus(self, other: Sketches) -> Sketches:
         out = Sketches(np.empty(0, np.uint64), np.empty(0, np.int64), self.thirds, self.salt)
-        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        out.count, out.key, out.check = self.count - other.count, self.key - other.key, self.check - other.check
         return out
 
     def _checks(self, keys: np.ndarray) -> np.ndarray:
@@ -114,13 +109,16 @@ class Sketches:
             h = common.mix(keys + np.uint64(0x165667B19E3779F9) * np.uint64(1 + HASHES * self.salt + k))
         return self.first[owner] + k * third + (h % third.astype(np.uint64)).astype(np.int64)
 
-    def toggle(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> None:
-        own = self._checks(keys)
-        for k in range(HASHES):
-            at = self._place(keys, owner, k)
+    def add(self, keys: np.ndarray, owner: np.ndarray, signs: np.ndarray) -> list[np.ndarray]:
+        """Add keys, or take them out with a sign of -1; returns their cells in each third."""
+        times = signs.view(np.uint64)
+        key, check = keys * times, self._checks(keys) * times
+        cells = [self._place(keys, owner, k) for k in range(HASHES)]
+        for at in cells:
             np.add.at(self.count, at, signs)
-            np.bitwise_xor.at(self.key, at, keys)
-            np.bitwise_xor.at(self.check, at, own)
+            np.add.at(self.key, at, key)
+            np.add.at(self.check, at, check)
+        return cells
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(owner, key, sign) of all keys that can be recovered, and which sets were recovered whole.
@@ -134,22 +132,26 @@ class Sketches:
         third = inside // np.maximum(self.thirds[cell_owner], 1)
         fresh = [np.flatnonzero(third == k) for k in range(HASHES)]
         out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
-        budget = 4 * len(self.count) + 1
+        marks, budget = np.zeros(len(self.count), bool), 4 * len(self.count) + 1
         while any(map(len, fresh)) and budget > 0:
             for k in range(HASHES):
                 cells, fresh[k] = fresh[k], np.empty(0, np.int64)
                 pure = cells[np.abs(self.count[cells]) == 1]
-                keys, owner = self.key[pure], cell_owner[pure]
-                true = (self._checks(keys) == self.check[pure]) & (self._place(keys, owner, k) == pure)
-                keys, owner, signs = keys[true], owner[true], self.count[pure[true]]
+                signs, owner = self.count[pure], cell_owner[pure]
+                keys = self.key[pure] * signs.view(np.uint64)
+                true = (self._checks(keys) == self.check[pure] * signs.view(np.uint64)) & (self._place(keys, owner, k) == pure)
+                keys, owner, signs = keys[true], owner[true], signs[true]
                 if not len(keys):
                     continue
                 budget -= len(keys)
-                self.toggle(keys, owner, -signs)
+                touched = self.add(keys, owner, -signs)
                 out.append((owner, keys, signs))
                 for other in range(HASHES):
                     if other != k:
-                        fresh[other] = np.union1d(fresh[other], self._place(keys, owner, other))
+                        fresh[other] = np.concatenate([fresh[other], touched[other]])
+                        marks[fresh[other]] = True
+                        fresh[other] = np.flatnonzero(marks) if len(fresh[other]) > len(marks) // 16 else np.unique(fresh[other])
+                        marks[fresh[other]] = False
         left = np.bincount(cell_owner, (self.count != 0) | (self.key != 0) | (self.check != 0), n)
         owner, keys, signs = (np.concatenate(x) for x in zip(*out, strict=True))
         return owner, keys, signs, left == 0
