@@ -159,7 +159,8 @@ def prefix_links(sets: DataFrame, percent: int) -> DataFrame:
     like size: postings are dealt by shingle and size band. Counts are written before they are joined, so a join reads
     its shuffles directly and the engine can split the partition of a frequent shingle.
     """
-    shingles = sets.select("node", "label", "size", F.xxhash64("set").alias("own"), F.explode("set").alias("shingle"))
+    named = sets.select("node", "label", "size", F.xxhash64("set").alias("own"), "set")  # hashed once, not per shingle
+    shingles = named.select("node", "label", "size", "own", F.explode("set").alias("shingle"))
     held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("held > 1")
     held = common.settle(held.select("shingle", "held", (F.col("x") != F.col("y")).alias("several")), "held")
     ranked = shingles.join(held, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("node", "own").orderBy(F.coalesce("held", F.lit(1)), "shingle")))
