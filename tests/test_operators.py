@@ -88,6 +88,52 @@ def test_results_are_candidates(spark, sf):
     assert matched == sorted(matched, reverse=True)
 
 
+def test_repeated_rows_count_once(spark):
+    """Truth and results that repeat a record: the last by a given order, else the greatest list; blank ids are none."""
+    lists = "source1_entity_id string, matched_entity_ids string, at int"
+    truth = spark.createDataFrame([("a", "x", 1), ("a", "y", 0), ("b", None, 0), ("b", None, 1), ("c", " , x,\t", 0), ("d", "x,x", 0)], lists)
+    results = spark.createDataFrame([("a", "x", 1), ("a", "x,y", 0), ("a", "x,y", 0), ("b", " ", 0), ("d", "x", 0), ("d", "", 1)], lists)
+    got = {r.source1_entity_id: r.f05 for r in evaluate.per_entity(truth, results, order="at").collect()}
+    assert got == {"a": 1.0, "b": 1.0, "c": 0.0, "d": 0.0}
+    assert {r.source1_entity_id: round(r.f05, 6) for r in evaluate.per_entity(truth, results).collect()} == {"a": 0.555556, "b": 1.0, "c": 0.0, "d": 1.0}
+    assert evaluate.macro(evaluate.per_entity(truth, results)).first().entities == 4
+    levels = evaluate.per_entity(truth, results.withColumn("threshold", F.lit(0.8)), [0.7, 0.8])
+    assert levels.count() == 8 and levels.where("threshold = 0.7 and source1_entity_id = 'a'").first().f05 == 0
+    assert block.id_lists(spark.createDataFrame([("a", "p")], "s1_id string, pool_id string"), truth.select(F.col("source1_entity_id").alias("entity_id"))).count() == 4
+
+
+def test_splits_and_samples_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(f"i{n % 50}", "US", n) for n in range(200)], "entity_id string, country string, n int")
+    parts = {k: {r.entity_id for r in v.collect()} for k, v in sample.three_way(rows, "entity_id").items()}
+    assert (len(parts["test"]), len(parts["val"]), len(parts["train"])) == (5, 10, 35) and len(set().union(*parts.values())) == 50
+    held = sample.holdout(rows, "entity_id", "US", "DE")
+    assert held["val"].count() == 40 and held["test"].count() == 0
+    some, (pool,), truth = sample.sample_preserving_truth(rows, [rows], None)
+    assert some.count() == 40 and truth is None and pool.count() == 40
+    places = sample.shuffled(rows.dropDuplicates(["entity_id"]), "entity_id").collect()
+    import hashlib
+
+    assert [r.entity_id for r in sorted(places, key=lambda r: r.place)] == sorted((f"i{n}" for n in range(50)), key=lambda k: hashlib.md5(f"{k}42".encode()).hexdigest())
+
+
+def test_vocabulary_cap(spark):
+    """The most frequent grams, ties by gram, whatever the cap."""
+    pool = spark.createDataFrame([(f"S2-{i}", n, "", c) for c in ("US", "FR") for i, n in enumerate(["abc abd", "abc abe", "abd abe", "xyz", "xyz abc", "qrs", "qrs"])], ENTITY)
+    counts = block.gram_counts(pool).groupBy("country", "gram").agg(F.sum("tf").alias("t"), F.count("*").alias("df")).where("df >= 2").collect()
+    for cap in (1, 3, 4, 6, 100):
+        got = {(r.country, r.gram) for r in block.vocabulary(pool, max_df=1.0, max_features=cap).collect()}
+        assert got == {(c, r.gram) for c in ("US", "FR") for r in sorted((r for r in counts if r.country == c), key=lambda r: (-r.t, r.gram))[:cap]}
+
+
+def test_jaro_winkler_counts_characters():
+    """On characters, not bytes: accents change one place each. Expected values by hand."""
+    from weftlink.functions.similarity import jaro_winkler_of
+
+    assert jaro_winkler_of("é", "e") == 0 and jaro_winkler_of("éa", "éa") == 1
+    assert jaro_winkler_of("martha", "marhta") == pytest.approx(0.961111, abs=1e-6) and jaro_winkler_of("mérthà", "mérhtà") == pytest.approx(0.961111, abs=1e-6)
+    assert jaro_winkler_of("dixön", "dicksönx") == pytest.approx(0.813333, abs=1e-6)
+
+
 def test_profiles_ignore_nulls(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",), ("",)], "v string")
     assert profile.missing(df, ["v"]).first().missing == 2
@@ -118,6 +164,12 @@ def test_tsv_round_trip(spark, tmp_path):
     counts = io.line_counts(spark, str(tmp_path / "x"), "*.csv")
     assert counts.agg(F.sum("records")).first()[0] == 2 and io.records_of(counts, "nowhere") == 0
     assert io.inventory(spark, str(tmp_path / "x"), "*.csv").count() >= 1
+    io.write_tsv(df, str(tmp_path / "home" / "train" / "a.tsv"))
+    assert [tuple(r) for r in io.table_inventory(spark, str(tmp_path / "home")).select("split", "file", "records").collect()] == [("train", "a.tsv", 2)]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        io.markdown(df, "Rows", most=1)
+    with pytest.raises(Exception, match="already exists"):
+        io.write_tsv(df, str(tmp_path / "x"))
     version = io.write_version(df, str(tmp_path / "v"))
     assert spark.read.parquet(version).count() == 2 and io.write_version(df, str(tmp_path / "v")) != version
     report = tmp_path / "r.md"

@@ -50,8 +50,8 @@ def tokens(c: Column | str) -> Column:
 
 
 def id_list(c: Column | str) -> Column:
-    """Ids of a comma list; none for empty or null."""
-    return F.filter(F.split(F.coalesce(_col(c), F.lit("")), ","), lambda x: x != "")
+    """Ids of a comma list; none for empty or null, and blank ones are none."""
+    return F.filter(F.split(F.coalesce(_col(c), F.lit("")), ","), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def joined(ids: Column) -> Column:

@@ -28,14 +28,17 @@ def vocabulary(pool: DataFrame, counts: DataFrame | None = None, min_df: int = 2
     """(country, gram, df, idf) fitted on the pool, per country.
 
     Grams in fewer than min_df or more than max_df of a country's records are dropped, which bounds the postings that
-    are joined later; then the most frequent max_features stay, ties by gram.
+    are joined later; then the most frequent max_features stay, ties by gram. Only the grams that tie at the cut are ranked.
     """
     counts = gram_counts(pool) if counts is None else counts
     sizes = pool.where(text.known_country("country")).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     kept = df.join(sizes, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    rank = Window.partitionBy("country").orderBy(F.desc("total"), "gram")
-    kept = kept.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= max_features)
+    totals = kept.groupBy("country", "total").agg(F.count(F.lit(1)).alias("same"))  # few rows: most grams share their total
+    before = F.coalesce(F.sum("same").over(Window.partitionBy("country").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = kept.join(totals.withColumn("before", before).where(F.col("before") < max_features), ["country", "total"])
+    edge = kept.where(F.col("before") + F.col("same") > max_features).withColumn("rank", F.row_number().over(Window.partitionBy("country", "total").orderBy("gram")))
+    kept = kept.where(F.col("before") + F.col("same") <= max_features).unionByName(edge.where(F.col("before") + F.col("rank") <= max_features).drop("rank"))
     return kept.select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -86,6 +89,6 @@ def candidates(s1: DataFrame, pool: DataFrame, **fit: float) -> DataFrame:
 
 
 def id_lists(pairs: DataFrame, s1: DataFrame, name: str = "candidate_entity_ids") -> DataFrame:
-    """One row per s1 record: its sorted distinct partners as a comma list, empty if none."""
+    """One row per s1 id, also if rows repeat it: its sorted distinct partners as a comma list, empty if none."""
     lists = pairs.groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.array_join(F.array_sort(F.collect_set("pool_id")), ",").alias(name))
-    return s1.select(F.col("entity_id").alias("source1_entity_id")).join(lists, "source1_entity_id", "left").select("source1_entity_id", F.coalesce(name, F.lit("")).alias(name))
+    return s1.select(F.col("entity_id").alias("source1_entity_id")).distinct().join(lists, "source1_entity_id", "left").select("source1_entity_id", F.coalesce(name, F.lit("")).alias(name))

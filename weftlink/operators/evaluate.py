@@ -36,13 +36,21 @@ def f05(truth: Column, predicted: Column) -> Column:
     return F.when(F.size(truth) == 0, F.when(F.size(predicted) == 0, 1.0).otherwise(0.0)).when((F.size(predicted) == 0) | (hits == 0), 0.0).otherwise(1.25 * p * r / (0.25 * p + r))
 
 
-def per_entity(truth: DataFrame, results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """f05 of each truth record; a record without a result counts as predicted empty."""
-    by = by or []
-    own = truth.select("source1_entity_id", F.array_distinct(text.id_list("matched_entity_ids")).alias("own"))
-    if by:
-        own = own.crossJoin(F.broadcast(results.select(*by).distinct()))  # a few thresholds
-    found = results.select(*by, "source1_entity_id", F.array_distinct(text.id_list("matched_entity_ids")).alias("found"))
+def last_rows(lists: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
+    """One row per record: of rows that repeat one, the last by ``order``; a table has no order of its own, so without one the greatest list."""
+    return lists.groupBy(*by).agg(F.max_by("matched_entity_ids", order or "matched_entity_ids").alias("matched_entity_ids"))
+
+
+def per_entity(truth: DataFrame, results: DataFrame, thresholds: list[float] | None = None, order: str | None = None) -> DataFrame:
+    """f05 of each truth record, for each of ``thresholds`` if given; a record without a result counts as predicted empty.
+
+    Repeated rows of a record, in either table, count once: see ``last_rows``.
+    """
+    by = ["threshold"] if thresholds is not None else []
+    own = last_rows(truth, ["source1_entity_id"], order).select("source1_entity_id", F.array_distinct(text.id_list("matched_entity_ids")).alias("own"))
+    if thresholds is not None:
+        own = own.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    found = last_rows(results, [*by, "source1_entity_id"], order).select(*by, "source1_entity_id", F.array_distinct(text.id_list("matched_entity_ids")).alias("found"))
     both = own.join(found, [*by, "source1_entity_id"], "left")
     return both.select(*by, "source1_entity_id", f05(F.col("own"), F.coalesce("found", F.array().cast("array<string>"))).alias("f05"))
 

@@ -36,6 +36,11 @@ class Dataset:
         s1, s2, s3 = (spark.read.schema(io.ENTITY).parquet(f"{home}/source{k}") for k in (1, 2, 3))
         return cls(s1, s2, s3, spark.read.schema(io.TRUTH).parquet(f"{home}/ground_truth") if truth else None)
 
+    def write_tsv(self, home: str) -> None:
+        for name, df in (("source1", self.s1), ("source2", self.s2), ("source3", self.s3), ("ground_truth", self.truth)):
+            if df is not None:
+                io.write_tsv(df, f"{home}/{name}.tsv")
+
     def write(self, home: str) -> None:
         for name, df in (("source1", self.s1), ("source2", self.s2), ("source3", self.s3), ("ground_truth", self.truth)):
             if df is not None:
@@ -87,12 +92,15 @@ def run_features(data: Dataset, candidates: DataFrame, out: str) -> None:
     rows.write.parquet(out)
 
 
-def train_and_predict(train: DataFrame, test: DataFrame, s1: DataFrame, model_path: str, out: str, mode: str = "train", thresholds: list[float] | None = None, **settings: float) -> None:
-    """Result lists for every threshold, one directory each, in one job."""
+def train_and_predict(train: DataFrame, test: DataFrame, s1: DataFrame, model_path: str, out: str, mode: str = "train", thresholds: list[float] | None = None, val: DataFrame | None = None, logs: str | None = None, **settings: float) -> None:
+    """Result lists for every threshold, one directory each, in one job; with ``val`` and ``logs``, the log loss of every iteration as CSV."""
     fitted = model.fit_or_load(train, model_path, mode, **settings)
+    if val is not None and logs is not None:
+        model.logs(train.sparkSession, fitted, train, val).coalesce(1).write.csv(logs, header=True)
     evaluate.sweep(model.score(fitted, test), s1, thresholds).write.partitionBy("threshold").parquet(out)
 
 
-def evaluate_predictions(truth: DataFrame, results: DataFrame) -> DataFrame:
-    """macro F0.5 of each threshold."""
-    return evaluate.macro(evaluate.per_entity(truth, results, ["threshold"]), ["threshold"]).orderBy("threshold")
+def evaluate_predictions(truth: DataFrame, results: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
+    """macro F0.5 of each threshold, by default of those that have results (a directory each)."""
+    levels = thresholds if thresholds is not None else sorted(r.threshold for r in results.select("threshold").distinct().collect())
+    return evaluate.macro(evaluate.per_entity(truth, results, levels), ["threshold"]).orderBy("threshold")

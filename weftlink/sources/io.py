@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,20 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, fill: bool =
     return out.na.fill("") if fill else out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in local mode, if unset, in a temporary one."""
+    sc = spark.sparkContext
+    home = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not home:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        home = "file://" + tempfile.mkdtemp(prefix="weftlink-")
+    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", mode="overwrite")
+    """A new folder of tab-separated files with a header; a path that is there is an error."""
+    df.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
 
 
 def write_version(df: DataFrame, home: str) -> str:
@@ -34,10 +48,37 @@ def write_version(df: DataFrame, home: str) -> str:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*", exclude: str | None = None) -> DataFrame:
-    """(file, size_mb) of all files below a path; contents are not read."""
+    """(split, file, path, size_mb) of all files below a path, split being the folder a file is in; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.round(F.col("length") / 1e6, 6).alias("size_mb"))
-    return files.where(~F.col("file").contains(exclude)) if exclude else files
+    parts = F.split("path", "/")
+    files = files.select(F.element_at(parts, -2).alias("split"), F.element_at(parts, -1).alias("file"), "path", F.round(F.col("length") / 1e6, 6).alias("size_mb"))
+    return files.where(~F.col("path").contains(exclude)) if exclude else files
+
+
+def table_inventory(spark: SparkSession, path: str, pattern: str = "*.csv", exclude: str | None = None) -> DataFrame:
+    """(split, file, size_mb, records) of tables written as folders of files: file is a table's folder, split the folder around it.
+
+    Records are lines less a header in each file that has any line; only text lines are read.
+    """
+    files = inventory(spark, path, pattern, exclude)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("at"))
+    lines = lines.groupBy("at").agg((F.count(F.lit(1)) - 1).alias("records"))
+    both = files.withColumn("at", F.regexp_replace("path", "^file:/+", "/")).join(lines, "at", "left")
+    return both.groupBy(F.element_at(F.split("path", "/"), -3).alias("split"), F.element_at(F.split("path", "/"), -2).alias("file")).agg(F.round(F.sum("size_mb"), 6).alias("size_mb"), F.sum(F.coalesce("records", F.lit(0))).alias("records"))
+
+
+def read_tables(spark: SparkSession, path: str, schema: T.StructType, exclude: str | None = None) -> DataFrame:
+    """All tables below a path but those whose path holds ``exclude``, as one, with ``file``, the folder each row came from."""
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(path, sep="\t", header=True, quote='"', escape='"')
+    at = F.col("_metadata.file_path")
+    rows = raw.where(~at.contains(exclude)) if exclude else raw
+    return rows.select("*", F.element_at(F.split(at, "/"), -2).alias("file")).na.fill("")
+
+
+def records_by_name(counts: DataFrame, names: list[str]) -> DataFrame:
+    """(file, records) for each name, 0 for those without a count."""
+    asked = counts.sparkSession.createDataFrame([(n,) for n in names], "file string")
+    return asked.join(counts.select("file", "records"), "file", "left").select("file", F.coalesce("records", F.lit(0)).alias("records"))
 
 
 def line_counts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -58,8 +99,10 @@ def schema_rows(df: DataFrame) -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown section."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown section; one of more than ``most`` rows is an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report section of more than {most} rows")
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(str(x) for x in r) + " |" for r in rows]) + "\n"
 
