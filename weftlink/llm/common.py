@@ -117,14 +117,21 @@ class PieceEncoder(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def merged(self, word: str) -> bytes:
+        """The ids of one Latin word by the merge model, a blank before it included."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             plain = piece.lower() if self.kind == "word" else piece
-            if len(piece) > self.longest or not self.latin(plain):
+            body = plain[1:] if plain[:1] == " " else plain
+            if len(piece) <= self.longest and body.isascii() and body.isalpha():  # one word to either pattern
+                ids = self.merged(plain)
+            elif len(piece) > self.longest or not self.latin(plain):
                 ids = self.whole(piece)
             elif len(words := self.cut(plain)) == 1:
-                ids = array("I", [t.id for t in self.model.tokenize(words[0].encode().decode("latin-1").translate(self.letters))]).tobytes()
+                ids = self.merged(words[0])
             else:
                 ids = b"".join(map(self.__getitem__, words))
         if len(piece) <= self.longest:
