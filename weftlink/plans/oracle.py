@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     "f05_per_entity": er("select source1_entity_id, round(f05, 9) as f05 from f where threshold = 0.8::double", SCORES),
     "f05_macro": er("select round(avg(round(f05, 9)), 6) as macro_f05, count(*) as entities from f where threshold = 0.8::double", SCORES),
     "f05_macro_by_threshold": er("select threshold, round(avg(f05), 6) as macro_f05, count(*) as entities from f group by threshold", SCORES),
-    "model_round_trip": er("select (select count(*) from links) + (select count(*) from negatives) as pairs, 0 as differing", NEGATIVES),
+    "model_round_trip": er("select (select count(*) from links) + (select count(*) from negatives) as pairs, 0::bigint as differing", NEGATIVES),
     "tsv_scan_filled": er("select entity_id, business_name, business_address, country from pool"),
     "tsv_scan_nulls": er("select entity_id, nullif(business_name, '') as business_name, nullif(business_address, '') as business_address, country from pool"),
     "tsv_discovery": er("select entity_id, business_name, business_address, country, 'source' || substr(entity_id, 2, 1) || '.tsv' as file from (select * from s1 union all select * from pool)"),
