@@ -153,6 +153,33 @@ def test_model(spark, tmp_path):
     assert sum(r.importance for r in model.importances(spark, again).collect()) == pytest.approx(1.0)
 
 
+def test_model_logs_are_log_losses_of_the_scores(spark):
+    """The last log row against plain Python: balanced weights in training, none in validation; scores in (0, 1)."""
+    names = "name_jaro_winkler_score double, name_3gram_jaccard double, address_token_jaccard double, exact_country_match long, is_match long"
+    rows = spark.createDataFrame([(i % 17 / 17, i % 13 / 13, i % 7 / 7, i % 2, int(i % 17 > 11)) for i in range(300)], names)
+    fitted = model.fit(rows, 7, depth=3)
+    scored = [(r.is_match, r.match_probability) for r in model.score(fitted, rows).collect()]
+    share = sum(y for y, _ in scored) / len(scored)
+    losses = [(0.5 / share if y else 0.5 / (1 - share), -math.log(p if y else 1 - p)) for y, p in scored]
+    logs = model.logs(spark, fitted, rows, rows).orderBy("iteration").collect()
+    assert [r.iteration for r in logs] == list(range(1, 8))
+    assert logs[-1].val_logloss == pytest.approx(sum(x for _, x in losses) / len(losses))
+    assert logs[-1].train_logloss == pytest.approx(sum(w * x for w, x in losses) / sum(w for w, _ in losses))
+
+
+def test_hard_examples(spark):
+    """The first pair by ids of those that meet the conditions, in either class."""
+    from weftlink.plans import registry
+
+    rows = spark.createDataFrame([("b", "x", 1, 0.1, 1), ("a", "z", 1, 0.19, 0), ("a", "y", 1, 0.2, 1), ("a", "w", 0, 0.51, 0), ("c", "v", 0, 0.6, 1), ("c", "w", 0, 0.9, 1), ("a", "q", 0, 0.5, 1)], "s1_id string, pool_id string, is_match int, name_token_jaccard double, country_match int")
+    real, registry._judged = registry._judged, lambda spark, sf_dir: rows
+    try:
+        assert tuple(registry.queries()["hard_positive"](spark, "")["s1_id", "pool_id"].first()) == ("a", "z")
+        assert tuple(registry.queries()["hard_negative"](spark, "")["s1_id", "pool_id"].first()) == ("c", "v")
+    finally:
+        registry._judged = real
+
+
 def test_tsv_round_trip(spark, tmp_path):
     rows = [("S1-1", 'quote " and\ttab', "NA", "US"), ("007", "", None, "null")]
     df = spark.createDataFrame(rows, io.ENTITY)
