@@ -1,11 +1,14 @@
 """The pipeline's rows against plain Python at every stage."""
 
+import os
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
+from weftlink.llm import common
 from weftlink.llm.queries import table
 
 from .test_duplicates import brute, item_shingles
@@ -49,7 +52,11 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
+    home = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(os.listdir(home)) if home.exists() else set()
     out = corpus_pipeline.run(spark, sf)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(home)) - before}
+    assert left == {f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES}
     fill = out.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`)", "avg(`sum(length)`)").first()
     assert fill[0] <= 4096 and fill[1] > 3900
 
