@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage writes on its way is deleted when its output is there; the outputs stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.fresh(spark, f"pipeline-{name}")
+        with common.passing(spark):
+            docs = common.settle(stage(spark, docs, sf_dir), name, path)
     return docs
