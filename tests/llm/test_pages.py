@@ -54,6 +54,20 @@ def test_noise_needs_evidence():
     assert x.extract(deep, None) == "Head\n\n" + ("one two " * 30).strip() + "\n\nthe end"
 
 
+def test_prose_beside_the_winner():
+    """Containers that hold whole sentences and few links belong to the text; teasers, labels and other articles do not."""
+    say = lambda word, n: f"<p>{' '.join([word] * n)}.</p>"
+    firsts = lambda page: [t.split()[0].rstrip(".") for t in x.extract(page, None).split("\n\n")]
+    teasers = "<div class=list><p><a href=/>Another story is here</a></p><p>and this is what it is about.</p></div><div class=legal>All rights kept.</div><div class=more><p>Read on.</p></div>"
+    body = f"<div class=body>{say('body', 80)}{say('next', 60)}</div>"
+    assert firsts(f"<body><div class=page><h1>Title</h1><div class=lead>{say('lead', 12)}</div>{body}{teasers}</div></body>") == ["Title", "lead", "body", "next"]
+    assert firsts(f"<body><div class=intro><h2>Intro</h2>{say('why', 20)}</div>{body}<div class=footer>{say('foot', 20)}</div></body>") == ["Intro", "why", "body", "next"]
+    assert firsts(f"<body>{body}<article class=teaser>{say('tease', 5)}</article></body>") == ["body", "next"]
+    assert firsts(f"<body><article>{body}</article><div class=x>{say('out', 20)}</div></body>") == ["body", "next"]
+    far = f"<div class=a><section class=deep>{say('deep', 9)}</section><p><a href=/>linked words all of it and more of them</a></p></div>"
+    assert firsts(f"<body>{far}{body}</body>") == ["body", "next"]  # a container counts as a whole
+
+
 class Article(html.parser.HTMLParser):
     """An independent reading of the given pages: blocks of the article, by the standard library's parser."""
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element names and class words.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("blockquote dd p pre".split())
+SENTENCE = 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article blockquote body div main section td".split())
@@ -30,6 +33,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4][\"'\u2019\u201d\u00bb\u300d)\]]*$")
 
 
 def _label(tag: str, rest: str) -> tuple[str, str]:
@@ -164,18 +168,47 @@ def best_path(found: list) -> str | None:
     return "/".join(steps[: inside[-1] + 1] if inside else steps)
 
 
+def _prose(found: list) -> bool:
+    """Whether blocks are text rather than teasers or furniture.
+
+    Half of their characters, headings aside, must stand in paragraphs of at least ``SENTENCE`` characters that end with
+    a sentence mark, and a fifth at most in links. Shorter ones, like a call to read on, are no evidence.
+    """
+    chars = sum(len(text) for _, _, text, _ in found)
+    plain = [(tag, text) for _, tag, text, _ in found if tag not in HEADINGS]
+    whole = sum(len(text) for tag, text in plain if tag in PROSE and len(text) >= SENTENCE and _SENTENCE.search(text))
+    return 0 < sum(len(text) for _, text in plain) <= 2 * whole and 5 * sum(linked for *_, linked in found) <= chars
+
+
 def text_under(found: list, path: str | None) -> str:
     """Blocks under the containers with this path, joined by two newlines; all blocks if path is None.
 
     The own blocks of the containers around them come with them, as headings and leads often stand there: those within
-    the outermost article or main, or, outside of both, of all containers. Blocks that are mostly links do not.
+    the outermost article or main, or, outside of both, of all containers. Blocks that are mostly links do not. So do
+    the other containers in these that hold prose, unless they are articles of their own.
     """
     want = tuple(path.split("/")) if path is not None else ()
     if not any(own[: len(want)] == want for own, _, _, _ in found):
         return ""
     least = next((i + 1 for i in _articles(want)), 0)
-    around = {want[:n] for n in range(least, len(want))}
-    return "\n\n".join(text for own, _, text, linked in found if own[: len(want)] == want or own in around and len(text) > 2 * linked)
+    beside: dict[tuple[str, ...], list] = {}
+    kept = []
+    for i, (own, _, text, linked) in enumerate(found):
+        if own[: len(want)] == want:
+            kept.append(i)
+            continue
+        same = next((n for n, (x, y) in enumerate(zip(own, want, strict=False)) if x != y), min(len(own), len(want)))
+        if same < least:
+            continue
+        if same == len(own):
+            if len(text) > 2 * linked:
+                kept.append(i)
+        elif not _articles(own[same:]):
+            beside.setdefault(own[: same + 1], []).append(i)
+    for places in beside.values():
+        if _prose([found[i] for i in places]):
+            kept.extend(places)
+    return "\n\n".join(found[i][2] for i in sorted(kept))
 
 
 def extract(page: str | None, winners: list[str] | None) -> str:
