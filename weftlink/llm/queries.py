@@ -85,8 +85,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import credentials
+
+    found = credentials.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in credentials.KINDS]
+    return found.select("doc_id", *counts, F.sha2(credentials.joined(credentials.KINDS), 256).alias("base_sha256"), credentials.joined([*credentials.KINDS, *credentials.ADDED]).alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import planted, runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs(docs).withColumn("longest", F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))))
+    length, period = -F.col("longest.l"), F.col("longest.period")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2(F.col("text"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter}
+    return {"op1_token_ids": op1_token_ids, "op2_warc": op2_warc, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_minhash": op8_minhash, "op9_main_text": op9_main_text, "op10_url_filter": op10_url_filter, "op11_ranked_search": op11_ranked_search, "op12_secrets": op12_secrets, "op13_periodic_runs": op13_periodic_runs}
 
 
 # Words of a text, A-Z lower-cased, and the distinct 5-word shingles.
@@ -165,5 +192,18 @@ from p join d on d.host = p.host and d.shape = p.shape join y on y.host = d.host
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""
+with d as (select doc_id, {_TERMS} as t from documents), b as (select item_id, {_TERMS} as t from benchmark),
+c as (select count(*)::bigint as docs, sum(len(t))::bigint as total from d where len(t) > 0),
+q as (select item_id, term, count(*)::bigint as reps from (select item_id, unnest(t) as term from b) group by all),
+f as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, len(t)::bigint as n, unnest(t) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, c group by term, docs),
+s as (select item_id, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score from q join f using (term) join w using (term), c group by all)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank from s where score > 0) where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op7_decontamination": _OP7, "op8_minhash": _OP8, "op10_url_filter": _op10()}
+    return {"op2_warc": _OP2, "op7_decontamination": _OP7, "op8_minhash": _OP8, "op10_url_filter": _op10(), "op11_ranked_search": _OP11}
