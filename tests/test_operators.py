@@ -125,15 +125,6 @@ def test_vocabulary_cap(spark):
         assert got == {(c, r.gram) for c in ("US", "FR") for r in sorted((r for r in counts if r.country == c), key=lambda r: (-r.t, r.gram))[:cap]}
 
 
-def test_jaro_winkler_counts_characters():
-    """On characters, not bytes: accents change one place each. Expected values by hand."""
-    from weftlink.functions.similarity import jaro_winkler_of
-
-    assert jaro_winkler_of("é", "e") == 0 and jaro_winkler_of("éa", "éa") == 1
-    assert jaro_winkler_of("martha", "marhta") == pytest.approx(0.961111, abs=1e-6) and jaro_winkler_of("mérthà", "mérhtà") == pytest.approx(0.961111, abs=1e-6)
-    assert jaro_winkler_of("dixön", "dicksönx") == pytest.approx(0.813333, abs=1e-6)
-
-
 def test_profiles_ignore_nulls(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",), ("",)], "v string")
     assert profile.missing(df, ["v"]).first().missing == 2

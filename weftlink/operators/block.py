@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import io
 
 
 def exact_name(s1: DataFrame, pool: DataFrame, match_empty_names: bool = False) -> DataFrame:
@@ -19,43 +20,99 @@ def exact_name(s1: DataFrame, pool: DataFrame, match_empty_names: bool = False)
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(country, entity_id, gram, tf) of padded 3-grams of names in known countries."""
-    grams = rows.where(text.known_country("country")).select("country", "entity_id", F.explode(text.padded_grams("business_name")).alias("gram"))
-    return grams.groupBy("country", "entity_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    """(country, entity_id, key, gram, tf) of padded 3-grams of names in known countries; every row is a document, key a hash of its country and name."""
+    bags = rows.where(text.known_country("country")).select("country", "entity_id", F.xxhash64("country", "business_name").alias("key"), text.padded_grams("business_name").alias("grams"))
+    tf = lambda g: (F.size("grams") - F.size(F.array_remove("grams", g))).cast("long")
+    one = F.explode(F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("gram"), tf(g).alias("tf"))))
+    return bags.select("country", "entity_id", "key", one.alias("g")).select("country", "entity_id", "key", "g.gram", "g.tf")
 
 
 def vocabulary(pool: DataFrame, counts: DataFrame | None = None, min_df: int = 2, max_df: float = 0.03, max_features: int = 150_000) -> DataFrame:
     """(country, gram, df, idf) fitted on the pool, per country.
 
     Grams in fewer than min_df or more than max_df of a country's records are dropped, which bounds the postings that
-    are joined later; then the most frequent max_features stay, ties by gram. Only the grams that tie at the cut are ranked.
+    are joined later; then the most frequent max_features stay, ties by gram. Frequencies are written once. Only in
+    countries that have more grams are they ranked, and there only those that tie at the cut.
     """
     counts = gram_counts(pool) if counts is None else counts
     sizes = pool.where(text.known_country("country")).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = df.join(sizes, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    totals = kept.groupBy("country", "total").agg(F.count(F.lit(1)).alias("same"))  # few rows: most grams share their total
-    before = F.coalesce(F.sum("same").over(Window.partitionBy("country").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = kept.join(totals.withColumn("before", before).where(F.col("before") < max_features), ["country", "total"])
-    edge = kept.where(F.col("before") + F.col("same") > max_features).withColumn("rank", F.row_number().over(Window.partitionBy("country", "total").orderBy("gram")))
-    kept = kept.where(F.col("before") + F.col("same") <= max_features).unionByName(edge.where(F.col("before") + F.col("rank") <= max_features).drop("rank"))
+    kept = io.written(df.join(sizes, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))), "gram-df")
+    if not kept.groupBy("country").count().where(F.col("count") > max_features).isEmpty():
+        totals = kept.groupBy("country", "total").agg(F.count(F.lit(1)).alias("same"))  # few rows: most grams share their total
+        before = F.coalesce(F.sum("same").over(Window.partitionBy("country").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        kept = kept.join(totals.withColumn("before", before).where(F.col("before") < max_features), ["country", "total"])
+        edge = kept.where(F.col("before") + F.col("same") > max_features).withColumn("rank", F.row_number().over(Window.partitionBy("country", "total").orderBy("gram")))
+        kept = kept.where(F.col("before") + F.col("same") <= max_features).unionByName(edge.where(F.col("before") + F.col("rank") <= max_features).drop("rank"))
     return kept.select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(country, entity_id, gram, w) of unit length per record; grams off the vocabulary are dropped first."""
-    raw = counts.join(vocab.select("country", "gram", "idf"), ["country", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("country", "entity_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["country", "entity_id"]).select("country", "entity_id", "gram", (F.col("raw") / F.col("norm")).alias("w"))
+    return vectors(counts, vocab).select("country", "entity_id", F.explode("grams").alias("g")).select("country", "entity_id", "g.gram", "g.w")
 
 
-def tfidf_cosine(s1: DataFrame, pool: DataFrame, threshold: float = 0.65, **fit: float) -> DataFrame:
-    """(s1_id, pool_id, cosine) above the threshold: postings meet on (country, gram), products are summed per pair."""
-    counts = gram_counts(pool)
+def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(country, entity_id, key, grams): each record's grams as (df, gram, w) from rare to frequent, w of unit length. Rows that repeat a record give one."""
+    raw = counts.join(vocab.select("country", "gram", "df", "idf"), ["country", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    sets = raw.groupBy("country", "entity_id", "key").agg(F.sort_array(F.collect_set(F.struct("df", "gram", F.col("raw").alias("w")))).alias("grams"), F.sum(F.col("raw") * F.col("raw")).alias("squares"), F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.col("squares") * F.size("grams") / F.col("n"))
+    return sets.select("country", "entity_id", "key", F.zip_with("grams", F.array_repeat(norm, F.size("grams")), lambda g, x: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["w"] / x).alias("w"))).alias("grams"))
+
+
+def bounded(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """The vectors of ``own`` with ``kept``, how many of their rarest grams must be posted, and ``rest``, a bound on what the others add.
+
+    What the grams from one on can add to a cosine with any of ``other`` is at most the length of that part, and at most
+    the sum of its weights times each gram's greatest weight in ``other``. Grams are kept while the lesser bound is above
+    the threshold: two records whose cosine is above it share a gram that both keep, as one's last kept gram comes first
+    in the order and all that the two share up to there is kept by both.
+    """
+    most = other.select("country", F.explode("grams").alias("g")).groupBy("country", F.col("g.gram").alias("gram")).agg(F.max("g.w").alias("most"))
+    rows = own.select("country", "entity_id", "key", F.explode("grams").alias("g")).select("country", "entity_id", "key", "g.*").join(most, ["country", "gram"], "left")
+    sets = rows.groupBy("country", "entity_id", "key").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", F.coalesce("most", F.lit(0.0)).alias("most")))).alias("grams"))
+
+    def step(acc: Column, g: Column) -> Column:
+        squares, product = acc["squares"] + g["w"] * g["w"], acc["product"] + g["w"] * g["most"]
+        bound = F.least(F.sqrt(squares), product)
+        over = bound > threshold - 1e-9
+        return F.struct(squares.alias("squares"), product.alias("product"), (acc["kept"] + over.cast("int")).alias("kept"), F.when(over, acc["rest"]).otherwise(bound).alias("rest"))
+
+    first = F.struct(F.lit(0.0).alias("squares"), F.lit(0.0).alias("product"), F.lit(0).alias("kept"), F.lit(0.0).alias("rest"))
+    sets = sets.select("*", F.aggregate(F.reverse("grams"), first, step).alias("x"))
+    return sets.where("x.kept > 0").select("country", "entity_id", "key", F.map_from_arrays(F.col("grams.gram"), F.col("grams.w")).alias("weights"), F.slice(F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), g["w"].alias("w"))), F.lit(1), F.col("x.kept")).alias("kept"), F.col("x.rest").alias("rest"))
+
+
+def postings(rows: DataFrame, side: int) -> DataFrame:
+    """(country, gram) with w, id, key, rest and the last kept (df, gram) of records, names ending in ``side``."""
+    last = F.element_at("kept", -1)
+    out = rows.select("country", F.col("entity_id").alias("id"), "key", "rest", F.struct(last["df"], last["gram"]).alias("last"), F.explode("kept").alias("g"))
+    return out.select("country", F.col("g.gram").alias("gram"), *(F.col(c).alias(f"{c.removeprefix('g.')}{side}") for c in ("id", "key", "rest", "last", "g.w")))
+
+
+def bounded_sides(s1: DataFrame, pool: DataFrame, threshold: float, **fit: float) -> tuple[DataFrame, DataFrame]:
+    """``bounded`` of both sides, each written once; the vocabulary is the pool's."""
+    counts = io.written(gram_counts(pool), "gram-counts")
     vocab = vocabulary(pool, counts, **fit)
-    left = weights(gram_counts(s1), vocab).select("country", "gram", F.col("entity_id").alias("s1_id"), F.col("w").alias("w1"))
-    right = weights(counts, vocab).select("country", "gram", F.col("entity_id").alias("pool_id"), F.col("w").alias("w2"))
-    return left.join(right, ["country", "gram"]).groupBy("s1_id", "pool_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")).where(F.col("cosine") > threshold)
+    left, right = io.written(vectors(gram_counts(s1), vocab), "vectors"), io.written(vectors(counts, vocab), "vectors")
+    return io.written(bounded(left, right, threshold), "bounded"), io.written(bounded(right, left, threshold), "bounded")
+
+
+def tfidf_cosine(s1: DataFrame, pool: DataFrame, threshold: float = 0.65, **fit: float) -> DataFrame:
+    """(s1_id, pool_id, cosine) above the threshold.
+
+    Only the grams that can lift a pair above it are posted (see ``bounded``). Postings meet on (country, gram); a pair's
+    products there and the bound of the record whose kept grams end first decide whether it is measured on the whole
+    vectors. Of rows that repeat an id, the greatest cosine counts.
+    """
+    left, right = bounded_sides(s1, pool, threshold, **fit)
+    rest = F.when(F.col("last1") <= F.col("last2"), F.col("rest1")).otherwise(F.col("rest2"))
+    met = postings(left, 1).join(postings(right, 2), ["country", "gram"]).groupBy("id1", "key1", "id2", "key2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"), F.max(rest).alias("rest"))
+    pairs = met.where(F.col("part") + F.col("rest") > threshold - 1e-9).select("id1", "key1", "id2", "key2")
+    whole = lambda x, k: x.select(F.col("entity_id").alias(f"id{k}"), F.col("key").alias(f"key{k}"), F.col("weights").alias(f"weights{k}"))
+    both = pairs.join(whole(left, 1), ["id1", "key1"]).join(whole(right, 2), ["id2", "key2"])
+    cosine = F.aggregate(F.map_entries("weights1"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("weights2", e["key"]), F.lit(0.0)))
+    return both.select(F.col("id1").alias("s1_id"), F.col("id2").alias("pool_id"), cosine.alias("cosine")).where(F.col("cosine") > threshold).groupBy("s1_id", "pool_id").agg(F.max("cosine").alias("cosine"))
 
 
 def ngram_jaccard(s1: DataFrame, pool: DataFrame, threshold: float = 0.4, n: int = 3) -> DataFrame:

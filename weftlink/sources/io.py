@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what is used more than once is computed once, and lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """A new folder of tab-separated files with a header; a path that is there is an error."""
     df.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
