@@ -83,6 +83,18 @@ def test_pairs_that_meet_grow_less_than_with_the_square(spark):
     assert growth(plain) > 1.8 and growth(kept) < 1.55 and kept[-1] < plain[-1] / 10
 
 
+def test_a_hot_name_stays_a_block(spark):
+    """A name with 100,000 records on either side: its members are kept, not its 10^10 pairs; smaller names come as pairs."""
+    n = 100_000
+    hot = lambda p: spark.range(n).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("entity_id"), F.lit("hot name").alias("business_name"), F.lit("").alias("business_address"), F.lit("US").alias("country"))
+    s1, pool = (hot(p).union(table(spark, ["rare", "other", ""], p)) for p in ("S1", "S2"))
+    found = block.exact_name_blocks(s1, pool)
+    assert {tuple(r) for r in found.pairs.collect()} == {("S1-0", "S2-0"), ("S1-1", "S2-1")}
+    assert {(r.business_name, r.side, r["count"]) for r in found.members.groupBy("business_name", "side").count().collect()} == {("hot name", 1, n), ("hot name", 2, n)}
+    few = block.exact_name_blocks(s1.limit(40).union(table(spark, ["rare"], "S1")), pool.limit(30).union(table(spark, ["rare"], "S2")), most=100)
+    assert few.members.count() == 70 and few.expanded(7).count() == 1201 and few.expanded().distinct().count() == 1201
+
+
 def test_jaro_winkler_is_that_of_a_plain_loop(spark):
     """Greedy matching within reach, half the crossings, the prefix boost: random texts of few characters, and known values."""
 

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftlink.operators import block, evaluate, features, model, profile, sample
@@ -55,6 +54,19 @@ def test_attributes_and_labels(small, spark):
     assert negatives.join(features.exploded(truth, "matched_entity_ids"), ["s1_id", "pool_id"]).count() == 0
 
 
+def test_negatives_are_exactly_as_many_as_asked(spark, small):
+    """Two for each record from a pool of five, also where the truth holds three of them; fewer only where no more are left."""
+    s1, pool = small
+    truth = spark.createDataFrame([("S1-1", "S2-1,S3-1,S2-2"), ("S1-2", "S2-1,S3-1,S2-2,S2-3"), ("S1-3", "S2-1,S3-1,S2-2,S2-3,S3-2"), ("S1-4", None)], "source1_entity_id string, matched_entity_ids string")
+    got = [tuple(r) for r in features.negatives(s1.union(s1), pool.union(pool.limit(2)), truth).collect()]
+    own = {k: {p for s, p in got if s == k} for k in ("S1-1", "S1-2", "S1-3", "S1-4")}
+    assert len(got) == len(set(got)) and own["S1-1"] == {"S2-3", "S3-2"} and own["S1-2"] == {"S3-2"} and not own["S1-3"] and len(own["S1-4"]) == 2
+    many = spark.range(400).select(F.concat(F.lit("S2-"), "id").alias("entity_id"))
+    drawn = features.negatives(many.withColumn("entity_id", F.concat(F.lit("S1-"), "entity_id")), many, truth, each=7)
+    assert drawn.distinct().count() == 2800 and drawn.groupBy("pool_id").count().agg(F.max("count")).first()[0] < 40
+    assert features.negatives(s1, pool.where("false"), truth).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 1000, 1200])
 def test_first_by_hash(spark, n):
     import hashlib
@@ -102,6 +114,40 @@ def test_repeated_rows_count_once(spark):
     assert block.id_lists(spark.createDataFrame([("a", "p")], "s1_id string, pool_id string"), truth.select(F.col("source1_entity_id").alias("entity_id"))).count() == 4
 
 
+def test_f05_by_threshold_is_that_of_the_lists(spark):
+    """One pass over the scores against the lists of each threshold; repeated pairs and rows, unknown records, no scores."""
+    import random
+
+    made = random.Random(3)
+    ids = [f"r{i}" for i in range(40)]
+    scores = [(made.choice(ids), f"p{made.randrange(6)}", made.choice([0.1, 0.5, 0.7, 0.8, 0.85, 0.95, 0.99])) for _ in range(300)]
+    truth = [(r, ",".join(f"p{k}" for k in range(6) if made.random() < 0.3) or None, k) for k, r in enumerate(ids[:30] + ids[5:9])]
+    scores = spark.createDataFrame(scores, "source1_entity_id string, candidate_entity_id string, match_probability double")
+    truth = spark.createDataFrame(truth, "source1_entity_id string, matched_entity_ids string, line int")
+    levels = [0.05 * i for i in range(20)]
+    records = truth.select(F.col("source1_entity_id").alias("entity_id")).distinct()
+    want = evaluate.macro(evaluate.per_entity(truth, evaluate.sweep(scores, records, levels), levels), ["threshold"])
+    out = evaluate.f05_by_threshold(scores, truth, levels)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rounded = lambda df: {(round(r.threshold, 9), round(r.macro_f05, 9), r.entities) for r in df.collect()}
+    assert rounded(out) == rounded(want) and out.count() == 20
+    assert plan.count("Exchange hashpartitioning(source1_entity_id") == 1 and plan.count("Exchange hashpartitioning") == 2  # the other has a row per threshold
+
+
+@pytest.mark.parametrize(("n", "most"), [(0, 10), (1, 10), (2, 10), (1001, 10), (5000, 50), (5000, 1_000_000)])
+def test_medians(spark, n, most):
+    """The middle of each group's values, with ties, nulls and a null group, also where brackets are sketched again."""
+    import random
+    import statistics
+
+    made = random.Random(n)
+    rows = [(made.choice(["a", "b", None]), made.choice([made.random(), 0.5, float(made.randrange(3)), -made.random() * 1e9, None])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in profile.medians(df, ["g"], most=most, steps=50).collect()}
+    groups = {g: [v for k, v in rows if k == g and v is not None] for g in {k for k, _ in rows}}
+    assert got == pytest.approx({g: statistics.median(v) for g, v in groups.items() if v})
+
+
 def test_splits_and_samples_of_repeated_ids(spark):
     rows = spark.createDataFrame([(f"i{n % 50}", "US", n) for n in range(200)], "entity_id string, country string, n int")
     parts = {k: {r.entity_id for r in v.collect()} for k, v in sample.three_way(rows, "entity_id").items()}
@@ -196,6 +242,74 @@ def test_tsv_round_trip(spark, tmp_path):
     assert report.read_text().startswith("## Rows") and report.read_text().endswith("end\n")
 
 
+def test_last_line_wins(spark, tmp_path):
+    """Truth and result files with repeated records, in files that are split and in several files."""
+    from weftlink.plans import linkage
+
+    lines = [f"r{i % 50}\t{'S2-' + str(i)}" for i in range(4000)]
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = io.read_tsv(spark, str(tmp_path / "truth.tsv"), io.TRUTH, line=True)
+        assert rows.rdd.getNumPartitions() > 3
+        assert {tuple(r) for r in evaluate.last_rows(rows, ["source1_entity_id"]).collect()} == {(f"r{i % 50}", f"S2-{i}") for i in range(3950, 4000)}
+        for k in (1, 2, 3):
+            (tmp_path / f"source{k}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n")
+        (tmp_path / "ground_truth.tsv").write_text((tmp_path / "truth.tsv").read_text())
+        assert linkage.Dataset.read_tsv(spark, str(tmp_path)).truth.count() == 50
+        (tmp_path / "found.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "\n".join([*lines[-50:-25], "r25\tS2-0", "r0\tS2-3950,S2-9"]) + "\n")
+        row = linkage.evaluate_files(spark, str(tmp_path / "truth.tsv"), str(tmp_path / "found.tsv")).first()
+        assert row.entities == 50 and row.macro_f05 == pytest.approx((24 + 0.625 / 1.125) / 50)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_versions(spark, small, tmp_path):
+    """Of two writers that start from one version one wins; readers find the newest and any other; without a base both get in."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    s1, pool = small
+    home = str(tmp_path / "v")
+    assert io.versions(spark, home) == [] and io.commit_version(s1, home, after=0) == 1
+    with pytest.raises(io.VersionConflict):
+        io.commit_version(pool, home, after=0)
+
+    def write(df):
+        try:
+            return io.commit_version(df, home, after=1)
+        except io.VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as threads:
+        results = list(threads.map(write, [pool, pool.limit(1), pool.limit(2), pool.limit(3)]))
+    assert sorted(r is None for r in results) == [False, True, True, True] and io.versions(spark, home) == [1, 2]
+    won = [5, 1, 2, 3][results.index(2)]
+    assert io.read_version(spark, home).count() == won and io.read_version(spark, home, 1).count() == 4
+    with ThreadPoolExecutor(3) as threads:
+        assert sorted(threads.map(lambda df: io.commit_version(df, home), [s1, pool, s1])) == [3, 4, 5]
+    for bad in (lambda: io.read_version(spark, home, 9), lambda: io.commit_version(s1, home, after=9), lambda: io.read_version(spark, str(tmp_path / "none"))):
+        with pytest.raises(ValueError, match="no version"):
+            bad()
+
+
+def test_bucketed_lookups_need_no_shuffle_of_records(spark, small, tmp_path):
+    s1, pool = small
+    tables = [io.write_bucketed(x, f"bucketed_{k}_{tmp_path.name.replace('-', '_')}", "entity_id", str(tmp_path / k), 4) for k, x in (("s1", s1), ("pool", pool))]
+    pairs = block.exact_name(s1, pool)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out, plain = features.attributes(pairs, *tables), features.attributes(pairs, s1, pool)
+        shuffles = [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (out, plain)]
+        assert shuffles[0] == shuffles[1] - 2  # one for each side's records
+        assert {tuple(r) for r in out.collect()} == {tuple(r) for r in plain.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_stream(spark, small, tmp_path):
     from weftlink.streaming.incremental import match_stream
 

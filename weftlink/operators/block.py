@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,41 @@ def exact_name(s1: DataFrame, pool: DataFrame, match_empty_names: bool = False)
     return left.join(right, ["country", "business_name"]).select("s1_id", "pool_id")
 
 
+@dataclass(frozen=True)
+class NameBlocks:
+    """Exact-name candidates: pairs (s1_id, pool_id), and for names that too many records share only their members.
+
+    members: (country, business_name, side, id), side 1 for s1 and 2 for the pool; each side of a name pairs with all of
+    the other.
+    """
+
+    pairs: DataFrame
+    members: DataFrame
+
+    def expanded(self, parts: int = 64) -> DataFrame:
+        """All pairs, for steps that need each. The s1 side of a large block is dealt into ``parts``, each joined with the block's pool side."""
+        name = ["country", "business_name"]
+        left = self.members.where("side = 1").select(*name, F.col("id").alias("s1_id"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+        right = self.members.where("side = 2").select(*name, F.col("id").alias("pool_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        return self.pairs.unionByName(left.join(right, [*name, "part"]).select("s1_id", "pool_id"))
+
+
+def exact_name_blocks(s1: DataFrame, pool: DataFrame, most: int = 1_000_000) -> NameBlocks:
+    """As ``exact_name``, but a name that would give more than ``most`` pairs in a country stays a block of members.
+
+    Both sides are counted by name first, so the size of what is kept grows with the records and not with the square of
+    a name's. Ids that repeat within a name count each.
+    """
+    name = ["country", "business_name"]
+    sides = [x.where(text.known_country("country") & (F.col("business_name") != "")).select(F.col("entity_id").alias("id"), *name).withColumn("side", F.lit(k)) for k, x in ((1, s1), (2, pool))]
+    both = sides[0].unionByName(sides[1])
+    n = lambda k: F.count_if(F.col("side") == k).cast("double")
+    hot = io.written(both.groupBy(*name).agg((n(1) * n(2)).alias("pairs")).where(F.col("pairs") > most).select(*name), "hot-names")
+    left, right = (x.join(hot, name, "left_anti") for x in sides)
+    pairs = left.select(F.col("id").alias("s1_id"), *name).join(right.select(F.col("id").alias("pool_id"), *name), name).select("s1_id", "pool_id")
+    return NameBlocks(pairs, both.join(hot, name, "left_semi").select(*name, "side", "id"))
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(country, entity_id, key, gram, tf) of padded 3-grams of names in known countries; every row is a document, key a hash of its country and name."""
     bags = rows.where(text.known_country("country")).select("country", "entity_id", F.xxhash64("country", "business_name").alias("key"), text.padded_grams("business_name").alias("grams"))
@@ -53,24 +90,29 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(country, entity_id, key, grams): each record's grams as (df, gram, w) from rare to frequent, w of unit length. Rows that repeat a record give one."""
+    """(country, entity_id, key, grams): each record's grams as (df, gram, w) from rare to frequent, w of unit length.
+
+    Rows that repeat a record give one; further columns of counts, as a side, tell records apart and stay.
+    """
+    record = [c for c in counts.columns if c not in ("gram", "tf")]
     raw = counts.join(vocab.select("country", "gram", "df", "idf"), ["country", "gram"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    sets = raw.groupBy("country", "entity_id", "key").agg(F.sort_array(F.collect_set(F.struct("df", "gram", F.col("raw").alias("w")))).alias("grams"), F.sum(F.col("raw") * F.col("raw")).alias("squares"), F.count(F.lit(1)).alias("n"))
+    sets = raw.groupBy(*record).agg(F.sort_array(F.collect_set(F.struct("df", "gram", F.col("raw").alias("w")))).alias("grams"), F.sum(F.col("raw") * F.col("raw")).alias("squares"), F.count(F.lit(1)).alias("n"))
     norm = F.sqrt(F.col("squares") * F.size("grams") / F.col("n"))
-    return sets.select("country", "entity_id", "key", F.zip_with("grams", F.array_repeat(norm, F.size("grams")), lambda g, x: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["w"] / x).alias("w"))).alias("grams"))
+    return sets.select(*record, F.zip_with("grams", F.array_repeat(norm, F.size("grams")), lambda g, x: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["w"] / x).alias("w"))).alias("grams"))
 
 
-def bounded(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
-    """The vectors of ``own`` with ``kept``, how many of their rarest grams must be posted, and ``rest``, a bound on what the others add.
+def bounded(records: DataFrame, threshold: float) -> DataFrame:
+    """The vectors with ``kept``, their rarest grams that must be posted, and ``rest``, a bound on what the others add; side is 1 or 2.
 
-    What the grams from one on can add to a cosine with any of ``other`` is at most the length of that part, and at most
-    the sum of its weights times each gram's greatest weight in ``other``. Grams are kept while the lesser bound is above
-    the threshold: two records whose cosine is above it share a gram that both keep, as one's last kept gram comes first
-    in the order and all that the two share up to there is kept by both.
+    What the grams from one on can add to a cosine with the other side is at most the length of that part, and at most
+    the sum of its weights times each gram's greatest weight on the other side. Grams are kept while the lesser bound is
+    above the threshold: two records whose cosine is above it share a gram that both keep, as one's last kept gram comes
+    first in the order and all that the two share up to there is kept by both.
     """
-    most = other.select("country", F.explode("grams").alias("g")).groupBy("country", F.col("g.gram").alias("gram")).agg(F.max("g.w").alias("most"))
-    rows = own.select("country", "entity_id", "key", F.explode("grams").alias("g")).select("country", "entity_id", "key", "g.*").join(most, ["country", "gram"], "left")
-    sets = rows.groupBy("country", "entity_id", "key").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", F.coalesce("most", F.lit(0.0)).alias("most")))).alias("grams"))
+    grams = records.select("side", "country", "entity_id", "key", F.explode("grams").alias("g")).select("side", "country", "entity_id", "key", "g.*")
+    most = grams.groupBy("country", "gram").agg(*(F.max(F.when(F.col("side") == k, F.col("w"))).alias(f"most{k}") for k in (1, 2)))
+    rows = grams.join(most, ["country", "gram"]).withColumn("most", F.coalesce(F.when(F.col("side") == 1, F.col("most2")).otherwise(F.col("most1")), F.lit(0.0)))
+    sets = rows.groupBy("side", "country", "entity_id", "key").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "w", "most"))).alias("grams"))
 
     def step(acc: Column, g: Column) -> Column:
         squares, product = acc["squares"] + g["w"] * g["w"], acc["product"] + g["w"] * g["most"]
@@ -80,7 +122,7 @@ def bounded(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
 
     first = F.struct(F.lit(0.0).alias("squares"), F.lit(0.0).alias("product"), F.lit(0).alias("kept"), F.lit(0.0).alias("rest"))
     sets = sets.select("*", F.aggregate(F.reverse("grams"), first, step).alias("x"))
-    return sets.where("x.kept > 0").select("country", "entity_id", "key", F.map_from_arrays(F.col("grams.gram"), F.col("grams.w")).alias("weights"), F.slice(F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), g["w"].alias("w"))), F.lit(1), F.col("x.kept")).alias("kept"), F.col("x.rest").alias("rest"))
+    return sets.where("x.kept > 0").select("side", "country", "entity_id", "key", F.map_from_arrays(F.col("grams.gram"), F.col("grams.w")).alias("weights"), F.slice(F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), g["w"].alias("w"))), F.lit(1), F.col("x.kept")).alias("kept"), F.col("x.rest").alias("rest"))
 
 
 def postings(rows: DataFrame, side: int) -> DataFrame:
@@ -91,11 +133,11 @@ def postings(rows: DataFrame, side: int) -> DataFrame:
 
 
 def bounded_sides(s1: DataFrame, pool: DataFrame, threshold: float, **fit: float) -> tuple[DataFrame, DataFrame]:
-    """``bounded`` of both sides, each written once; the vocabulary is the pool's."""
-    counts = io.written(gram_counts(pool), "gram-counts")
-    vocab = vocabulary(pool, counts, **fit)
-    left, right = io.written(vectors(gram_counts(s1), vocab), "vectors"), io.written(vectors(counts, vocab), "vectors")
-    return io.written(bounded(left, right, threshold), "bounded"), io.written(bounded(right, left, threshold), "bounded")
+    """``bounded`` of s1 and of the pool, computed together and written once; the vocabulary is the pool's."""
+    vocab = vocabulary(pool, **fit)
+    counts = gram_counts(s1).withColumn("side", F.lit(1)).unionByName(gram_counts(pool).withColumn("side", F.lit(2)))
+    both = io.written(bounded(vectors(counts, vocab), threshold), "bounded-vectors")
+    return both.where("side = 1"), both.where("side = 2")
 
 
 def tfidf_cosine(s1: DataFrame, pool: DataFrame, threshold: float = 0.65, **fit: float) -> DataFrame:

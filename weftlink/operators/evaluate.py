@@ -37,8 +37,34 @@ def f05(truth: Column, predicted: Column) -> Column:
 
 
 def last_rows(lists: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
-    """One row per record: of rows that repeat one, the last by ``order``; a table has no order of its own, so without one the greatest list."""
-    return lists.groupBy(*by).agg(F.max_by("matched_entity_ids", order or "matched_entity_ids").alias("matched_entity_ids"))
+    """One row per record: of rows that repeat one, the last by ``order``.
+
+    Tables read from files may have a column ``line``, their order there, which is used if no other is named; without
+    either, as a table has no order of its own, the greatest list counts.
+    """
+    order = order or ("line" if "line" in lists.columns else "matched_entity_ids")
+    return lists.groupBy(*by).agg(F.max_by("matched_entity_ids", order).alias("matched_entity_ids"))
+
+
+def f05_by_threshold(scores: DataFrame, truth: DataFrame, thresholds: list[float] | None = None, order: str | None = None) -> DataFrame:
+    """(threshold, macro_f05, entities): macro F0.5 of the pairs above each threshold, straight from their scores.
+
+    The same as ``macro`` of ``per_entity`` of ``sweep``, with one shuffle of the scores for any number of thresholds:
+    scores and truth lists meet by record, and each record is judged at all thresholds where it lies. Records of the truth
+    without a score count as predicted empty, others don't count. Of rows that repeat a pair the highest score decides.
+    """
+    levels = F.array(*map(F.lit, THRESHOLDS if thresholds is None else thresholds))
+    order = order or ("line" if "line" in truth.columns else "matched_entity_ids")
+    lists = truth.select("source1_entity_id", F.struct(F.coalesce("matched_entity_ids", F.lit("")).alias("ids"), F.col(order).alias("at")).alias("own"), F.lit(None).cast("struct<p:double,id:string>").alias("hit"))
+    hits = scores.select("source1_entity_id", F.lit(None).cast(lists.schema["own"].dataType).alias("own"), F.struct(F.col("match_probability").cast("double").alias("p"), F.col("candidate_entity_id").alias("id")).alias("hit"))
+    each = lists.unionByName(hits).groupBy("source1_entity_id").agg(F.max_by("own.ids", "own.at").alias("ids"), F.count("own").alias("rows"), F.max("own.ids").alias("greatest"), F.collect_set("hit").alias("hits")).where("rows > 0")
+    each = each.select(F.array_distinct(text.id_list(F.coalesce("ids", "greatest"))).alias("own"), "hits")
+
+    def judged(t: Column) -> Column:
+        found = F.array_distinct(F.transform(F.filter("hits", lambda h: h["p"] > t), lambda h: h["id"]))
+        return F.struct(t.alias("threshold"), F.transform(F.array(found), lambda x: f05(F.col("own"), x))[0].alias("f05"))
+
+    return macro(each.select(F.explode(F.transform(levels, judged)).alias("x")).select("x.threshold", "x.f05"), ["threshold"])
 
 
 def per_entity(truth: DataFrame, results: DataFrame, thresholds: list[float] | None = None, order: str | None = None) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count, islice
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.similarity import jaro_winkler
+from ..sources import io
+from . import sample
 
 ATTRIBUTES = ["business_name", "business_address", "country"]
+STEPS = 1024  # that negative draws choose from
 
 
 def exploded(lists: DataFrame, name: str = "candidate_entity_ids") -> DataFrame:
@@ -50,20 +57,21 @@ def positives(truth: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def negatives(s1: DataFrame, pool: DataFrame, truth: DataFrame, each: int = 2, seed: int = 42) -> DataFrame:
-    """``each`` pool records per s1 record by hash, truth pairs taken out.
+    """(s1_id, pool_id): exactly ``each`` pool records per s1 record that aren't in its truth; fewer only if the pool has no more.
 
-    Pool records are numbered within hash buckets: a pair's hash picks a bucket, then a place in it, so neither side is
-    ordered as a whole. The bucket table has one row per 256 records or so.
+    Pool records are numbered in the order of a hash. An s1 record's own hash gives a first number and a step that has no
+    factor in common with their count n, so first + j * step mod n goes through all numbers without a repeat. As many
+    draws are made as are wanted and the truth can spoil; the first that are left stay. Ids that repeat count once.
     """
-    n_buckets = max(1, pool.count() // 256)
-    bucket = lambda c: F.pmod(F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n_buckets))
-    from pyspark.sql.window import Window
-
-    slots = pool.select(F.col("entity_id").alias("pool_id"), bucket(F.concat("entity_id", F.lit(str(seed)))).alias("bucket"))
-    slots = slots.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("pool_id")) - 1)
-    sizes = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    draws = s1.select(F.col("entity_id").alias("s1_id"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("draw"))
-    key = F.concat("s1_id", F.lit("/"), F.col("draw").cast("string"))
-    draws = draws.withColumn("bucket", bucket(key)).withColumn("pick", F.conv(F.substring(F.md5(key.cast("binary")), 9, 8), 16, 10).cast("long"))
-    picked = draws.join(sizes, "bucket").withColumn("place", F.pmod("pick", "size")).join(slots, ["bucket", "place"]).select("s1_id", "pool_id")
-    return picked.distinct().join(exploded(truth, "matched_entity_ids"), ["s1_id", "pool_id"], "left_anti")
+    ranked = io.written(sample.shuffled(pool.select("entity_id").distinct(), "entity_id", seed), "pool-places").withColumnRenamed("entity_id", "pool_id")
+    n = max(1, ranked.count())  # an empty pool has no place to meet
+    steps = list(islice((k for k in count(1) if gcd(k, n) == 1), STEPS))
+    digits = lambda a, size: F.conv(F.substring(sample.order_key(F.col("s1_id"), seed), a, size), 16, 10).cast("long")
+    links = exploded(truth, "matched_entity_ids").distinct()
+    spoiled = links.groupBy("s1_id").agg(F.count(F.lit(1)).alias("links"))
+    ids = s1.select(F.col("entity_id").alias("s1_id")).distinct().join(spoiled, "s1_id", "left")
+    draws = F.least(F.lit(n).cast("long"), each + F.coalesce("links", F.lit(0)))
+    drawn = ids.select("s1_id", digits(1, 15).alias("first"), F.get(F.array(*map(F.lit, steps)), (digits(16, 8) % len(steps)).cast("int")).alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)).alias("draw"))
+    picked = drawn.withColumn("place", F.pmod(F.col("first") + F.col("draw") * F.col("step"), F.lit(n))).join(ranked, "place")
+    left = picked.join(links, ["s1_id", "pool_id"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("s1_id").orderBy("draw")))
+    return left.where(F.col("rank") <= each).select("s1_id", "pool_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import block, evaluate, features, model, sample
+from ..operators import block, boost, evaluate, features, model, sample
 from ..sources import io
 
 
@@ -27,9 +27,9 @@ class Dataset:
 
     @classmethod
     def read_tsv(cls, spark: SparkSession, home: str, truth: bool = True) -> Dataset:
-        """source1.tsv, source2.tsv, source3.tsv and ground_truth.tsv below ``home``."""
+        """source1.tsv, source2.tsv, source3.tsv and ground_truth.tsv below ``home``; of truth lines that repeat a record the last counts."""
         s1, s2, s3 = (io.read_tsv(spark, f"{home}/source{k}.tsv", io.ENTITY) for k in (1, 2, 3))
-        return cls(s1, s2, s3, io.read_tsv(spark, f"{home}/ground_truth.tsv", io.TRUTH) if truth else None)
+        return cls(s1, s2, s3, evaluate.last_rows(io.read_tsv(spark, f"{home}/ground_truth.tsv", io.TRUTH, line=True), ["source1_entity_id"]) if truth else None)
 
     @classmethod
     def read(cls, spark: SparkSession, home: str, truth: bool = True) -> Dataset:
@@ -92,15 +92,26 @@ def run_features(data: Dataset, candidates: DataFrame, out: str) -> None:
     rows.write.parquet(out)
 
 
-def train_and_predict(train: DataFrame, test: DataFrame, s1: DataFrame, model_path: str, out: str, mode: str = "train", thresholds: list[float] | None = None, val: DataFrame | None = None, logs: str | None = None, **settings: float) -> None:
-    """Result lists for every threshold, one directory each, in one job; with ``val`` and ``logs``, the log loss of every iteration as CSV."""
-    fitted = model.fit_or_load(train, model_path, mode, **settings)
+def train_and_predict(train: DataFrame, test: DataFrame, s1: DataFrame, model_path: str, out: str, mode: str = "train", thresholds: list[float] | None = None, val: DataFrame | None = None, logs: str | None = None, by_leaf: bool = False, **settings: float) -> None:
+    """Result lists for every threshold, one directory each, in one job; with ``val`` and ``logs``, the log loss of every iteration as CSV.
+
+    Trees grow level by level (Spark's), or leaf by leaf with ``by_leaf``.
+    """
+    trees = boost if by_leaf else model
+    fitted = trees.fit_or_load(train, model_path, mode, **settings)
     if val is not None and logs is not None:
-        model.logs(train.sparkSession, fitted, train, val).coalesce(1).write.csv(logs, header=True)
-    evaluate.sweep(model.score(fitted, test), s1, thresholds).write.partitionBy("threshold").parquet(out)
+        losses = boost.logs(fitted, train, val) if by_leaf else model.logs(train.sparkSession, fitted, train, val)
+        losses.coalesce(1).write.csv(logs, header=True)
+    evaluate.sweep(trees.score(fitted, test), s1, thresholds).write.partitionBy("threshold").parquet(out)
 
 
 def evaluate_predictions(truth: DataFrame, results: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
     """macro F0.5 of each threshold, by default of those that have results (a directory each)."""
     levels = thresholds if thresholds is not None else sorted(r.threshold for r in results.select("threshold").distinct().collect())
     return evaluate.macro(evaluate.per_entity(truth, results, levels), ["threshold"]).orderBy("threshold")
+
+
+def evaluate_files(spark: SparkSession, truth: str, results: str) -> DataFrame:
+    """macro F0.5 of a result TSV against a truth TSV; of lines that repeat a record the last counts in either."""
+    a, b = (io.read_tsv(spark, x, io.TRUTH, line=True) for x in (truth, results))
+    return evaluate.macro(evaluate.per_entity(a, b))

@@ -57,6 +57,8 @@ s1 as (select * from er where entity_id like 'S1-%'), pool as (select * from er
 links as (select distinct s1.entity_id as s1_id, pool.entity_id as pool_id from s1 join pool using (link) where link <> ''),
 truth as (select entity_id as source1_entity_id, coalesce(ids, '') as matched_entity_ids from s1 left join (select s1_id, string_agg(pool_id, ',' order by pool_id) as ids from links group by s1_id) on s1_id = entity_id)"""
 EXACT = "exact as (select s1.entity_id as s1_id, pool.entity_id as pool_id from s1 join pool using (country, business_name) where business_name <> '' and country not in ('', 'UNKNOWN'))"
+HOT = """hot as (select country, business_name from (select country, business_name, count(*) as n from s1 group by all) join (select country, business_name, count(*) as m from pool group by all) using (country, business_name)
+  where n * m > 50 and business_name <> '' and country not in ('', 'UNKNOWN'))"""
 PAIRS = f"""{EXACT}, ids as (select * from exact union select * from links),
 pairs as (select s1_id, pool_id, a.business_name as business_name_1, a.business_address as business_address_1, a.country as country_1, b.business_name as business_name_2, b.business_address as business_address_2, b.country as country_2
   from ids join s1 a on a.entity_id = s1_id join pool b on b.entity_id = pool_id)"""
@@ -78,13 +80,13 @@ w2 as ({weighted("c2")}), w1 as ({weighted("c1")}),
 cosines as (select w1.entity_id as s1_id, w2.entity_id as pool_id, sum(w1.w * w2.w) as cosine from w1 join w2 using (country, gram) group by all having sum(w1.w * w2.w) > 0.65)"""
 
 
-HEX = "cast('0x' || substr(md5({0}), {1}, 8) as bigint)"
-NEGATIVES = f"""nb as (select greatest(1, count(*) // 256) as n from pool),
-slots as (select entity_id as pool_id, {HEX.format("entity_id || '42'", 1)} % n as bucket from pool, nb),
-placed as (select *, row_number() over (partition by bucket order by pool_id) - 1 as place, count(*) over (partition by bucket) as size from slots),
-draws as (select entity_id as s1_id, entity_id || '/' || unnest([1, 2]) as k from s1),
-negatives as (select distinct s1_id, pool_id from (select s1_id, {HEX.format("k", 1)} % n as bucket, {HEX.format("k", 9)} as pick from draws, nb) join placed using (bucket) where place = pick % size
-  except select s1_id, pool_id from links)"""
+HEX = "cast('0x' || substr(md5({0}), {1}, {2}) as bigint)"
+NEGATIVES = f"""np as (select count(*) as n from pool), ranked as (select entity_id as pool_id, row_number() over (order by md5(entity_id || '42'), entity_id) - 1 as place from pool),
+steps as (select list(k order by k) as ks from (select k from range(1, 100000) t(k), np where gcd(k, n) = 1 order by k limit 1024)),
+spoiled as (select s1_id as entity_id, count(*) as m from links group by s1_id),
+draws as (select entity_id as s1_id, {HEX.format("entity_id || '42'", 1, 15)} as first, ks[{HEX.format("entity_id || '42'", 16, 8)} % len(ks) + 1] as step, unnest(range(0, least(2 + coalesce(m, 0), n))) as draw, n from s1 left join spoiled using (entity_id), steps, np),
+picked as (select s1_id, pool_id, draw from draws join ranked on place = (first + draw * step) % n),
+negatives as (select s1_id, pool_id from (select *, row_number() over (partition by s1_id order by draw) as r from picked anti join links using (s1_id, pool_id)) where r <= 2)"""
 JUDGED = f"""{NEGATIVES}, both_ids as (select s1_id, pool_id, 1 as is_match from links union all select s1_id, pool_id, 0 from negatives),
 named as (select s1_id, pool_id, is_match, a.business_name as n1, b.business_name as n2, a.business_address as a1, b.business_address as a2, a.country as c1, b.country as c2 from both_ids join s1 a on a.entity_id = s1_id join pool b on b.entity_id = pool_id),
 judged as (select s1_id, pool_id, is_match, n1, n2, (n1 = n2)::int as exact_name, (a1 = a2)::int as exact_addr, (c1 = c2 and c1 <> '')::int as country_match, {jaccard(tokens("n1"), tokens("n2"))} as name_token_jaccard, {jaccard(tokens("a1"), tokens("a2"))} as address_token_jaccard,
@@ -127,11 +129,13 @@ SQL: dict[str, str] = {
     "equality_flags": er("select s1_id, pool_id, (business_name_1 = business_name_2)::int as same_name, (business_address_1 = business_address_2)::int as same_address, (country_1 = country_2)::int as same_country from pairs join links using (s1_id, pool_id)", PAIRS),
     "block_exact_name": er("select * from exact", EXACT),
     "block_tfidf_cosine": er("select s1_id, pool_id, round(cosine, 6) as cosine from cosines", tfidf()),
+    "block_name_members": er("select country, business_name, side, id from hot join (select country, business_name, 1 as side, entity_id as id from s1 union all select country, business_name, 2, entity_id from pool) using (country, business_name)", HOT),
+    "block_names_expanded": er("select * from exact", EXACT),
     "block_ngram_jaccard": er(f"select s1_id, pool_id, round(j, 9) as jaccard from (select a.entity_id as s1_id, b.entity_id as pool_id, {jaccard('a.g', 'b.g')} as j from (select *, {grams('business_name')} as g from s1) a join (select *, {grams('business_name')} as g from pool) b using (country)) where j > 0.4::double"),
     "candidate_pairs_distinct": er("select * from exact union select s1_id, pool_id from cosines", EXACT, tfidf()),
     "candidate_lists": er("select entity_id as source1_entity_id, coalesce(string_agg(distinct pool_id, ',' order by pool_id), '') as candidate_entity_ids from s1 left join exact on s1_id = entity_id group by entity_id", EXACT),
     "tfidf_vocab_df": er("select country, gram, df from vocab", tfidf()),
-    "tfidf_idf": er("select country, gram, round(idf, 9) as idf from vocab", tfidf(0.3, 500)),
+    "tfidf_idf": er("select country, gram, round(idf, 9) as idf from vocab", tfidf()),
     "tfidf_weights": er("select country, entity_id, gram, round(w, 9) as w from w2", tfidf()),
     "pair_attributes": er("select * from pairs", PAIRS),
     "feat_country": er("select s1_id, pool_id, (country_1 = country_2 and country_1 <> '')::bigint as exact_country_match from pairs", PAIRS),
@@ -195,6 +199,9 @@ SQL: dict[str, str] = {
     "tsv_inventory": er("select 'train' as split, file, count(*) as records, true as has_bytes from (select 'source' || substr(entity_id, 2, 1) || '.tsv' as file from er union all select 'ground_truth.tsv' from truth) group by file"),
     "records_by_name": er("select 'source1.tsv' as file, (select count(*) from s1) as records union all select 'ground_truth.tsv', (select count(*) from truth) union all select 'nowhere.tsv', 0"),
     "versioned_overwrite": er(f"select entity_id, {canonical('business_name')} as business_name from pool"),
+    "version_log": er("select 'first' as version, count(*) as n from pool union all select v, count(*) from pool, (select unnest(['second', 'newest']) as v) where country = 'EN' group by v"),
+    "last_lines": er("select * from truth"),
+    "bucketed_attributes": er("select pairs.* from pairs join exact using (s1_id, pool_id)", PAIRS),
     "feature_sink": er(
         f"select s1_id as source1_entity_id, pool_id as candidate_entity_id, (country_1 = country_2 and country_1 <> '')::bigint as exact_country_match, round(jaro_winkler_similarity({coded('business_name_1')}, {coded('business_name_2')}), 9) as name_jaro_winkler_score, round({jaccard(grams('business_name_1'), grams('business_name_2'))}, 9) as name_3gram_jaccard, round({jaccard(tokens('business_address_1'), tokens('business_address_2'))}, 9) as address_token_jaccard, (links.s1_id is not null)::bigint as is_match from exact join pairs using (s1_id, pool_id) left join links using (s1_id, pool_id)",
         CHARS, PAIRS,

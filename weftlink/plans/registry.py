@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.similarity import jaro_winkler
-from ..operators import block, evaluate, features, model, profile, sample
+from ..operators import block, boost, evaluate, features, model, profile, sample
 from ..sources import io
 from . import linkage, oracle
 from .fixtures import er_view
@@ -95,6 +95,19 @@ def block_tfidf_cosine(spark, sf_dir):
     return block.tfidf_cosine(view.s1, view.pool).select("s1_id", "pool_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query
+def block_name_members(spark, sf_dir):
+    """Names of more than 50 pairs as blocks of members."""
+    view = er_view(spark, sf_dir)
+    return block.exact_name_blocks(view.s1, view.pool, 50).members
+
+
+@query
+def block_names_expanded(spark, sf_dir):
+    view = er_view(spark, sf_dir)
+    return block.exact_name_blocks(view.s1, view.pool, 50).expanded()
+
+
 @query
 def block_ngram_jaccard(spark, sf_dir):
     view = er_view(spark, sf_dir)
@@ -120,7 +133,7 @@ def tfidf_vocab_df(spark, sf_dir):
 
 @query
 def tfidf_idf(spark, sf_dir):
-    return block.vocabulary(er_view(spark, sf_dir).pool, max_df=0.3, max_features=500).select("country", "gram", F.round("idf", 9).alias("idf"))
+    return block.vocabulary(er_view(spark, sf_dir).pool).select("country", "gram", F.round("idf", 9).alias("idf"))
 
 
 @query
@@ -419,8 +432,7 @@ def f05_macro(spark, sf_dir):
 
 @query
 def f05_macro_by_threshold(spark, sf_dir):
-    lists = evaluate.sweep(_scores(spark, sf_dir), er_view(spark, sf_dir).s1)
-    return evaluate.macro(evaluate.per_entity(er_view(spark, sf_dir).truth, lists, evaluate.THRESHOLDS), ["threshold"]).withColumn("macro_f05", F.round("macro_f05", 6))
+    return evaluate.f05_by_threshold(_scores(spark, sf_dir), er_view(spark, sf_dir).truth).withColumn("macro_f05", F.round("macro_f05", 6))
 
 
 # -------------------------------------------------- model, files: rows only
@@ -450,19 +462,32 @@ def gbt_importances(spark, sf_dir):
     return model.importances(spark, model.fit(_training(spark, sf_dir)))
 
 
+@query
+def boosted_scores(spark, sf_dir):
+    """Scores by trees that grow leaf by leaf."""
+    rows = io.written(_training(spark, sf_dir), "training")
+    return evaluate.decide(boost.score(boost.fit(rows), rows), 0.5).select("source1_entity_id", "candidate_entity_id", "is_match", "match_probability", "is_predicted_match")
+
+
+@query
+def boosted_logs(spark, sf_dir):
+    train, val = (io.written(x, "training") for x in sample.split(_training(spark, sf_dir).withColumn("pair", F.concat_ws("/", "source1_entity_id", "candidate_entity_id")), "pair", 0.2))
+    return boost.logs(boost.fit(train), train, val)
+
+
 @query
 def training_log_sink(spark, sf_dir):
-    """The log of a short run as it is read back from its CSV; gbt_logs is that of a whole one."""
-    rows, home = _training(spark, sf_dir), io.scratch(spark, "training")
-    linkage.train_and_predict(rows, rows, er_view(spark, sf_dir).s1, f"{home}/model", f"{home}/results", val=rows, logs=f"{home}/logs", iterations=5, depth=3)
+    """The log of a whole training run as it is read back from its CSV."""
+    rows, home = io.written(_training(spark, sf_dir), "training"), io.scratch(spark, "training")
+    linkage.train_and_predict(rows, rows, er_view(spark, sf_dir).s1, f"{home}/model", f"{home}/results", val=rows, logs=f"{home}/logs")
     return spark.read.schema("iteration int, train_logloss double, val_logloss double").csv(f"{home}/logs", header=True)
 
 
 @query
 def model_round_trip(spark, sf_dir):
-    """Pairs whose score by the saved and reloaded model differs from that by the fitted one; the model is a short one."""
-    rows, path = _training(spark, sf_dir), io.scratch(spark, "model")
-    scores = [model.score(model.fit_or_load(rows, path, mode, iterations=5, depth=3), rows).select("source1_entity_id", "candidate_entity_id", F.col("match_probability").alias(mode)) for mode in ("train", "load")]
+    """Pairs whose score by the saved and reloaded model differs from that by the fitted one."""
+    rows, path = io.written(_training(spark, sf_dir), "training"), io.scratch(spark, "model")
+    scores = [model.score(model.fit_or_load(rows, path, mode), rows).select("source1_entity_id", "candidate_entity_id", F.col("match_probability").alias(mode)) for mode in ("train", "load")]
     both = scores[0].join(scores[1], ["source1_entity_id", "candidate_entity_id"], "full")
     return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~F.col("train").eqNullSafe(F.col("load"))).alias("differing"))
 
@@ -513,6 +538,37 @@ def versioned_overwrite(spark, sf_dir):
     return spark.read.parquet(io.write_version(clean, home))
 
 
+@query
+def version_log(spark, sf_dir):
+    """Rows of each version of a table that was written twice, and of the newest."""
+    home = io.scratch(spark, "versions")
+    view, out = er_view(spark, sf_dir), None
+    first = io.commit_version(view.pool, home)
+    second = io.commit_version(io.read_version(spark, home, first).where("country = 'EN'"), home, after=first)
+    for name, version in (("first", first), ("second", second), ("newest", None)):
+        row = io.read_version(spark, home, version).agg(F.lit(name).alias("version"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def last_lines(spark, sf_dir):
+    """A truth file with two lines for each record, the second as it should be: the last line counts."""
+    home, truth = io.scratch(spark, "lines"), er_view(spark, sf_dir).truth
+    twice = truth.select("source1_entity_id", F.explode(F.array(F.lit("S2-wrong"), F.col("matched_entity_ids"))).alias("matched_entity_ids"))
+    io.write_tsv(twice, f"{home}/truth.tsv")
+    return evaluate.last_rows(io.read_tsv(spark, f"{home}/truth.tsv", io.TRUTH, line=True), ["source1_entity_id"])
+
+
+@query
+def bucketed_attributes(spark, sf_dir):
+    """Pairs with both records' attributes from tables that are bucketed by id."""
+    view, home = er_view(spark, sf_dir), io.scratch(spark, "bucketed")
+    name = f"weftlink_{home.rsplit('-', 1)[1]}"
+    s1, pool = (io.write_bucketed(x, f"{name}_{k}", "entity_id", f"{home}/{k}", 8) for k, x in (("s1", view.s1), ("pool", view.pool)))
+    return features.attributes(block.exact_name(view.s1, view.pool), s1, pool)
+
+
 @query
 def feature_sink(spark, sf_dir):
     """Features of the exact-name block as written by the linkage run."""

@@ -16,11 +16,16 @@ ENTITY = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, fill: bool = True) -> DataFrame:
-    """All columns as strings; missing spellings become null, and empty if ``fill``. The first column, an id, is left alone."""
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, fill: bool = True, line: bool = False) -> DataFrame:
+    """All columns as strings; missing spellings become null, and empty if ``fill``. The first column, an id, is left alone.
+
+    With ``line``, a last column orders rows as the files do: by the file's name, the offset of the split that a task
+    reads, and the row's place in it. Whether a file is split or not, a later line has a greater value.
+    """
     raw = spark.read.schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"')
     first, *rest = raw.columns
-    out = raw.select(F.coalesce(first, F.lit("")).alias(first), *(F.when(~F.col(c).isin(NA_SPELLINGS), F.col(c)).alias(c) for c in rest))
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("row")).alias("line")] if line else []
+    out = raw.select(F.coalesce(first, F.lit("")).alias(first), *(F.when(~F.col(c).isin(NA_SPELLINGS), F.col(c)).alias(c) for c in rest), *place)
     return out.na.fill("") if fill else out
 
 
@@ -48,10 +53,80 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_version(df: DataFrame, home: str) -> str:
-    """A new version directory; a path that is being read is never overwritten."""
-    path = f"{home.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    """The path of a new version's data, committed to the log of ``home``; a path that is being read is never overwritten."""
+    return version_path(df.sparkSession, home, commit_version(df, home))
+
+
+def _log(spark: SparkSession, home: str):
+    """(file system, log folder) of a versioned table, by Spark's own file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home.rstrip('/')}/_versions")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, home: str) -> list[int]:
+    """Committed versions in order; none for a new place."""
+    fs, log = _log(spark, home)
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(log) if x.getPath().getName().isdigit()) if fs.exists(log) else []
+
+
+def version_path(spark: SparkSession, home: str, version: int | None = None) -> str:
+    """The data of a version, by default of the newest."""
+    known = versions(spark, home)
+    if not known or version is not None and version not in known:
+        raise ValueError(f"no version {'' if version is None else version} in {home}")
+    return f"{home.rstrip('/')}/{spark.read.text(f'{home.rstrip('/')}/_versions/{known[-1] if version is None else version:020d}/entry').first().value}"
+
+
+def read_version(spark: SparkSession, home: str, version: int | None = None) -> DataFrame:
+    return spark.read.parquet(version_path(spark, home, version))
+
+
+class VersionConflict(Exception):
+    """Another writer has committed since the version that a write was based on."""
+
+
+def commit_version(df: DataFrame, home: str, after: int | None = None) -> int:
+    """Write df to a folder of its own, then make it the version that follows ``after`` (0: the first), by default the newest.
+
+    The log has an entry for each version, which names its folder. An entry is a folder of one file that is made aside
+    and put in place by a rename that fails where the number is taken; so of writers with the same number one wins. With
+    ``after`` given, the others get VersionConflict and nothing changes; without, they take the next number.
+    """
+    spark, home = df.sparkSession, home.rstrip("/")
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{home}/{name}")
+    while True:
+        known = versions(spark, home)
+        last = (known or [0])[-1] if after is None else after
+        if last and last not in known:
+            raise ValueError(f"no version {last} in {home}")
+        if _claimed(spark, home, name, last + 1):
+            return last + 1
+        if after is not None:
+            raise VersionConflict(f"version {last + 1} of {home} is taken")
+
+
+def _claimed(spark: SparkSession, home: str, name: str, version: int) -> bool:
+    """Whether the entry of a version, which names a folder, could be put in place."""
+    fs, log = _log(spark, home)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    aside, target = path(f"{home}/_entries/{name}"), path(log, f"{version:020d}")
+    if fs.exists(target):
+        return False
+    out = fs.create(path(aside, "entry"), True)
+    out.write(bytearray(f"{name}\n".encode()))
+    out.close()
+    fs.mkdirs(log)
+    try:
+        moved = fs.rename(aside, target)
+    except Exception:  # some file systems raise where others return false
+        moved = False
+    inside = path(target, name)  # where a rename puts the entry if the target was made in the meantime
+    late = bool(moved) and fs.exists(inside)
+    for left in (inside, aside):
+        if fs.exists(left):
+            fs.delete(left, True)
+    return bool(moved) and not late
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*", exclude: str | None = None) -> DataFrame:
@@ -88,6 +163,12 @@ def records_by_name(counts: DataFrame, names: list[str]) -> DataFrame:
     return asked.join(counts.select("file", "records"), "file", "left").select("file", F.coalesce("records", F.lit(0)).alias("records"))
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, path: str, buckets: int = 64) -> DataFrame:
+    """A table whose files are dealt and sorted by ``key``: joins on it with another of as many buckets need no shuffle, and with others none on this side."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("errorifexists").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def line_counts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, records): lines less the header, at least 0."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
