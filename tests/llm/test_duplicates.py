@@ -82,6 +82,23 @@ def test_prefix_links_are_all_links(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) and 100 * n >= 75 * len(sets[a] | sets[b])}
 
 
+def test_small_sets_lose_no_link(spark):
+    """Pairs of 3 to 22 shingles at the least similarity of 0.75 or more: the end cut off, and words at the end replaced."""
+    made, texts, pairs = random.Random(11), [], []
+    for n in range(3, 23):
+        for _ in range(120):
+            words = [f"x{made.randrange(10**9)}" for _ in range(n + 4)]
+            cut = max(k for k in range(n) if 100 * (n - k) >= 75 * n)
+            other = max(k for k in range(n) if 100 * (n - k) >= 75 * (n + k))
+            for twin in (words[: len(words) - cut], words[: len(words) - other] + [f"y{made.randrange(10**9)}" for _ in range(other)]):
+                if twin != words:
+                    pairs.append((len(texts), len(texts) + 1))
+                    texts += [" ".join(words), " ".join(twin)]
+    docs = spark.createDataFrame([Row(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    label = {r.doc_id: r.component_id for r in minhash.link_components(docs).select("doc_id", "component_id").collect()}
+    assert len(pairs) > 3500 and not [p for p in pairs if label[p[0]] != label[p[1]]]
+
+
 def test_min_max_estimates():
     import numpy as np
 

@@ -15,6 +15,7 @@ from . import common
 
 PERMUTATIONS = 64
 ROWS = 4
+SMALL = 30  # shingles of a set up to which its least ones are bucket keys as well
 _FACTORS = common.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -50,8 +51,18 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the whole shingle set, null if empty), bands, b0..b3 (the sketch)."""
+def least_keys(own: np.ndarray, percent: int) -> list[int]:
+    """Bucket keys of a small set (its hashes in ascending order): the least n - ceil(threshold * n) + 1 of them.
+
+    Two sets over the threshold share one of these, so a pair with a set of up to ``percent`` percent of SMALL shingles
+    always meets in a bucket, where bands only make it likely.
+    """
+    n = len(own)
+    return common.mix(own[: n - -(-percent * n // 100) + 1] ^ np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64).tolist() if n <= SMALL else []
+
+
+def signatures(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, set_key (digest of the whole shingle set, null if empty), bands (bucket keys), b0..b3 (the sketch)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -64,16 +75,17 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 hashes, first, _ = common.shingle_hashes(pc.cast(part.column("text"), pa.binary()).to_pylist(), width)
                 n = len(part)
                 some = np.flatnonzero(np.diff(first))
-                keys, sizes = [None] * n, np.zeros(n, np.int64)
+                keys, sizes, least = [None] * n, np.zeros(n, np.int64), [[]] * n
                 for i in some.tolist():
                     own = np.unique(hashes[first[i] : first[i + 1]])
                     sizes[i] = len(own)
+                    least[i] = least_keys(own, percent)
                     keys[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 all_bands, all_bits = [None] * n, np.zeros((n, 4), np.int64)
                 if len(some):
                     signature = min_max(hashes, np.append(first[some], len(hashes)))
                     for i, row in zip(some.tolist(), bands(signature).tolist(), strict=True):
-                        all_bands[i] = row
+                        all_bands[i] = row + least[i]
                     all_bits[some] = sketch(signature)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(all_bits[:, k])) for k in range(4))], names)
 
@@ -202,9 +214,10 @@ def link_components(docs: DataFrame, percent: int = 75, most_bits: int = 66, wid
     Equal sets form a class, named by its smallest doc_id, before anything is compared. The classes of a band bucket are
     compared with the bucket's smallest first, unless their sketches differ in more than ``most_bits`` of 256 bits (5
     standard deviations at 75 percent); those links join most groups of copies into one component. Classes that share a
-    bucket with another component are then compared across components by prefix filtering, which misses no link.
+    bucket with another component are then compared across components by prefix filtering, which misses no link. Sets of
+    up to SMALL shingles are also in the buckets of their least ones, so bands decide for larger pairs only.
     """
-    rows = common.settle(signatures(docs, width), "signatures")
+    rows = common.settle(signatures(docs, width, percent), "signatures")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = common.settle(some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4))), "classes")
     repeats = common.settle(repeated(rows), "repeated-ids")
