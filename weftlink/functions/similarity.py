@@ -23,11 +23,11 @@ def _matched(x: Column) -> Column:
     def step(acc: Column, ch: Column) -> Column:
         i = acc["i"] + 1  # from 1
         at = F.call_function("locate", ch, acc["rest"], F.greatest(i - acc["reach"], F.lit(1)))
-        now = F.struct(at.alias("at"), ((at > 0) & (at <= i + acc["reach"])).alias("found"))
-        return _bound(now, lambda n: F.struct(
-            i.alias("i"), acc["reach"].alias("reach"), F.when(n["found"], F.overlay(acc["rest"], F.lit(_TAKEN), n["at"], F.lit(1))).otherwise(acc["rest"]).alias("rest"),
-            F.when(n["found"], F.concat(acc["left"], ch)).otherwise(acc["left"]).alias("left"),
-        ))
+        found = (at > 0) & (at <= i + acc["reach"])
+        return F.struct(
+            i.alias("i"), acc["reach"].alias("reach"), F.when(found, F.overlay(acc["rest"], F.lit(_TAKEN), at, F.lit(1))).otherwise(acc["rest"]).alias("rest"),
+            F.when(found, F.concat(acc["left"], ch)).otherwise(acc["left"]).alias("left"),
+        )
 
     first = F.struct(F.lit(0).alias("i"), reach.alias("reach"), x["b"].alias("rest"), F.lit("").alias("left"))
     return F.aggregate(F.split(x["a"], ""), first, step)
