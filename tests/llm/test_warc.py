@@ -79,3 +79,33 @@ def test_candidates_are_decoded(tmp_path):
 def test_ids_in_urns():
     for i in (0, 5, -6, 2**63 - 1, -(2**63)):
         assert warc.page_of(warc.record_urn(i)) == i
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Standard revisits, names that are no UUIDs, digests in base 32, several records in a member, other record types."""
+    import base64
+    import gzip
+
+    def part(kind, body=b"", **fields):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2020-01-01T00:00:00Z", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(body)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    digest = hashlib.sha1(b"one").digest()
+    named = {"WARC_Record_ID": "<urn:x:1>", "WARC_Target_URI": "http://a/1"}
+    revisit = {"WARC_Record_ID": "<urn:x:3>", "WARC_Payload_Digest": f"sha1:{base64.b32encode(digest).decode()}", "WARC_Refers_To": "<urn:x:1>", "WARC_Target_URI": "http://a/3"}
+    uuid_named = {"WARC_Record_ID": "<urn:x:4>", "WARC_Refers_To": "<urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8>", "WARC_Payload_Digest": f"sha1:{digest.hex().upper()}"}
+    members = [
+        part("warcinfo", b"x", WARC_Record_ID="<urn:x:0>"), part("response", http + b"one", **named) + part("request", b"GET", WARC_Record_ID="<urn:x:2>") + part("response", http + b"WARC/1.0 two", **named),
+        part("revisit", http, **revisit), part("revisit", **uuid_named), part("response", http, **named),
+    ]
+    data = b"".join(map(gzip.compress, members))
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([Row(f"file://{tmp_path}/x.warc.gz", len(data))], "uri string, bytes long")
+    for size in (64, 1 << 20):
+        got = sorted((r.url or "", r.record_type, bytes(r.payload) if r.payload is not None else None, r.payload_bytes, r.payload_digest, r.refers_to, r.page_id) for r in warc.read(manifest, size).collect())
+        sha = lambda x: hashlib.sha1(x).hexdigest()
+        assert got == sorted([
+            ("http://a/1", "response", b"one", 3, sha(b"one"), None, None), ("http://a/1", "response", b"WARC/1.0 two", 12, sha(b"WARC/1.0 two"), None, None), ("http://a/1", "response", b"", 0, sha(b""), None, None),
+            ("http://a/3", "revisit", None, None, digest.hex(), None, None), ("", "revisit", None, None, digest.hex(), None, None),
+        ])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,10 +26,21 @@ def record_urn(page_id: int) -> str:
 
 
 def page_of(urn: str | None) -> int | None:
-    if not urn:
+    """The page of a record of this module's; None for any other name."""
+    try:
+        low = uuid.UUID((urn or "").strip("<>").removeprefix("urn:uuid:")).int & (2**64 - 1)
+    except ValueError:
         return None
-    low = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int & (2**64 - 1)
-    return low - 2**64 if low >> 63 else low
+    page = low - 2**64 if low >> 63 else low
+    return page if record_urn(page) == urn else None
+
+
+def hex_digest(value: str | None) -> str | None:
+    """The lower-case hex form of a digest header, which may be in base 32 and name its algorithm."""
+    digest = (value or "").rpartition(":")[2].strip()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", digest):  # base 32 of 20 bytes; hex of SHA-1 has 40 digits
+        return base64.b32decode(digest.upper()).hex()
+    return digest.lower() or None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
@@ -194,28 +207,47 @@ class Members:
 
 
 def parse(content: bytes) -> tuple | None:
-    """(page_id, url, payload or None, payload_bytes, payload_digest, record_type, refers_to) of one record."""
+    """(page_id, url, payload or None, payload_bytes, payload_digest, record_type, refers_to) of the first record; None for other types.
+
+    What another writer's revisit doesn't say, as its payload's length or a page, is null.
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = headers(head)
-    body = rest[: int(fields.get("content-length", 0))]
-    kind = fields.get("warc-type", "")
-    page = fields.get("page-id")
-    page_id = int(page) if page is not None else None
+    kind, page = fields.get("warc-type", "").lower(), fields.get("page-id", "")
+    page_id = int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) else None
     if kind == "revisit":
-        digest = fields["warc-payload-digest"].partition(":")[2].lower()
-        return page_id, fields.get("warc-target-uri"), None, int(fields["payload-length"]), digest, kind, page_of(fields.get("warc-refers-to"))
+        size = fields.get("payload-length", "")
+        return page_id, fields.get("warc-target-uri"), None, int(size) if size.isdigit() else None, hex_digest(fields.get("warc-payload-digest")), kind, page_of(fields.get("warc-refers-to"))
     if kind != "response":
         return None
+    body = rest[: int(fields.get("content-length", 0))]
     payload = body.partition(b"\r\n\r\n")[2]
     return page_id, fields.get("warc-target-uri"), payload, len(payload), hashlib.sha1(payload).hexdigest(), kind, None
 
 
+def records(content: bytes) -> Iterator[tuple]:
+    """``parse`` of every record of a member: most writers make a member for each, but one may hold several."""
+    at = 0
+    while content.startswith(b"WARC/", at):
+        head = content.find(b"\r\n\r\n", at)
+        size = headers(content[at:head]).get("content-length", "") if head >= 0 else ""
+        if not size.isdigit():
+            return
+        end = head + 4 + int(size)
+        if row := parse(content[at:end]):
+            yield row
+        at = end
+        while content.startswith(b"\r\n", at):
+            at += 2
+
+
 def read(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """Records of the archives: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
 
     Every range of ``split_bytes`` is a row of its own that any task can take, so one huge archive is read by many
     tasks; a range owns the records that start inside it. Digests of responses are computed from the payload read.
-    Works on any manifest with uri and bytes.
+    Works on any manifest with uri and bytes, also of other writers' archives: several records in a member are read each,
+    digests in base 32 come as hex, and what their revisits don't say is null.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -229,10 +261,9 @@ def read(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                 rows, size = [], 0
                 with fs.open_input_file(path) as file:
                     for _, content in Members(file, start, end):
-                        if row := parse(content):
-                            rows.append(row)
-                            size += len(content)
-                        if size >= 8 << 20:
+                        rows += records(content)
+                        size += len(content)
+                        if size >= 8 << 20 and rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                             rows, size = [], 0
                 if rows:
