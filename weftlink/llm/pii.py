@@ -39,6 +39,29 @@ CONTEXT = 256
 _SPAN = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
 
+_BLOCK = 64
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is evaluated once, as a lambda's variable."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(x: Column, op, zero: int, levels: int = 2) -> Column:
+    """At each place of an array of whole numbers, op over all up to it; x is a column or a lambda's variable.
+
+    Blocks of _BLOCK are folded first, then each place within its block, so time is linear in the array's length.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(zero), op)
+    if levels == 0:
+        return F.transform(x, lambda _, i: fold(F.slice(x, F.lit(1), i + 1)))
+    last = F.greatest(F.shiftright(F.size(x) - 1, 6), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: fold(F.slice(x, k * _BLOCK + 1, F.lit(_BLOCK))))
+    inside = lambda i: fold(F.slice(x, i - i % _BLOCK + 1, i % _BLOCK + 1))
+    before = lambda upto, i: F.when(i < _BLOCK, F.lit(zero)).otherwise(F.get(upto, F.shiftright(i, 6) - 1))
+    return bound(bound(blocks, lambda b: running(b, op, zero, levels - 1)), lambda upto: F.transform(x, lambda _, i: op(before(upto, i), inside(i))))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches with their places in code points, and up to CONTEXT characters before and after each.
 
@@ -46,15 +69,13 @@ def located(text: Column, pattern: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.slice(gaps, 2, F.lit(2**31 - 1)).alias("after"))
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(CONTEXT)).alias("right")))
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
+    def one(x: Column, end: Column) -> Column:
+        return F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(CONTEXT)).alias("right"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
+    placed = bound(parts, lambda p: F.zip_with(p, bound(sizes(p), lambda x: running(x, lambda u, v: u + v, 0)), one))
+    return F.filter(placed, lambda x: x["match"].isNotNull())
 
 
 def luhn(match: Column) -> Column:
@@ -147,13 +168,10 @@ def bootstrap(found: DataFrame, least: float = 0.8, support: int = 5, doubt: flo
 
 def outermost(ordered: Column) -> Column:
     """Spans that lie in no other, from (start, back) in order, where back is the negative end."""
-
-    def step(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end")))
-        return F.when(-x["back"] <= acc["at"], acc).otherwise(F.struct((-x["back"]).alias("at"), F.concat(acc["out"], one).alias("out")))
-
-    first = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(ordered, first, step, lambda acc: acc["out"])
+    most = bound(F.transform(ordered, lambda x: (-x["back"]).cast("int")), lambda ends: running(ends, lambda u, v: F.greatest(u, v), -1))
+    spans = bound(F.struct(ordered.alias("spans"), most.alias("most")), lambda s: F.transform(s["spans"], lambda x, i: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), F.when(i == 0, F.lit(-1)).otherwise(F.get(s["most"], i - 1)).alias("before"))))
+    kept = F.filter(spans, lambda x: x["end"] > x["before"])
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def find(docs: DataFrame) -> DataFrame:
