@@ -80,8 +80,8 @@ def test_every_kind_of_base_span_seeds(spark):
     assert not any(got.values())
 
 
-def test_seed_forms_teach_contexts(spark):
-    """Keys of a known form teach the context; values of other forms after it are found, the forms elsewhere are not."""
+def test_random_keys_teach_contexts(spark):
+    """Keys that look random teach the context; other values after it are found, random keys elsewhere are not."""
     import hashlib
 
     keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
@@ -147,3 +147,73 @@ def test_running_folds(spark):
         xs = [(i * 7919) % 101 - 50 for i in range(n)]
         row = spark.createDataFrame([(xs,)], "x array<int>").select(pii.running(F.col("x"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("x"), lambda a, b: F.greatest(a, b), -99).alias("m")).first()
         assert row.s == list(itertools.accumulate(xs)) and row.m == list(itertools.accumulate(xs, max))
+
+
+def test_values_that_no_seed_names(spark, sf):
+    """Half of TESTDATA's keys become short codes, which are no seeds: what contexts alone find of them, and beside them.
+
+    A few of the keys that are left don't look random; found, they count as right.
+    """
+    rows, planted, left = [], set(), set()
+    for r in spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").collect():
+        text = r.text
+        if r.doc_id % 2 and (m := re.search(r'(?i)token = "([0-9a-z]+)', text or "")):
+            code = f"KD-{r.doc_id:06d}-{r.doc_id % 90 + 10}"
+            text = text[: m.start(1)] + code + text[m.end(1) :]
+            planted.add((r.doc_id, m.start(1), m.start(1) + len(code)))
+        else:
+            left |= {(r.doc_id, *m.span(1)) for m in re.finditer(r'(?i)token = "([0-9a-z]+)', text or "")}
+        rows.append((r.doc_id, text))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    texts = dict(rows)
+    found = {(r.doc_id, s.start, s.end) for r in pii.find(frame).collect() for s in r.id}
+    seeds = spark.createDataFrame([(*f, texts[f[0]][f[1] : f[2]]) for f in found], "d long, s long, e long, v string").where(pii.random_looking(F.col("v")))
+    alone = found - {(r.d, r.s, r.e) for r in seeds.collect()}
+    assert len(planted) > 50 and len(planted & alone) >= 0.9 * len(planted) and len((planted | left) & alone) >= 0.9 * len(alone)
+    print("found alone", len(planted & alone), "of", len(planted), "right", len((planted | left) & alone), "of", len(alone), "all", len((planted | left) & found), len(found))
+
+
+def test_random_looking(spark):
+    import uuid
+
+    keys = {"04dbebab91ab85687d33eeaaf9ac699e1188f962": True, str(uuid.UUID(int=0x3F2A9C1B7E4D4A6F8B0C5D2E9F1A7B3C)): True, "QX81220-77": False, "9807915762804490": False, "KD-000123-45": False, "long-part-9": False, "version2024beta11": False, "": False}
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert {r.k: r.r for r in df.select("k", pii.random_looking(F.col("k")).alias("r")).collect()} == keys
+
+
+def test_contexts_reach_across_neighbours(spark):
+    row = spark.createDataFrame([("user name QX81220 ZZ44556 was seen",)], "t string").select(pii.located(F.col("t"), pii.CANDIDATE).alias("m")).first()
+    assert [(m.start, m.end, m.left, m.right) for m in row.m] == [(10, 17, "user name ", " # was seen"), (18, 25, "user name # ", " was seen")]
+
+
+def test_replaced_by_brute_force(spark):
+    """Random spans, also nested, equal and adjacent, in texts around block bounds; and linear time."""
+    import hashlib
+    import random
+    import time
+
+    def plain(text, spans):
+        out, at = [], 0
+        for s, e, mark in spans:
+            if s >= at:
+                out += [text[at:s], mark]
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    rng, rows = random.Random(5), []
+    for n in [1, 5, 255, 256, 257, 512, 700, 2000] * 12:
+        text = "".join(rng.choice("aé😀\n") for _ in range(n))
+        starts = [rng.randrange(n) for _ in range(rng.randrange(1, 90))]
+        rows.append((text, sorted((s, min(n, s + rng.randrange(1, 300 if n > 300 else 4)), rng.choice(["[A]", "[B]"])) for s in starts)))
+    schema = "text string, spans array<struct<start:int,end:int,mark:string>>"
+    got = spark.createDataFrame(rows, schema).select("text", "spans", pii.replaced(F.col("text"), F.col("spans")).alias("new")).collect()
+    assert all(r.new == plain(r.text, [tuple(s) for s in r.spans]) for r in got)
+
+    def seconds(n):
+        one = spark.createDataFrame([("x@y.zz, " * n, [(8 * i, 8 * i + 6, "[E]") for i in range(n)])], schema).select(F.sha2(pii.replaced(F.col("text"), F.col("spans")), 256).alias("h"))
+        began = time.perf_counter()
+        assert one.first().h == hashlib.sha256(b"[E], " * n).hexdigest()
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 8 * max(seconds(8000), 0.5)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,15 @@ CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 _GROUP = r"(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{%d,}+"
 GROUPED = r"(?<![A-Za-z0-9_-])(?:" + _GROUP % 2 + r"(?:[ .]" + _GROUP % 2 + r")++|" + _GROUP % 1 + r"(?:\." + _GROUP % 1 + r")++)"
 GROUPED_DIGITS = 4
-# Forms that tell an identifier by themselves. Candidates of such a form are seed entities next to the base
-# spans, but only a trusted context makes a span of them, as a digest may also name a file version.
-SEED_FORMS = [
-    r"[0-9a-f]{32}", r"[0-9a-f]{40}", r"[0-9a-f]{64}",  # hexadecimal keys
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # universally unique ids
-    r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?",  # international account numbers
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"sk-[A-Za-z0-9_-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}",  # access keys
-]
+# Adjacent letters and digits change class this often in codes that people make up, and in values drawn at random from
+# letters and digits; a value is random if the second is RANDOM_ODDS times as likely to have made its changes.
+MADE_CHANGE, RANDOM_CHANGE, RANDOM_ODDS = 0.1, 0.4, 1000.0
 CONTEXT = 256
 _SPAN = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
 
 _BLOCK = 64
+_SHIFT = 8  # blocks of 256 characters
 
 
 def bound(value: Column, f) -> Column:
@@ -65,17 +63,25 @@ def running(x: Column, op, zero: int, levels: int = 2) -> Column:
 def located(text: Column, pattern: str) -> Column:
     """Matches with their places in code points, and up to CONTEXT characters before and after each.
 
-    split() gives what lies between the matches, and lengths add up.
+    split() gives what lies between the matches, and lengths add up. In a context the neighbouring match stands as #, and
+    what is beyond it follows, up to the match after that.
     """
     gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.slice(gaps, 2, F.lit(2**31 - 1)).alias("after"))
+    parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+    tail, head = (lambda g: F.right(g, F.lit(CONTEXT))), (lambda g: F.left(g, F.lit(CONTEXT)))
+    gap = lambda p, i: F.get(p, i)["gap"]
+
+    def one(p: Column, x: Column, i: Column, end: Column) -> Column:
+        left = F.when(i == 0, tail(x["gap"])).otherwise(tail(F.concat(tail(gap(p, i - 1)), F.lit("#"), tail(x["gap"]))))
+        right = F.when(F.get(p, i + 2).isNull(), head(gap(p, i + 1))).otherwise(head(F.concat(head(gap(p, i + 1)), F.lit("#"), head(gap(p, i + 2)))))
+        return F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match"), left.alias("left"), right.alias("right"))
 
-    def one(x: Column, end: Column) -> Column:
-        return F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"), F.left(x["after"], F.lit(CONTEXT)).alias("right"))
+    def every(both: Column) -> Column:
+        return F.transform(F.slice(both["parts"], F.lit(1), F.size(both["parts"]) - 1), lambda x, i: one(both["parts"], x, i, F.get(both["ends"], i)))
 
-    placed = bound(parts, lambda p: F.zip_with(p, bound(sizes(p), lambda x: running(x, lambda u, v: u + v, 0)), one))
-    return F.filter(placed, lambda x: x["match"].isNotNull())
+    placed = lambda p: bound(F.struct(p.alias("parts"), bound(sizes(p), lambda x: running(x, lambda u, v: u + v, 0)).alias("ends")), every)
+    return bound(parts, placed)
 
 
 def luhn(match: Column) -> Column:
@@ -106,10 +112,22 @@ def candidates(text: Column) -> Column:
     return F.concat(F.when(text.rlike(CANDIDATE), located(text, CANDIDATE)).otherwise(none), F.when(text.rlike(GROUPED), grouped).otherwise(none))
 
 
+def random_looking(value: Column) -> Column:
+    """Whether letters and digits of a value alternate as in keys drawn at random rather than in codes of a few groups."""
+    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    changes = F.regexp_count(plain, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"))
+    odds = changes * math.log(RANDOM_CHANGE / MADE_CHANGE) + (F.length(plain) - 1 - changes) * math.log((1 - RANDOM_CHANGE) / (1 - MADE_CHANGE))
+    return odds >= math.log(RANDOM_ODDS)
+
+
+def clean(word: Column) -> Column:
+    """A word as it stands in patterns: lower-cased, without digits and outer marks other than = : and #."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}=:#]+|[^\p{L}\p{N}=:#]+$|[0-9]+", "")
+
+
 def contexts(left: Column, right: Column) -> Column:
     """Lexical patterns of a place: the word before, the two words before, and the words on both sides."""
     word = r"([^\s]*)"
-    clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}=:#]+|[^\p{L}\p{N}=:#]+$|[0-9]+", "")
     one = clean(F.regexp_extract(left, rf"{word}[\s\"'(\[<]*$", 1))
     two = clean(F.regexp_extract(left, rf"{word}\s+[^\s]+[\s\"'(\[<]*$", 1))
     nxt = clean(F.regexp_extract(right, rf"^[^\s]*\s+{word}", 1))
@@ -121,6 +139,12 @@ def contexts(left: Column, right: Column) -> Column:
     return F.array_compact(made)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(pattern, uses): how often each word stands in the texts, as the pattern of one word before; summed before the shuffle."""
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), r"\s+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(F.concat(F.lit("L "), clean(F.col("word"))).alias("pattern"), "n").where("pattern != 'L '").groupBy("pattern").agg(F.sum("n").alias("uses"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: doc_id, key (of the text), the spans of each kind and the candidates, all with contexts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -128,33 +152,39 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("key"), *(base(F.col("text"), k).alias(k) for k in KINDS), near.alias("near"))
 
 
-def bootstrap(found: DataFrame, least: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
+def bootstrap(found: DataFrame, words: DataFrame, least: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
     """(doc_id, key, start, end): identifiers off the base spans whose contexts are those of seed entities.
 
     Instances are the values of base spans and of candidates (identifier-like tokens, and identifiers in groups),
-    patterns their contexts. Seed entities are the base spans, candidates that overlap one, and candidates of a form in
-    SEED_FORMS. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of score 0
+    patterns their contexts. Seed entities are the base spans, candidates that overlap one, and candidates that look
+    random; no form of an identifier is named. Each round scores a pattern by the mean score of its distinct instances, ``doubt`` instances of score 0
     added, and an instance off the seeds by the mean of its patterns; patterns that reach ``least`` with at least
-    ``support`` instances are trusted from then on, others count as 0. Rounds go on until no pattern is new, which comes,
+    ``support`` instances are trusted from then on, others count as 0. That asks for seeds in most instances. A word
+    after which hardly anything but identifiers stands in the whole corpus (``words``, from word_counts) is a slot: there
+    instances off the seeds tell nothing against it, and its score is that of its seeds alone, at least ``support`` of
+    them, times the share of its uses that an identifier follows. Rounds go on until no pattern is new, which comes,
     as patterns are finite. Both scores run on the graph's distinct edges, so copies of a text count once and hot
     patterns are summed before they are shuffled. A candidate is found if one of its patterns is trusted and its value's
-    score reaches ``least``; a seed by its form alone needs the trusted pattern as well.
+    score reaches ``least``; a seed that only looks random needs the trusted pattern as well, as it may name a file version.
     """
     bases = F.concat(*(F.col(k) for k in KINDS))
     covered = F.exists("bases", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
     near = found.where(F.size("near") > 0).select("doc_id", "key", bases.alias("bases"), F.explode("near").alias("c")).select("doc_id", "key", "c", covered.alias("base"))
     places = near.union(found.select("doc_id", "key", F.explode(bases).alias("c"), F.lit(True)))
-    seed = F.col("base") | F.col("c.match").rlike("^(?:" + "|".join(SEED_FORMS) + ")$")
+    seed = F.col("base") | random_looking(F.col("c.match"))
     places = places.select("doc_id", "key", "c.start", "c.end", F.xxhash64("c.match").alias("value"), "base", seed.alias("seed"), contexts(F.col("c.left"), F.col("c.right")).alias("patterns")).distinct()
     places = common.settle(places, "pii-places")
     edges = common.settle(places.select("value", F.explode("patterns").alias("pattern"), F.col("seed").cast("int").alias("seed")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pii-edges")
+    held = places.where("start > 0").select("doc_id", "key", "start", F.explode("patterns").alias("pattern")).where("pattern like 'L %'").groupBy("pattern").agg(F.count(F.lit(1)).alias("held"))
+    seeded = edges.groupBy("pattern").agg(F.sum("seed").alias("s")).where(F.col("s") >= support)
+    slots = held.join(seeded, "pattern").join(words, "pattern").select("pattern", (F.least(F.col("held") / F.col("uses"), F.lit(1.0)) * F.col("s") / (F.col("s") + doubt)).alias("trust"))
+    trusted = common.settle(slots.where(F.col("trust") >= least), "pii-slots")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("seeds"))
-    trusted, known = None, 0
+    known = -1
     while True:
         patterns = edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + doubt)).alias("trust"), F.count(F.lit(1)).alias("instances"))
         strong = patterns.where((F.col("trust") >= least) & (F.col("instances") >= support)).select("pattern", "trust")
-        if trusted is not None:
-            strong = strong.union(trusted).groupBy("pattern").agg(F.max("trust").alias("trust"))
+        strong = strong.union(trusted).groupBy("pattern").agg(F.max("trust").alias("trust"))
         trusted = common.settle(strong, "pii-patterns")
         judged = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seeds"), F.avg("trust").alias("mean"))
         scores = common.settle(judged.select("value", F.when(F.col("seeds") == 1, 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("score"), "seeds"), "pii-scores")
@@ -184,7 +214,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
     found = common.settle(scan(docs), "pii-base")
     ordered = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"))))
-    more = bootstrap(found).groupBy("doc_id", "key").agg(outermost(ordered).alias(ADDED))
+    more = bootstrap(found, word_counts(docs)).groupBy("doc_id", "key").agg(outermost(ordered).alias(ADDED))
     more = common.settle(more, "pii-added").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), ADDED)
     out = found.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     places = (F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS)
@@ -200,6 +230,30 @@ def joined(kinds: list[str]) -> Column:
     return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """text with the marks of spans (start, end, mark; in order) in their places, in time linear in both.
+
+    The text is cut into blocks once, so that a piece of it is found without counting characters from the start.
+    """
+    size = 1 << _SHIFT
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        i, j = F.shiftright(start, _SHIFT), F.shiftright(end, _SHIFT)
+        within = F.substring(F.get(blocks, i), start % size + 1, end - start)
+        across = F.concat(F.substring(F.get(blocks, i), start % size + 1, F.lit(size)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.coalesce(F.substring(F.get(blocks, j), F.lit(1), end % size), F.lit("")))
+        return F.when(start >= end, F.lit("")).when(i == j, within).otherwise(across)
+
+    def write(x: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(x["ends"], i - 1))
+        heads = F.filter(F.transform(x["spans"], lambda s, i: F.struct(s["start"].alias("start"), before(i).alias("before"), s["mark"].alias("mark"))), lambda h: h["start"] >= h["before"])
+        parts = F.transform(heads, lambda h: F.concat(piece(x["blocks"], h["before"], h["start"]), h["mark"]))
+        return F.concat(F.array_join(parts, ""), piece(x["blocks"], F.element_at(x["ends"], -1), x["size"]))
+
+    ends = bound(F.transform(spans, lambda s: s["end"]), lambda e: running(e, lambda u, v: F.greatest(u, v), 0))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return bound(F.struct(spans.alias("spans"), ends.alias("ends"), blocks.alias("blocks"), F.length(text).alias("size")), write)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; of spans that overlap the first by place stands for all.
 
@@ -217,12 +271,7 @@ def redact(docs: DataFrame) -> DataFrame:
     hits = common.settle(hits, "pii-spans")
     text = F.col("text").cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"), acc["text"].alias("text"))).otherwise(F.struct(s["end"].alias("at"), kept.alias("out"), acc["text"].alias("text")))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("text"))
-    clean = F.aggregate(found, first, step, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
+    clean = replaced(text, F.col(found))
     new = F.when(F.col(found).isNull() | text.isNull(), text).otherwise(clean)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key))
     out = docs.join(hits, same, "left").withColumn("text", new)
