@@ -152,8 +152,8 @@ from d left join g using (payload_digest)
 """
 
 
-def _op10(levels: int = 4) -> str:
-    """The template tree with its defaults, for paths of up to ``levels`` segments: a CTE for each level's pools, children and rows."""
+def _op10(levels: int = 6) -> str:
+    """The template tree with its defaults, for paths of up to ``levels`` steps: a CTE for each level's pools, children and rows."""
     from .url_filter import BAD_WORDS, RULES, STEPS, margin
 
     ordered = sorted(RULES, key=lambda r: (len(r.text), r.text), reverse=True)
@@ -164,23 +164,25 @@ def _op10(levels: int = 4) -> str:
     bad_word = lambda c: f"list_has_any(regexp_split_to_array(lower({c}), '[^a-z]+'), [{words}])"
     e = f"{margin(0.05)!r}::double"
     step = "case when count(*) over w = 1 then child " + " ".join(f"when kind = '{k}' then '{v}'" for k, v in STEPS.items()) + " end"
+    part = lambda x, of: f"case when {x} > 0 then {x} * ln({x} * labels / (({{n}}) * ({of}))) else 0 end"
+    surprise = lambda x, n: (part(f"({x})", "bads") + " + " + part(f"(({n}) - ({x}))", "labels - bads")).replace("{n}", n)
     ctes = []
     for n in range(levels + 1):
-        ctes.append(f"""p{n} as (select *, labels >= ceil(8 * {e} * {e}) and bads > 0 and bads < labels and deep > {n} as more
-  from (select host, code, sum(bad) as bads, sum(labelled) as labels, max(len(shape)) as deep from t{n} group by host, code)),
+        ctes.append(f"""p{n} as (select *, case when bads > 0 and bads < labels then greatest(bads * ln(labels::double / bads), (labels - bads) * ln(labels::double / (labels - bads))) else 0 end >= {e} and deep > {n} as more
+  from (select host, code, sum(bad) as bads, sum(labelled) as labels, max(len(shape)) as deep, count(distinct case when labelled > 0 then coalesce(shape[{n + 1}], '') end) as kids from t{n} group by host, code)),
 j{n} as (select * from t{n} join p{n} using (host, code)),
 d{n} as (select host, shape, bad, labelled, code, case when deep > {n} then steps || ['**'] else steps end as template from j{n} where not more),
-c{n} as (select host, code, coalesce(shape[{n + 1}], '') as child, sum(bad)::double as b, sum(labelled)::double as l, any_value(bads)::double as bads, any_value(labels)::double as labels from j{n} where more group by all),
-g{n} as (select *, case when l > 0 and labels > l then b / l - (bads - b) / (labels - l) end as gap from c{n}),
-k{n} as (select host, code, child, case when abs(gap) >= {e} * (1 / sqrt(l) + 1 / sqrt(labels - l)) then case when gap > 0 then 'a' else 'b' end else 's' end as kind from g{n}),
+c{n} as (select host, code, coalesce(shape[{n + 1}], '') as child, sum(bad)::double as b, sum(labelled)::double as l, any_value(bads)::double as bads, any_value(labels)::double as labels, any_value(kids) as kids from j{n} where more group by all),
+g{n} as (select *, case when l > 0 and labels > l then greatest({surprise("b", "l")}, {surprise("bads - b", "labels - l")}) end as odd from c{n}),
+k{n} as (select host, code, child, case when odd >= {e} + ln(kids) then case when b * labels > bads * l then 'a' else 'b' end else 's' end as kind from g{n}),
 s{n} as (select *, {step} as step from k{n} window w as (partition by host, code, kind)),
 t{n + 1} as (select j{n}.host, shape, bad, labelled, code || kind as code, steps || [step] as steps from j{n} join s{n} on s{n}.host = j{n}.host and s{n}.code = j{n}.code and child = coalesce(shape[{n + 1}], '') where more)""".replace("code || kind as code", f"j{n}.code || kind as code"))
     return f"""
 with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 r as (select *, {rule} as rule, {ruled} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as s from h),
-p as (select page_id, host, path, rule, ruled, list_transform(s, lambda x: case when regexp_full_match(x, '[0-9]+') then '{{n}}' when regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') and regexp_matches(x, '[0-9]') then '{{id}}'
-  else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) as shape, case when {bad_word("host")} or {bad_word("path")} or ruled = 'block' then 1 when ruled = 'allow' then 0 end as bad from r),
+p as (select page_id, host, path, rule, ruled, flatten(list_transform(s, lambda x: case when regexp_full_match(x, '[0-9]+') then [x[1] || '~', '{{n}}'] when regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') and regexp_matches(x, '[0-9]') then ['{{id}}']
+  when regexp_matches(x, '^[0-9]') then [x[1] || '~', regexp_replace(x, '[0-9]+', '{{n}}', 'g')] else [regexp_replace(x, '[0-9]+', '{{n}}', 'g')] end)) as shape, case when {bad_word("host")} or {bad_word("path")} or ruled = 'block' then 1 when ruled = 'allow' then 0 end as bad from r),
 t0 as (select host, shape, coalesce(sum(bad), 0) as bad, count(bad) as labelled, '' as code, []::varchar[] as steps from p group by host, shape),
 {", ".join(ctes)},
 d as ({" union all ".join(f"select * from d{n}" for n in range(levels + 1))}),

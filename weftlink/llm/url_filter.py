@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TAIL = "**"
+HEX_ID = r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"
 STEPS = {"a": "{+}", "b": "{-}", "s": "*"}  # siblings merged above, below and like the rest of their parent
 
 
@@ -52,9 +53,15 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def shapes(path: Column) -> Column:
-    """All segments of a path, with digit runs and hexadecimal ids generalised."""
+    """All segments of a path, with digit runs and hexadecimal ids generalised.
+
+    A segment that begins with a number makes two steps, the number's leading digit (as 7~) and the generalised segment,
+    so that ranges of numbers are branches that labels can tell apart; where they can't, the digits merge into a wildcard.
+    """
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{id}").otherwise(F.regexp_replace(s, r"[0-9]+", "{n}")))
+    whole = lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(HEX_ID), "{id}").otherwise(F.regexp_replace(s, r"[0-9]+", "{n}"))
+    number = lambda s: s.rlike(r"^[0-9]+$") | (s.rlike("^[0-9]") & ~s.rlike(HEX_ID))
+    return F.flatten(F.transform(segments, lambda s: F.when(number(s), F.array(F.concat(F.substring(s, 1, 1), F.lit("~")), whole(s))).otherwise(F.array(whole(s)))))
 
 
 def bad_word(column: Column, words: list[str]) -> Column:
@@ -63,8 +70,18 @@ def bad_word(column: Column, words: list[str]) -> Column:
 
 
 def margin(alpha: float) -> float:
-    """Two shares of n and m labels differ if they are at least margin * (1/sqrt(n) + 1/sqrt(m)) apart (Hoeffding)."""
-    return math.sqrt(math.log(2 / alpha) / 2)
+    """What surprise must reach, so that labels dealt at random reach it with a chance of alpha / 2 at most on each side."""
+    return math.log(2 / alpha) - 1e-9
+
+
+def surprise(bad: Column, n: Column, all_bad: Column, all_n: Column) -> Column:
+    """-ln of Chernoff's bound on the chance that n labels dealt from all_n, all_bad of them bad, are as unlike as bad of n.
+
+    It holds for any counts (draws without replacement are no more scattered than those with), so there is no least size.
+    """
+    good, all_good = n - bad, all_n - all_bad
+    part = lambda x, of: F.when(x > 0, x * F.log(x * all_n / (n * of))).otherwise(0.0)
+    return part(bad, all_bad) + part(good, all_good)
 
 
 def template_tree(urls: DataFrame, alpha: float, strength: float, prior: float) -> DataFrame:
@@ -74,19 +91,24 @@ def template_tree(urls: DataFrame, alpha: float, strength: float, prior: float)
     siblings: those whose share of bad labels is significantly above the siblings' are merged into one branch, those
     below into another, and all that can't be told from their siblings, like variable segments with few labels each or
     none, into a wildcard. Labels are pooled over a merged branch, and its children by name, before the next level is tested.
-    A branch is a template once no split of it can be significant: its labels are all alike or too few, or all its paths
-    have ended. So the rounds are as many as the labels can tell levels apart, whatever the depth of the paths.
+    A child differs if chance would part its labels, or its siblings', as far with a probability of at most ``alpha`` / 2,
+    shared out over the node's labelled children, so that of many children none stands out by mere chance.
+    A branch is a template once no split of it can be significant: not even one that parts all its bad labels from all its
+    good ones, or all its paths have ended. So the rounds are as many as the labels can tell levels apart, whatever the depth of the paths.
     A template's purity is its share of bad labels, smoothed by ``strength`` labels of the share in the rest of its host,
     which is itself smoothed by ``prior``; so a template without labels has its host's.
     """
     e = margin(alpha)
-    least = math.ceil(8 * e * e)
     tree = urls.groupBy("host", "shape").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
     open_ = common.settle(tree.select("host", "shape", "bad", "labelled", F.lit("").alias("code"), F.array().cast("array<string>").alias("steps")), "url-tree")
     done, level = None, 0
     while True:
-        pool = open_.groupBy("host", "code").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all"), F.max(F.size("shape")).alias("deep"))
-        goes_on = (F.col("all") >= least) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all")) & (F.col("deep") > level)
+        child = F.coalesce(F.get("shape", F.lit(level)), F.lit(""))
+        pool = open_.groupBy("host", "code").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all"), F.max(F.size("shape")).alias("deep"), F.countDistinct(F.when(F.col("labelled") > 0, child)).alias("kids"))
+        bads, all_ = F.col("all_bad").cast("double"), F.col("all").cast("double")
+        mixed = (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all"))
+        best = F.when(mixed, F.greatest(bads * F.log(all_ / bads), (all_ - bads) * F.log(all_ / (all_ - bads)))).otherwise(0.0)
+        goes_on = (best >= e) & (F.col("deep") > level)
         pool = common.settle(pool.withColumn("more", goes_on), "url-nodes")
         judged = open_.join(pool, ["host", "code"])
         ended = F.when(F.col("deep") > level, F.concat("steps", F.array(F.lit(TAIL)))).otherwise(F.col("steps"))
@@ -94,11 +116,11 @@ def template_tree(urls: DataFrame, alpha: float, strength: float, prior: float)
         done = part if done is None else done.unionByName(part)
         if pool.where("more").isEmpty():
             break
-        rest = judged.where("more").withColumn("child", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
-        kids = rest.groupBy("host", "code", "child").agg(F.sum("bad").alias("own_bad"), F.sum("labelled").alias("own"), F.first("all_bad").alias("all_bad"), F.first("all").alias("all"))
-        n, m = F.greatest("own", F.lit(1)), F.greatest(F.col("all") - F.col("own"), F.lit(1))
-        gap = F.col("own_bad") / n - (F.col("all_bad") - F.col("own_bad")) / m
-        far = (F.col("own") > 0) & (F.col("all") > F.col("own")) & (F.abs(gap) >= e * (1 / F.sqrt(n) + 1 / F.sqrt(m)))
+        rest = judged.where("more").withColumn("child", child)
+        kids = rest.groupBy("host", "code", "child").agg(F.sum("bad").alias("own_bad"), F.sum("labelled").alias("own"), F.first("all_bad").alias("all_bad"), F.first("all").alias("all"), F.first("kids").alias("kids"))
+        x, n, bads, all_ = (F.col(c).cast("double") for c in ("own_bad", "own", "all_bad", "all"))
+        gap = x * all_ - bads * n
+        far = (n > 0) & (all_ > n) & (F.greatest(surprise(x, n, bads, all_), surprise(bads - x, all_ - n, bads, all_)) >= e + F.log("kids"))
         kids = kids.select("host", "code", "child", F.when(far & (gap > 0), "a").when(far, "b").otherwise("s").alias("kind"))
         merged = kids.groupBy("host", "code", "kind").agg(F.count(F.lit(1)).alias("n"), F.first("child").alias("only"))
         name = F.when(F.col("n") == 1, F.col("only"))
