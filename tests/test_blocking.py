@@ -126,3 +126,16 @@ def test_jaro_winkler_is_that_of_a_plain_loop(spark):
         assert r.j == pytest.approx(plain(r.a, r.b), abs=1e-12), (r.a, r.b)
     known = {(r.a, r.b): r.j for r in out.collect()}
     assert known["martha", "marhta"] == pytest.approx(0.961111, abs=1e-6) and known["dixon", "dicksonx"] == pytest.approx(0.813333, abs=1e-6)
+
+
+@pytest.mark.parametrize("join", [block.exact_name, block.ngram_jaccard, block.tfidf_cosine, block.candidates])
+def test_pairs_unfold_after_the_last_shuffle(spark, join):
+    """A name with 1,500 records a side beside others: each pair once, and none of them is shuffled."""
+    made = random.Random(6)
+    rest = names(60, made, ["north", "south", "green"])
+    s1, pool = (table(spark, ["blue harbour"] * 1500 + rest, p) for p in ("S1", "S2"))
+    out = join(s1, pool) if join in (block.exact_name, block.ngram_jaccard) else join(s1, pool, max_df=1.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Generate explode(pool_ids") < plan.find("Exchange")
+    pairs = out.select("s1_id", "pool_id")
+    assert pairs.distinct().count() == pairs.count() >= 1500 * 1500 + 60
