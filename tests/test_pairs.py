@@ -61,3 +61,10 @@ def test_a_list_of_an_id_with_two_names_holds_both(spark):
     s1 = spark.createDataFrame([("S1-1", "a", "", "US"), ("S1-1", "b", "", "US"), ("S1-2", "c", "", "US")], ENTITY)
     pool = spark.createDataFrame([("S2-1", "b", "", "US"), ("S2-0", "a", "", "US"), ("S2-0", "b", "", "US")], ENTITY)
     assert {tuple(r) for r in block.exact_lists(s1, pool).collect()} == {("S1-1", "S2-0,S2-1"), ("S1-2", "")}
+
+
+def test_idf_is_given_for_every_gram_that_repeats(spark, sf):
+    from weftlink.plans import fixtures, registry
+
+    counts = block.gram_counts(fixtures.er_view(spark, sf).pool).groupBy("country", "gram").count().where("count >= 2")
+    assert rows(registry.queries()["tfidf_idf"](spark, sf).select("country", "gram")) == rows(counts.select("country", "gram"))

@@ -135,7 +135,7 @@ SQL: dict[str, str] = {
     "candidate_pairs_distinct": er("select * from exact union select s1_id, pool_id from cosines", EXACT, tfidf()),
     "candidate_lists": er("select entity_id as source1_entity_id, coalesce(string_agg(distinct pool_id, ',' order by pool_id), '') as candidate_entity_ids from s1 left join exact on s1_id = entity_id group by entity_id", EXACT),
     "tfidf_vocab_df": er("select country, gram, df from vocab", tfidf()),
-    "tfidf_idf": er("select country, gram, round(idf, 9) as idf from vocab", tfidf()),
+    "tfidf_idf": er("select country, gram, round(idf, 9) as idf from vocab", tfidf(1.0, 2**62)),
     "tfidf_weights": er("select country, entity_id, gram, round(w, 9) as w from w2", tfidf()),
     "pair_attributes": er("select * from pairs", PAIRS),
     "feat_country": er("select s1_id, pool_id, (country_1 = country_2 and country_1 <> '')::bigint as exact_country_match from pairs", PAIRS),
