@@ -80,17 +80,18 @@ def cells(rows: DataFrame, model: Boosted, label: str) -> DataFrame:
     """(b0, b1, ..., label, n, score): rows by their bins and label, written once.
 
     Rows of one cell have the same gradient in every round, so their number stands for them; there are at most as many
-    cells as combinations of bins, however many rows there are.
+    cells as combinations of bins, however many rows there are. ``n``, if rows have it, is the number each stands for.
     """
     names = [f"b{i}" for i in range(len(model.features))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame(model.bins([b[f].to_numpy() for f in model.features]), columns=names)
-            yield out.assign(label=b["label"].to_numpy()).groupby([*names, "label"], as_index=False).size().rename(columns={"size": "n"})
+            yield out.assign(label=b["label"].to_numpy(), n=b["n"].to_numpy()).groupby([*names, "label"], as_index=False)["n"].sum()
 
     schema = ", ".join([*(f"{n} long" for n in names), "label long", "n long"])
-    binned = rows.select(*(F.col(f).cast("double").alias(f) for f in model.features), F.col(label).cast("long").alias("label")).where("label is not null").mapInPandas(run, schema)
+    plain = rows.select(*(F.col(f).cast("double").alias(f) for f in model.features), F.col(label).cast("long").alias("label"), F.col("n") if "n" in rows.columns else F.lit(1).alias("n")).where("label is not null")
+    binned = plain.groupBy(*model.features, "label").agg(F.sum("n").alias("n")).mapInPandas(run, schema)
     return binned.groupBy(*names, "label").agg(F.sum("n").alias("n")).withColumn("score", F.lit(model.start))
 
 

@@ -86,10 +86,32 @@ def medians(rows: DataFrame, by: list[str], value: str = "v", most: int = 1_000_
     return hits.where("a + b > 0").groupBy("g").agg((F.sum(F.col("v") * (F.col("a") + F.col("b"))) / 2).alias("median")).select("g.*", "median")
 
 
+def weighted_medians(counts: DataFrame, by: list[str], value: str = "v", n: str = "n", steps: int = 1000) -> DataFrame:
+    """``medians`` of rows that are given as distinct values of each group with their numbers ``n``.
+
+    Quantiles of the distinct values cut each group into ranges, whose numbers tell in which ones the middle ranks lie;
+    only the values there are ordered.
+    """
+    rows = counts.select(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v"), F.col(n).alias("n")).where("v is not null")
+    cuts = rows.groupBy("g").agg(F.percentile_approx("v", [i / steps for i in range(1, steps)], 10 * steps).alias("q"), F.sum("n").alias("total"))
+    cuts = io.written(cuts.withColumn("q", F.array_distinct("q")), "quantiles")  # a row for each group
+    part = F.coalesce(F.nullif(F.array_position(F.transform("q", lambda x: F.col("v") <= x), True), F.lit(0)), F.lit(steps + 1))
+    dealt = io.written(rows.join(F.broadcast(cuts), "g").select("g", "v", "n", "total", part.alias("part")), "ranges")
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("size"), F.first("total").alias("total"))  # at most ``steps`` of a group
+    before = F.sum("size").over(Window.partitionBy("g").orderBy("part")) - F.col("size")
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    kept = sums.withColumn("before", before).where((F.col("before") <= high) & (F.col("before") + F.col("size") > low)).select("g", "part", "before")
+    upto = F.sum("n").over(Window.partitionBy("g", "part").orderBy("v")) + F.col("before")
+    middle = dealt.join(F.broadcast(kept), ["g", "part"]).select("g", "v", "n", "total", upto.alias("stop")).withColumn("start", F.col("stop") - F.col("n"))
+    times = ((F.col("start") <= low) & (low < F.col("stop"))).cast("int") + ((F.col("start") <= high) & (high < F.col("stop"))).cast("int")
+    return middle.withColumn("times", times).where("times > 0").groupBy("g").agg((F.sum(F.col("v") * F.col("times")) / 2).alias("median")).select("g.*", "median")
+
+
 def separability(pairs: DataFrame, measures: list[str], label: str = "is_match") -> DataFrame:
-    """Mean and median of each measure in either class."""
-    long = pairs.select(label, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("x")).select(label, "x.measure", "x.v")
-    long = io.written(long, "measures")
-    means = long.groupBy(label, "measure").agg(F.avg("v").alias("mean"))
-    middle = medians(long, [label, "measure"]).withColumnsRenamed({label: "l", "measure": "m"})
+    """Mean and median of each measure in either class; ``n``, if pairs have it, is the number of pairs that a row stands for."""
+    n = F.col("n") if "n" in pairs.columns else F.lit(1)
+    long = pairs.select(label, n.cast("long").alias("n"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures))).alias("x")).select(label, "x.measure", "x.v", "n")
+    long = io.written(long.groupBy(label, "measure", "v").agg(F.sum("n").alias("n")), "measures")
+    means = long.groupBy(label, "measure").agg((F.sum(F.col("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n")))).alias("mean"))
+    middle = weighted_medians(long, [label, "measure"]).withColumnsRenamed({label: "l", "measure": "m"})
     return means.join(middle, F.col(label).eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")), "left").select(label, "measure", "mean", "median")
