@@ -79,3 +79,20 @@ def test_sweep_shuffles_a_pair_once(spark, tables):
     got = {(r.threshold, r.source1_entity_id): r.matched_entity_ids for r in evaluate.sweep(scores, s1).collect()}
     assert len(got) == 18 and got[0.7, "S1-0"] == "S2-0,S2-1" and got[0.75, "S1-0"] == "S2-0,S2-1" and got[0.8, "S1-0"] == "S2-1" and got[0.9, "S1-0"] == "" and got[0.7, "S1-1"] == ""
     assert evaluate.sweep(scores, s1)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_scores_by_record_do_not_unfold_the_pool(spark, sf, monkeypatch):
+    """F0.5 and the share of singletons come from class pairs: the plan unfolds only the s1 side."""
+    from weftlink.plans import registry
+
+    monkeypatch.setattr(block, "expanded", None)
+    for name in ("f05_per_entity", "f05_macro_by_threshold", "singleton_share", "linear_score_thresholds"):
+        assert "Generate explode(pool_ids" not in registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_unfold_as_arrays(spark):
+    side = lambda p, n: spark.createDataFrame([(f"{p}-{i}", "hot", "", "US") for i in range(n)], ENTITY)
+    blocks = block.exact_name_blocks(side("S1", 30), side("S2", 20), 100)
+    assert blocks.expanded(7).distinct().count() == blocks.expanded().count() == 600
+    plan = block.NameBlocks(blocks.pairs.limit(0), blocks.members).expanded()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(pool_ids" in plan
