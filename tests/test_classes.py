@@ -96,3 +96,18 @@ def test_members_unfold_as_arrays(spark):
     assert blocks.expanded(7).distinct().count() == blocks.expanded().count() == 600
     plan = block.NameBlocks(blocks.pairs.limit(0), blocks.members).expanded()._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(pool_ids" in plan
+
+
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_exact_features_unfold_after_the_last_shuffle(tables, monkeypatch, chunk):
+    """Those of the listed pairs with their labels, and none is shuffled; a record without truth and one with a long list are there."""
+    monkeypatch.setattr(block, "CHUNK", chunk)
+    s1, pool, truth = tables
+    pairs = block.exact_name(s1, pool)
+    plain = features.features(features.attributes(pairs, s1, pool))
+    labels = features.labelled(pairs, truth).withColumnsRenamed({"s1_id": "source1_entity_id", "pool_id": "candidate_entity_id"})
+    got = features.exact_features(s1, pool, truth)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Generate explode(pool_ids") < plan.find("Exchange")
+    assert rows(got) == rows(plain.join(labels, ["source1_entity_id", "candidate_entity_id"])) and got.where("is_match = 1").count() > 0
+    assert rows(features.exact_features(s1, pool)) == rows(plain)

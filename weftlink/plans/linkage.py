@@ -92,6 +92,14 @@ def run_features(data: Dataset, candidates: DataFrame, out: str) -> None:
     rows.write.parquet(out)
 
 
+def run_exact_features(data: Dataset, out: str) -> None:
+    """``run_features`` of the exact-name block, without its lists; only where an id has several rows are they made."""
+    if features.repeated_ids(data.s1, data.pool):
+        run_features(data, block.exact_lists(data.s1, data.pool), out)
+    else:
+        features.exact_features(data.s1, data.pool, data.truth).write.parquet(out)
+
+
 def train_and_predict(train: DataFrame, test: DataFrame, s1: DataFrame, model_path: str, out: str, mode: str = "train", thresholds: list[float] | None = None, val: DataFrame | None = None, logs: str | None = None, by_leaf: bool = False, **settings: float) -> None:
     """Result lists for every threshold, one directory each, in one job; with ``val`` and ``logs``, the log loss of every iteration as CSV.
 
