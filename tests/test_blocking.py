@@ -139,3 +139,19 @@ def test_pairs_unfold_after_the_last_shuffle(spark, join):
     assert 0 < plan.find("Generate explode(pool_ids") < plan.find("Exchange")
     pairs = out.select("s1_id", "pool_id")
     assert pairs.distinct().count() == pairs.count() >= 1500 * 1500 + 60
+
+
+@pytest.mark.parametrize("join", [block.ngram_jaccard, block.tfidf_cosine, block.candidates])
+def test_only_pairs_above_the_threshold_are_written(spark, monkeypatch, join):
+    """Of names that share common words the blocks give those above, however many share a gram; also with blocks of a few names."""
+    made, seen, plain = random.Random(8), [], block.met
+    common = ["".join(made.choice("bcdfghklmnprst") + made.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    left, right = names(150, made, common), names(200, made, common)
+    s1, pool = table(spark, left + right[:20] + ["", "ab"], "S1", ("US", "IN")), table(spark, right + ["", "ab"], "S2", ("US", "IN"))
+    monkeypatch.setattr(block, "BLOCK", 40)
+    monkeypatch.setattr(block, "met", lambda *x: seen.append(plain(*x)) or seen[-1])
+    fit = {} if join == block.ngram_jaccard else {"max_df": 1.0}
+    pairs = {(r.s1_id, r.pool_id) for r in join(s1, pool, **fit).collect()}
+    equal = {tuple(r) for r in block.exact_name(s1, pool).collect()} if join == block.candidates else set()
+    written = seen[0].count()
+    assert 0 < written <= 1.02 * len(pairs) and len(pairs) <= written + len(equal)  # ties at the threshold are measured again
