@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink.operators import block, evaluate, features, model, profile, sample
+from weftlink.plans import registry
 from weftlink.plans.fixtures import er_view
 from weftlink.sources import io
 
@@ -319,3 +320,11 @@ def test_stream(spark, small, tmp_path):
     stream = spark.readStream.schema(s1.schema).parquet(str(tmp_path / "in"))
     match_stream(stream, pool, lambda df, n: seen.extend(df.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert {(r.source1_entity_id, r.candidate_entity_id) for r in seen} == {("S1-1", "S2-1"), ("S1-1", "S3-2")}
+
+
+def test_frequent_grams_find_partners(spark, tmp_path):
+    """Names that every record of a country bears are candidates of the registered query, though all their grams are frequent."""
+    docs = [(i, "same words in each text", "en", f"src{i % 3:02d}") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["block_tfidf_cosine"](spark, str(tmp_path)).collect()
+    assert len(got) == 10 * 20 and {r.cosine for r in got} == {1.0}

@@ -128,7 +128,7 @@ SQL: dict[str, str] = {
     "distinct_countries": er("select distinct country from pool"),
     "equality_flags": er("select s1_id, pool_id, (business_name_1 = business_name_2)::int as same_name, (business_address_1 = business_address_2)::int as same_address, (country_1 = country_2)::int as same_country from pairs join links using (s1_id, pool_id)", PAIRS),
     "block_exact_name": er("select * from exact", EXACT),
-    "block_tfidf_cosine": er("select s1_id, pool_id, round(cosine, 6) as cosine from cosines", tfidf()),
+    "block_tfidf_cosine": er("select s1_id, pool_id, round(cosine, 6) as cosine from cosines", tfidf(1.0, 2**62)),
     "block_name_members": er("select country, business_name, side, id from hot join (select country, business_name, 1 as side, entity_id as id from s1 union all select country, business_name, 2, entity_id from pool) using (country, business_name)", HOT),
     "block_names_expanded": er("select * from exact", EXACT),
     "block_ngram_jaccard": er(f"select s1_id, pool_id, round(j, 9) as jaccard from (select a.entity_id as s1_id, b.entity_id as pool_id, {jaccard('a.g', 'b.g')} as j from (select *, {grams('business_name')} as g from s1) a join (select *, {grams('business_name')} as g from pool) b using (country)) where j > 0.4::double"),
